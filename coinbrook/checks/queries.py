@@ -20,7 +20,7 @@ from coinbrook.plans.accounts import accounts_to_add, seed_rows
 from coinbrook.plans.fact import build_fact, new_facts
 from coinbrook.plans.mart import kpi_mart
 from coinbrook.session import tune
-from coinbrook.sinks.scratch import scratch_path
+from coinbrook.sinks.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,7 +140,8 @@ def dup_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def dup_vs_fact(spark: SparkSession, sf: str) -> DataFrame:
     fact = build_fact(a.event_expenses(spark, sf), a.AS_OF)
-    marked = mark_repeated(a.submissions(spark, sf), fact)
+    entered = materialize(a.submissions(spark, sf), "entered")
+    marked = mark_repeated(entered, fact)
     return marked.select("entry", F.col("duplicate_of.id").alias("duplicate_of"))
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ISO_DATE = "yyyy-M-d"
+ISO_TIME = "yyyy-M-d[ HH:mm[:ss[.SSSSSS]]]['T'HH:mm[:ss[.SSSSSS]]]"
 
-# The date spellings files may use, tried in this order. Where day and month could
-# be swapped, the month comes first.
+# The date spellings files may use, in the order they are tried. Where day and
+# month could be swapped, the month comes first.
 DATE_FORMATS = (
     ISO_DATE,
-    "yyyy-M-d[ HH:mm[:ss[.SSSSSS]]]['T'HH:mm[:ss[.SSSSSS]]]",
+    ISO_TIME,
     "yyyy/M/d",
     "M/d/yyyy",
     "yyyyMMdd",
@@ -21,11 +22,34 @@ DATE_FORMATS = (
     "MMM d, yyyy",
 )
 
+# What a text of each format looks like. Only texts of that look are parsed by the format, since
+# a failed parse costs far more than a match. A format that is not listed is tried on every text.
+_SHAPES = {
+    ISO_DATE: r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z",
+    ISO_TIME: r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{2}:[0-9]{2}[0-9:.]*\z",
+    "yyyy/M/d": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z",
+    "M/d/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z",
+    "yyyyMMdd": r"^[0-9]{8}\z",
+    "d MMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}\z",
+    "MMM d, yyyy": r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}\z",
+}
+
 
 def parse_date(text: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
     """Text to date by the first format that fits; NULL where none does."""
     text = text.cast("string")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[_parse_one(text, f) for f in formats])
+
+
+def _parse_one(text: Column, pattern: str) -> Column:
+    # The plain cast reads year-month-day as the pattern would, several times faster.
+    if pattern == ISO_DATE:
+        parsed = text.try_cast("date")
+    else:
+        parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+    if pattern not in _SHAPES:
+        return parsed
+    return F.when(text.rlike(_SHAPES[pattern]), parsed)
 
 
 def parse_iso_date(text: Column) -> Column:
@@ -33,6 +57,17 @@ def parse_iso_date(text: Column) -> Column:
     return parse_date(text, [ISO_DATE])
 
 
+# Names in the calendar columns.
+_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+_WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+
+
+def _name_at(names: list[str], place: Column) -> Column:
+    """Look a name up by its place; cheaper per row than formatting the date."""
+    # Compiled code of element_at takes a missing place for -1, hence the guard.
+    return F.when(place.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), place))
+
+
 def season(date: Column) -> Column:
     """Season by month; a missing date falls to the last branch."""
     month = F.month(date)
@@ -51,8 +86,12 @@ def calendar_columns(date: Column) -> dict[str, Column]:
         "month": F.month(date),
         "year": F.year(date),
         "month_year": F.year(date) * 100 + F.month(date),
-        "month_year_marker": F.date_format(date, "MMM-yy"),
+        "month_year_marker": F.concat(
+            _name_at(_MONTHS, F.month(date)),
+            F.lit("-"),
+            F.lpad((F.year(date) % 100).cast("string"), 2, "0"),
+        ),
         "num_day_of_week": F.dayofweek(date) - 1,
-        "day_of_week": F.date_format(date, "EEEE"),
+        "day_of_week": _name_at(_WEEKDAYS, F.dayofweek(date)),
         "season": season(date),
     }

@@ -9,6 +9,7 @@ from coinbrook.operators.duplicates import ROW_KEY, matching_facts, with_submiss
 from coinbrook.operators.file_names import find_logged, name_masks
 from coinbrook.operators.lookup import attach
 from coinbrook.operators.validation import check_file_rows, structure_errors, validate_rows
+from coinbrook.sinks.scratch import materialize
 
 ACCEPTED = "accepted"
 BAD_STRUCTURE = "structure"
@@ -67,20 +68,34 @@ def _status() -> Column:
     )
 
 
-def gate_rows(submissions: DataFrame, fact: DataFrame, order: str) -> DataFrame:
-    """Verdict per submission of a batch; ``order`` is a unique column giving their order.
+def prepare_rows(submissions: DataFrame) -> DataFrame:
+    """Field checks and typed key columns of a batch of submissions.
+
+    A map over the rows, and the costly part of the gate: store the result before it is judged,
+    since judging reads it more than once. An invalid row has no like, so its key stays empty.
+    """
+    checked = with_submission_key(validate_rows(submissions))
+    return checked.withColumns({k: F.when(F.col("is_valid"), F.col(k)) for k in ROW_KEY})
+
 
-    A submission is ``invalid`` if a field check fails. It is a ``duplicate`` if the fact table
+def judge_rows(prepared: DataFrame, fact: DataFrame, order: str) -> DataFrame:
+    """Verdict per prepared submission; ``order`` is a unique column giving their order.
+
+    A submission is ``invalid`` if a field check failed. It is a ``duplicate`` if the fact table
     has its like, or an earlier valid submission of the batch is its like.
     """
-    checked = validate_rows(submissions)
-    valid = with_submission_key(checked.filter("is_valid"))
+    valid = prepared.filter("is_valid")
     # One row per key: copies collapse before they are shuffled.
     first = valid.groupBy(*ROW_KEY).agg(F.min(order).alias("first_order"))
-    per_key = first.join(matching_facts(first, fact), ROW_KEY, "left")
+    per_key = first.join(matching_facts(valid, fact), ROW_KEY, "left")
     status = F.when(
         F.col("duplicate_of").isNotNull() | (F.col("first_order") < F.col(order)), DUPLICATE
     ).otherwise(ACCEPTED)
-    judged = attach(valid, per_key, ROW_KEY).withColumn("status", status)
-    invalid = checked.filter(~F.col("is_valid")).withColumn("status", F.lit(INVALID))
-    return judged.drop(*ROW_KEY, "first_order").unionByName(invalid, allowMissingColumns=True)
+    judged = attach(valid, per_key, ROW_KEY).withColumn("status", status).drop("first_order")
+    invalid = prepared.filter("not is_valid").withColumn("status", F.lit(INVALID))
+    return judged.unionByName(invalid, allowMissingColumns=True).drop(*ROW_KEY)
+
+
+def gate_rows(submissions: DataFrame, fact: DataFrame, order: str) -> DataFrame:
+    """Verdict per submission of a batch, with the checked batch stored in between."""
+    return judge_rows(materialize(prepare_rows(submissions), "submissions"), fact, order)

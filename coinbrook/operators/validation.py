@@ -93,15 +93,16 @@ def check_file_rows(rows: DataFrame, file: Sequence[str] = (), strict: bool = Fa
     file = list(file)
     have = [c for c in REQUIRED_FILE_COLUMNS if c in rows.columns]
     flags = {f"null_{c}": F.col(c).isNull() for c in have}
+    flags["non_numeric_amounts"] = flags["bad_dates"] = F.lit(False)
     if "amount" in have:
         number = parse_amount(F.col("amount"))
         flags["non_numeric_amounts"] = number.isNull()
         if strict:
             flags["amounts_not_positive"] = ~is_finite(number) | (number <= 0)
-    if "extra_fields" in rows.columns:
-        flags["overlong_rows"] = F.col("extra_fields").isNotNull()
     if "date" in have:
         flags["bad_dates"] = F.col("date").isNotNull() & parse_date(F.col("date")).isNull()
+    if "extra_fields" in rows.columns:
+        flags["overlong_rows"] = F.col("extra_fields").isNotNull()
     if strict and "description" in have:
         flags["bad_descriptions"] = has_prohibited_symbol(F.col("description"))
 

@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinbrook.operators.gates import ACCEPTED, gate_files, gate_rows
+from coinbrook.operators.gates import ACCEPTED, gate_files, judge_rows, prepare_rows
 from coinbrook.operators.normalize import normalize_header, rename_form_labels, to_expenses_line
 from coinbrook.operators.validation import missing_columns
 from coinbrook.plans.accounts import accounts_to_add, seed_rows
 from coinbrook.plans.fact import build_fact, new_facts
-from coinbrook.schemas import DEFAULT_CATEGORY, DIM_ACCOUNT, FRAME_NAME, REQUIRED_FORM_FIELDS
+from coinbrook.schemas import DEFAULT_CATEGORY, DIM_ACCOUNT, FRAME_NAME
 from coinbrook.sinks.export import export_tables
 from coinbrook.sinks.tables import FORM_FIELDS, LedgerTables
 from coinbrook.sources.csv_files import file_frame, find_files, read_csv, read_files
@@ -149,10 +149,6 @@ class Ledger:
             )
             verdict = gate_files(files, rows, self.import_log(), match, strict)
             report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
-            if missing:
-                report = report.withColumns(
-                    {c: F.lit(0) for c in ("bad_dates",) if c not in report.columns}
-                )
             self.tables.write_batch("file_report", report, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
         accepted = report.filter(F.col("status") == ACCEPTED)
@@ -193,38 +189,35 @@ class Ledger:
     def submit_rows(self, submissions: DataFrame, batch_id: str | None = None) -> DataFrame:
         """Enter rows from the form; returns the report, one row per submission.
 
-        The rows are stored first, with an id and a running number each, so that every later
-        step and every repeat of the batch sees the same ids in the same order. The order is
+        The rows are stored first, checked, with an id and a running number each, so that every
+        later step and every repeat of the batch sees the same ids in the same order. The order is
         that of the frame, or of its column ``entry`` if it has one.
         """
         batch_id = batch_id or _new_batch()
+        stored = {f: f.replace(" ", "_") for f in FORM_FIELDS}
         if not self.tables.has_batch("submission", batch_id):
             have = submissions.columns
             entry = F.col("entry") if "entry" in have else F.monotonically_increasing_id()
             fields = [
-                (F.col(f) if f in have else F.lit(None)).cast("string").alias(f.replace(" ", "_"))
+                (F.col(f) if f in have else F.lit(None)).cast("string").alias(f)
                 for f in FORM_FIELDS
             ]
-            staged = submissions.select(
+            numbered = submissions.select(
                 F.expr("uuid()").alias("submission_id"), entry.cast("bigint").alias("entry"), *fields
             )
+            staged = prepare_rows(numbered).withColumnsRenamed(stored)
             self.tables.write_batch("submission", staged, batch_id)
         if not self.tables.has_batch("submission_report", batch_id):
-            staged = self.tables.read_batch("submission", batch_id).withColumnsRenamed(
-                {f.replace(" ", "_"): f for f in REQUIRED_FORM_FIELDS}
-            )
+            staged = self.tables.read_batch("submission", batch_id)
             staged = staged.withColumn("_order", F.struct("entry", "submission_id"))
-            verdict = gate_rows(staged, self.fact(), "_order").withColumn(
-                "duplicate_of", F.col("duplicate_of.id")
-            )
-            report = verdict.withColumnsRenamed({f: f.replace(" ", "_") for f in FORM_FIELDS})
+            verdict = judge_rows(staged, self.fact(), "_order")
+            report = verdict.withColumn("duplicate_of", F.col("duplicate_of.id"))
             self.tables.write_batch("submission_report", report, batch_id)
         report = self.tables.read_batch("submission_report", batch_id)
         if not self.tables.has_batch("expenses_line", batch_id):
-            passed = report.filter(F.col("status") == ACCEPTED).withColumnsRenamed(
-                {"submission_id": "id", **{f.replace(" ", "_"): f for f in FORM_FIELDS}}
-            )
-            lines = to_expenses_line(passed.select("id", *FORM_FIELDS))
+            passed = report.filter(F.col("status") == ACCEPTED)
+            rows = passed.withColumnsRenamed({s: f for f, s in stored.items()})
+            lines = to_expenses_line(rows.select(F.col("submission_id").alias("id"), *FORM_FIELDS))
             lines = lines.withColumn("source_file", F.lit(None).cast("string"))
             self.tables.write_batch("expenses_line", lines, batch_id)
         self.sync_fact(batch_id)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.functions.amounts import money_mean, money_sum
+from coinbrook.functions.amounts import exact_part, inexact_part, join_parts, nan_to_null
 from coinbrook.plans.kpis import AMOUNT
 
 # KPI name -> its group keys.
@@ -29,15 +29,26 @@ def kpi_mart(fact: DataFrame) -> DataFrame:
     to, and only the key columns of that KPI are filled. Groups with a missing key are left out.
     """
     keys = [key for group in KPI_KEYS.values() for key in group]
-    cells = fact.groupingSets([[F.col(k) for k in g] for g in KPI_KEYS.values()], *keys).agg(
-        money_sum(F.col(AMOUNT)).alias("total"),
-        money_mean(F.col(AMOUNT)).alias("mean"),
+    amount = F.col(AMOUNT)
+    # Converted here, once per row: below, each row is handled once per KPI.
+    parts = fact.select(
+        *keys,
+        exact_part(amount).alias("_exact"),
+        inexact_part(amount).alias("_inexact"),
+        nan_to_null(amount).isNotNull().alias("_present"),
+    )
+    total = join_parts(F.sum("_exact"), F.sum("_inexact"))
+    present = F.count_if("_present")
+    cells = parts.groupingSets([[F.col(k) for k in g] for g in KPI_KEYS.values()], *keys).agg(
+        total.alias("total"),
+        F.when(present > 0, total / present).alias("mean"),
         F.count("*").alias("transactions"),
         *[F.grouping(key).alias(f"_{key}") for key in keys],
     )
 
-    def belongs(group: list[str]):
-        return reduce(lambda a, b: a & b, [(F.col(f"_{k}") == 0) & F.col(k).isNotNull() for k in group])
+    def belongs(group: list[str]) -> Column:
+        filled = [(F.col(f"_{key}") == 0) & F.col(key).isNotNull() for key in group]
+        return reduce(Column.__and__, filled)
 
     kpi = F.coalesce(*[F.when(belongs(group), F.lit(name)) for name, group in KPI_KEYS.items()])
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not shared:
         shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/coinbrook-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    What follows neither recomputes it nor depends on the executors that did, and reads only the
+    columns and rows it needs.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

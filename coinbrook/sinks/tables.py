@@ -6,26 +6,30 @@ partition; the fact table by year, which is what date filters prune on.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coinbrook.operators.duplicates import ROW_KEY
 from coinbrook.schemas import DIM_ACCOUNT, EXPENSES_LINE, FCT_EXPENSE, INTEGRITY_FILE_IMPORTED
 
 _BATCH = T.StructField("batch_id", T.StringType())
 _FILE = T.StructField("source_file", T.StringType())
-_VERDICT = [
-    T.StructField("status", T.StringType()),
+_CHECKED = [
+    T.StructField("is_valid", T.BooleanType()),
     T.StructField("missing_fields", T.ArrayType(T.StringType())),
     T.StructField("error_field", T.StringType()),
     T.StructField("error_reason", T.StringType()),
     T.StructField("error_value", T.StringType()),
-    T.StructField("duplicate_of", T.StringType()),
 ]
+_VERDICT = [T.StructField("status", T.StringType()), T.StructField("duplicate_of", T.StringType())]
 FORM_FIELDS = ["Description", "Date", "Amount", "Category", "From Account", "To Account"]
 _FORM = [T.StructField(f.replace(" ", "_"), T.StringType()) for f in FORM_FIELDS]
+_KEY_TYPES = {"key_date": T.DateType(), "key_amount": T.DoubleType()}
+_KEY = [T.StructField(k, _KEY_TYPES.get(k, T.StringType())) for k in ROW_KEY]
 _ENTRY = [T.StructField("submission_id", T.StringType()), T.StructField("entry", T.LongType())]
 
 # Physical tables: columns and partition column. The fact table is stored under a version number
@@ -34,8 +38,11 @@ STORED = {
     "expenses_line": (T.StructType([*EXPENSES_LINE, _FILE, _BATCH]), "batch_id"),
     "integrity_file_imported": (T.StructType([*INTEGRITY_FILE_IMPORTED, _BATCH]), "batch_id"),
     "dim_account": (DIM_ACCOUNT, None),
-    "submission": (T.StructType([*_ENTRY, *_FORM, _BATCH]), "batch_id"),
-    "submission_report": (T.StructType([*_ENTRY, *_FORM, *_VERDICT, _BATCH]), "batch_id"),
+    "submission": (T.StructType([*_ENTRY, *_FORM, *_CHECKED, *_KEY, _BATCH]), "batch_id"),
+    "submission_report": (
+        T.StructType([*_ENTRY, *_FORM, *_CHECKED, *_VERDICT, _BATCH]),
+        "batch_id",
+    ),
     "file_report": (
         T.StructType(
             [
@@ -110,15 +117,15 @@ class LedgerTables:
         return not self.read_batch(table, batch_id).isEmpty()
 
     def write_batch(self, table: str, frame: DataFrame, batch_id: str) -> None:
-        """Write the rows of one batch in place of any earlier ones. The partition shows up
-        complete or not at all."""
-        columns = self.spark.table(self._name(table)).columns
-        (
-            frame.withColumn("batch_id", F.lit(batch_id))
-            .select(*columns)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(self._name(table))
+        """Write the rows of one batch in place of any earlier ones of that batch. The catalog
+        gets the partition when all of it is written, so it shows up complete or not at all."""
+        if not re.fullmatch(r"[\w.:-]+", batch_id):
+            raise ValueError(f"batch id {batch_id!r} has characters other than letters, digits, _.:-")
+        columns = [c for c in self.spark.table(self._name(table)).columns if c != "batch_id"]
+        self.spark.sql(
+            f"INSERT OVERWRITE TABLE {self._name(table)} PARTITION (batch_id = '{batch_id}') "
+            "SELECT * FROM {rows}",
+            rows=frame.select(*columns),
         )
 
     def append(self, table: str, frame: DataFrame, columns: Sequence[str]) -> None:

@@ -8,6 +8,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,9 @@ def find_files(
     that no cell holds a line break. One entry per file comes to the driver, no more than Spark's
     own file listing keeps there.
     """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .load(list(paths))
-        .select("path", "modificationTime", F.col("_metadata.file_path").alias("file"))
+    present = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(list(paths))
+    listing = present.select(
+        "path", "modificationTime", F.col("_metadata.file_path").alias("file")
     )
     lines = (
         spark.read.option("pathGlobFilter", glob)
@@ -80,6 +79,12 @@ def find_files(
                 line_breaks_in_cells=bool(row["broken"]),
             )
         )
+    # A scan passes over files without a single byte; they are files all the same.
+    scanned = {f.file for f in found}
+    everything = {re.sub("^file:/+", "file:/", f) for f in present.inputFiles()}
+    for file in sorted(everything - scanned):
+        path = unquote(file)
+        found.append(CsvFile(file, path, path.rsplit("/", 1)[-1], None, (), False))
     return found
 
 

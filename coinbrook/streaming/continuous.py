@@ -28,6 +28,7 @@ def import_stream(
     """
     arrivals = (
         ledger.spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(landing)
