@@ -37,6 +37,22 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.filter((F.col("row_count") > 1) | missing)
 
 
+def files_with_bad_ids(rows: DataFrame, files: DataFrame, history: DataFrame) -> DataFrame:
+    """Files that bring ids of their own which cannot be keys: missing, repeated in the file, used
+    by an earlier file of the batch, or present in the history. Returns the distinct ``file``."""
+    own = rows.filter("has_id").select("file", "id")
+    missing = own.filter("id is null").select("file")
+    counted = own.filter("id is not null").groupBy("id", "file").agg(F.count("*").alias("_n"))
+    placed = counted.join(files.select("file", "arrival"), "file").withColumn(
+        "_place", F.struct("arrival", "file")
+    )
+    first = placed.groupBy("id").agg(F.min("_place").alias("_first"))
+    repeated = placed.join(first, "id").filter("_n > 1 or _place > _first").select("file")
+    known = seen_before(history.select("id"), own, ["id"]).distinct()
+    used = counted.join(known, "id", "left_semi").select("file")
+    return missing.unionByName(repeated).unionByName(used).distinct()
+
+
 def with_submission_key(submissions: DataFrame) -> DataFrame:
     """Add the six key columns to rows with form labels."""
     return submissions.withColumns(

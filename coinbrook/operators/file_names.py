@@ -101,10 +101,8 @@ def _windows(logged: DataFrame, masks: Sequence[str]) -> DataFrame:
             for mask in masks
         ]
     )
-    starts = F.filter(
-        F.sequence(F.lit(1), F.length("_logged") + 1),
-        lambda start: start + F.col("_shape.length") <= F.length("_logged") + 1,
-    )
+    last = F.length("_logged") - F.col("_shape.length") + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
     blanked = F.aggregate(
         "_shape.blanks",
         F.expr("substring(_logged, _start, _shape.length)"),

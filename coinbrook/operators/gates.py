@@ -16,6 +16,7 @@ BAD_STRUCTURE = "structure"
 ALREADY_IMPORTED = "already imported"
 DUPLICATE_ROWS = "duplicate rows"
 BAD_DATES = "bad dates"
+BAD_IDS = "bad ids"
 INVALID = "invalid"
 DUPLICATE = "duplicate"
 
@@ -26,21 +27,27 @@ def gate_files(
     log: DataFrame,
     match: str = "contains",
     strict: bool = False,
+    bad_ids: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict per file of a batch.
 
     ``files`` has one row per file: ``file`` (unique), ``filename`` (as logged), ``arrival`` (any
     orderable value) and ``missing_columns``. ``rows`` are the normalised raw rows of all files
     with their ``file``. The first failing check names the status, in this order: structure,
-    already imported, duplicate rows, dates. Where two files of the batch would block each other
+    already imported, duplicate rows, dates, ids (of the files in ``bad_ids``, if given). Where two files of the batch would block each other
     by name, the earlier one wins, as if they had been imported one after the other.
     """
     findings = check_file_rows(rows, ["file"], strict)
     counts = [c for c in findings.columns if c != "file"]
     masks = name_masks(files) if match == "contains" else None
     info = ["ts", "id", "filename", "date_imported", "no_of_rows_imported"]
+    if bad_ids is None:
+        listed = files.withColumn("bad_ids", F.lit(False))
+    else:
+        flagged = bad_ids.select("file", F.lit(True).alias("bad_ids"))
+        listed = files.join(flagged, "file", "left").fillna(False, ["bad_ids"])
     known = (
-        find_logged(files, log, info, match, masks)
+        find_logged(listed, log, info, match, masks)
         .withColumnRenamed("hit", "imported_as")
         .join(findings, "file", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
@@ -64,6 +71,7 @@ def _status() -> Column:
         .when(F.col("imported_as").isNotNull(), ALREADY_IMPORTED)
         .when(F.col("duplicate_groups") > 0, DUPLICATE_ROWS)
         .when(F.col("bad_dates") > 0, BAD_DATES)
+        .when(F.col("bad_ids"), BAD_IDS)
         .otherwise(ACCEPTED)
     )
 

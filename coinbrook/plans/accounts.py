@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coinbrook.operators.lookup import absent_from
 from coinbrook.schemas import DIM_ACCOUNT, SEED_ACCOUNTS
+from coinbrook.sources.local import local_frame
 
 
 def seed_rows(spark: SparkSession) -> DataFrame:
     """The accounts every ledger starts with, without ids."""
     fields = [f for f in DIM_ACCOUNT if f.name != "id"]
-    return spark.createDataFrame(SEED_ACCOUNTS, type(DIM_ACCOUNT)(fields))
+    return local_frame(spark, SEED_ACCOUNTS, StructType(fields))
 
 
 def accounts_to_add(candidates: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coinbrook.operators.duplicates import files_with_bad_ids
 from coinbrook.operators.gates import ACCEPTED, gate_files, judge_rows, prepare_rows
 from coinbrook.operators.normalize import normalize_header, rename_form_labels, to_expenses_line
 from coinbrook.operators.validation import missing_columns
@@ -22,7 +23,8 @@ from coinbrook.plans.fact import build_fact, new_facts
 from coinbrook.schemas import DEFAULT_CATEGORY, DIM_ACCOUNT, FRAME_NAME
 from coinbrook.sinks.export import export_tables
 from coinbrook.sinks.tables import FORM_FIELDS, LedgerTables
-from coinbrook.sources.csv_files import file_frame, find_files, read_csv, read_files
+from coinbrook.sources.csv_files import CsvFile, file_frame, find_files, read_csv, read_files
+from coinbrook.sources.local import local_frame
 
 
 def _new_batch() -> str:
@@ -41,6 +43,8 @@ class Ledger:
     ):
         self.spark = spark
         self.as_of = as_of
+        # Batches landed here that the fact table cannot have seen yet.
+        self._fresh: set[str] = set()
         self.tables = LedgerTables(spark, database, location).open()
         self.add_accounts(seed_rows(spark))
 
@@ -68,12 +72,19 @@ class Ledger:
     def insert(self, rows: DataFrame, batch_id: str | None = None) -> str:
         """Append rows without checks, and bring the fact table up to date."""
         batch_id = batch_id or _new_batch()
-        if not self.tables.has_batch("expenses_line", batch_id):
-            lines = to_expenses_line(rows).withColumn("source_file", F.lit(None).cast("string"))
-            self.tables.write_batch("expenses_line", lines, batch_id)
+        self._land(to_expenses_line(rows), batch_id)
         self.sync_fact(batch_id)
         return batch_id
 
+    def _land(self, lines: DataFrame, batch_id: str) -> None:
+        """Write raw rows, unless the batch has landed before."""
+        if self.tables.has_batch("expenses_line", batch_id):
+            return
+        if "source_file" not in lines.columns:
+            lines = lines.withColumn("source_file", F.lit(None).cast("string"))
+        self.tables.write_batch("expenses_line", lines, batch_id)
+        self._fresh.add(batch_id)
+
     def seed(self, path: str) -> bool:
         """Fill an empty ledger from a CSV file, without checks; True if that was needed."""
         if not self.expenses().isEmpty():
@@ -83,10 +94,20 @@ class Ledger:
 
     def refresh_fact(self) -> None:
         """Rebuild the whole fact table; all clock columns are stamped anew."""
+        self._fresh.clear()
         self.tables.swap_fact(build_fact(self.expenses(), self.as_of))
 
     def sync_fact(self, batch_id: str | None = None) -> None:
-        """Add the fact rows that are missing - of one batch, or of all."""
+        """Add the fact rows that are missing - of one batch, or of all.
+
+        Rows this object has just landed cannot be in the fact table yet and are added unseen.
+        Only for a batch that had landed before, say in a job that died, the ids are compared.
+        """
+        if batch_id in self._fresh:
+            lines = self.tables.read_batch("expenses_line", batch_id)
+            self._fresh.discard(batch_id)
+            self.tables.add_facts(build_fact(lines, self.as_of))
+            return
         lines = (
             self.expenses()
             if batch_id is None
@@ -109,21 +130,17 @@ class Ledger:
         batch_id = batch_id or _new_batch()
         found = find_files(self.spark, paths, check_line_breaks=check_line_breaks)
         if not self.tables.has_batch("file_report", batch_id):
-            verdict = gate_files(
-                file_frame(self.spark, found),
-                read_files(self.spark, found),
-                self.import_log(),
-                match,
-                strict,
-            )
+            files, rows = file_frame(self.spark, found), read_files(self.spark, found)
+            bad_ids = None
+            if any("id" in f.columns for f in found):
+                bad_ids = files_with_bad_ids(rows, files, self.expenses())
+            verdict = gate_files(files, rows, self.import_log(), match, strict, bad_ids)
             report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
             self.tables.write_batch("file_report", report, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
         accepted = report.filter(F.col("status") == ACCEPTED)
-        if not self.tables.has_batch("expenses_line", batch_id):
-            passed = {row["file"] for row in accepted.select("file").toLocalIterator()}
-            rows = read_files(self.spark, [f for f in found if f.file in passed])
-            self._land(rows, batch_id)
+        passed = {row["file"] for row in accepted.select("file").toLocalIterator()}
+        self._land_files([f for f in found if f.file in passed], batch_id)
         if not self.tables.has_batch("integrity_file_imported", batch_id):
             self._log_files(accepted, batch_id)
         self.sync_fact(batch_id)
@@ -143,7 +160,8 @@ class Ledger:
         missing = missing_columns(rows.columns)
         rows = rows.withColumn("file", F.lit(filename))
         if not self.tables.has_batch("file_report", batch_id):
-            files = self.spark.createDataFrame(
+            files = local_frame(
+                self.spark,
                 [(filename, filename, 0, missing)],
                 "file string, filename string, arrival int, missing_columns array<string>",
             )
@@ -153,16 +171,15 @@ class Ledger:
         report = self.tables.read_batch("file_report", batch_id)
         accepted = report.filter(F.col("status") == ACCEPTED)
         if not accepted.isEmpty():
-            if not self.tables.has_batch("expenses_line", batch_id):
-                lines = to_expenses_line(rows).withColumn("source_file", F.lit(filename))
-                self.tables.write_batch("expenses_line", lines, batch_id)
+            lines = to_expenses_line(rows).withColumn("source_file", F.lit(filename))
+            self._land(lines, batch_id)
             if not self.tables.has_batch("integrity_file_imported", batch_id):
                 self._log_files(accepted, batch_id)
             self.sync_fact(batch_id)
         return report
 
-    def _land(self, rows: DataFrame, batch_id: str) -> None:
-        rows = rows.withColumns(
+    def _land_files(self, files: Sequence[CsvFile], batch_id: str) -> None:
+        rows = read_files(self.spark, files).withColumns(
             {
                 "id": F.when(F.col("has_id"), F.col("id")).otherwise(F.expr("uuid()")),
                 "category": F.when(F.col("has_category"), F.col("category")).otherwise(
@@ -170,10 +187,8 @@ class Ledger:
                 ),
             }
         )
-        lines = to_expenses_line(rows, keep=["file"])
-        self.tables.write_batch(
-            "expenses_line", lines.withColumnRenamed("file", "source_file"), batch_id
-        )
+        lines = to_expenses_line(rows, keep=["file"]).withColumnRenamed("file", "source_file")
+        self._land(lines, batch_id)
 
     def _log_files(self, accepted: DataFrame, batch_id: str) -> None:
         now = F.current_timestamp() if self.as_of is None else F.lit(self.as_of).cast("timestamp")
@@ -214,12 +229,10 @@ class Ledger:
             report = verdict.withColumn("duplicate_of", F.col("duplicate_of.id"))
             self.tables.write_batch("submission_report", report, batch_id)
         report = self.tables.read_batch("submission_report", batch_id)
-        if not self.tables.has_batch("expenses_line", batch_id):
-            passed = report.filter(F.col("status") == ACCEPTED)
-            rows = passed.withColumnsRenamed({s: f for f, s in stored.items()})
-            lines = to_expenses_line(rows.select(F.col("submission_id").alias("id"), *FORM_FIELDS))
-            lines = lines.withColumn("source_file", F.lit(None).cast("string"))
-            self.tables.write_batch("expenses_line", lines, batch_id)
+        passed = report.filter(F.col("status") == ACCEPTED)
+        rows = passed.withColumnsRenamed({s: f for f, s in stored.items()})
+        rows = rows.select(F.col("submission_id").alias("id"), *FORM_FIELDS)
+        self._land(to_expenses_line(rows), batch_id)
         self.sync_fact(batch_id)
         return report
 

@@ -17,14 +17,11 @@ from pyspark.sql import types as T
 from coinbrook.functions.text import na_to_null
 from coinbrook.operators.normalize import column_name
 from coinbrook.operators.validation import missing_columns
+from coinbrook.sources.csv_records import opens_cell, read_lines, read_records
+from coinbrook.sources.local import local_frame
 
 KNOWN_COLUMNS = ["id", "date", "description", "category", "amount", "from_account", "towards"]
 
-# A closed field of a record, and a quoted field that is still open where the line ends.
-_CLOSED_FIELD = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+)?+'
-_OPEN_FIELD = r'"(?:[^"]++|"")*+'
-OPEN_LINE = rf"^(?:{_CLOSED_FIELD},)*+{_OPEN_FIELD}$"
-
 
 @dataclass(frozen=True)
 class CsvFile:
@@ -33,7 +30,8 @@ class CsvFile:
     file: str
     path: str
     filename: str
-    arrival: object
+    arrival: int | None
+    labels: tuple[str, ...]
     columns: tuple[str, ...]
     line_breaks_in_cells: bool
 
@@ -49,33 +47,28 @@ def find_files(
     """
     present = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(list(paths))
     listing = present.select(
-        "path", "modificationTime", F.col("_metadata.file_path").alias("file")
-    )
-    lines = (
-        spark.read.option("pathGlobFilter", glob)
-        .text(list(paths))
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        )
+        "path",
+        F.unix_micros("modificationTime").alias("arrival"),
+        F.col("_metadata.file_path").alias("file"),
     )
-    at_top = (F.col("block") == 0) & (F.trim("value") != "")
-    broken = F.col("value").rlike(OPEN_LINE) if check_line_breaks else F.lit(False)
+    lines = read_lines(spark, paths, pathGlobFilter=glob)
+    at_top = (F.col("block") == 0) & F.col("value").rlike(r"\S")
+    broken = opens_cell(F.col("value")) if check_line_breaks else F.lit(False)
     heads = lines.groupBy("file").agg(
         F.min_by(F.when(at_top, F.col("value")), F.when(at_top, F.col("line"))).alias("header"),
         F.max(broken).alias("broken"),
     )
     found = []
-    for row in listing.join(heads, "file", "left").orderBy("modificationTime", "file").collect():
+    for row in listing.join(heads, "file", "left").orderBy("arrival", "file").collect():
+        labels = _labels(row["header"])
         found.append(
             CsvFile(
                 file=row["file"],
                 path=row["path"],
                 filename=row["path"].rsplit("/", 1)[-1],
-                arrival=row["modificationTime"],
-                columns=_header_columns(row["header"]),
+                arrival=row["arrival"],
+                labels=labels,
+                columns=_columns(labels),
                 line_breaks_in_cells=bool(row["broken"]),
             )
         )
@@ -84,14 +77,18 @@ def find_files(
     everything = {re.sub("^file:/+", "file:/", f) for f in present.inputFiles()}
     for file in sorted(everything - scanned):
         path = unquote(file)
-        found.append(CsvFile(file, path, path.rsplit("/", 1)[-1], None, (), False))
+        found.append(CsvFile(file, path, path.rsplit("/", 1)[-1], None, (), (), False))
     return found
 
 
-def _header_columns(header: str | None) -> tuple[str, ...]:
+def _labels(header: str | None) -> tuple[str, ...]:
     if header is None:
         return ()
-    columns = [column_name(c) for c in next(csv.reader([header.lstrip("﻿")]))]
+    return tuple(next(csv.reader([header.lstrip("\ufeff").rstrip("\r")])))
+
+
+def _columns(labels: Sequence[str]) -> tuple[str, ...]:
+    columns = [column_name(c) for c in labels]
     if "towards" not in columns:
         columns = ["towards" if c == "to_account" else c for c in columns]
     return tuple(columns)
@@ -99,16 +96,12 @@ def _header_columns(header: str | None) -> tuple[str, ...]:
 
 def file_frame(spark: SparkSession, files: Sequence[CsvFile]) -> DataFrame:
     """The found files as a frame: file, filename, arrival, missing_columns."""
-    schema = T.StructType(
-        [
-            T.StructField("file", T.StringType()),
-            T.StructField("filename", T.StringType()),
-            T.StructField("arrival", T.TimestampType()),
-            T.StructField("missing_columns", T.ArrayType(T.StringType())),
-        ]
-    )
     rows = [(f.file, f.filename, f.arrival, missing_columns(f.columns)) for f in files]
-    return spark.createDataFrame(rows, schema)
+    return local_frame(
+        spark,
+        rows,
+        "file string, filename string, arrival bigint, missing_columns array<string>",
+    )
 
 
 def read_files(spark: SparkSession, files: Sequence[CsvFile]) -> DataFrame:
@@ -116,8 +109,8 @@ def read_files(spark: SparkSession, files: Sequence[CsvFile]) -> DataFrame:
 
     A column a file lacks is NULL in its rows, except that ``has_id`` and ``has_category`` tell a
     missing column from empty cells. ``extra_fields`` holds what a row has beyond its header.
-    Files are read together by layout, that is by where the known columns stand; only files with
-    line breaks inside cells need the reader that does not split a file.
+    Files are read together by layout, that is by where the known columns stand. Files with line
+    breaks inside cells take the way of ``read_records``, so that they are split as well.
     """
     layouts: dict[tuple, list[str]] = defaultdict(list)
     for f in files:
@@ -126,7 +119,7 @@ def read_files(spark: SparkSession, files: Sequence[CsvFile]) -> DataFrame:
             layouts[(len(f.columns), places, f.line_breaks_in_cells)].append(f.path)
     frames = [_read_layout(spark, *layout, paths) for layout, paths in layouts.items()]
     if not frames:
-        return spark.createDataFrame([], _row_schema())
+        return local_frame(spark, [], _row_schema())
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -142,21 +135,13 @@ def _row_schema() -> T.StructType:
 def _read_layout(
     spark: SparkSession, width: int, places: tuple, multi_line: bool, paths: Sequence[str]
 ) -> DataFrame:
-    cells = [T.StructField(f"c{i}", T.StringType()) for i in range(width + 1)]
-    raw = (
-        spark.read.schema(T.StructType(cells))
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv([_plain_path(p) for p in paths])
-    )
     known = [
         (F.lit(None).cast("string") if at is None else na_to_null(F.col(f"c{at}"))).alias(name)
         for name, at in zip(KNOWN_COLUMNS, places)
     ]
     has = dict(zip(KNOWN_COLUMNS, places))
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"),
+    return _read_cells(spark, width, multi_line, paths).select(
+        "file",
         *known,
         F.col(f"c{width}").alias("extra_fields"),
         F.lit(has["id"] is not None).alias("has_id"),
@@ -164,6 +149,19 @@ def _read_layout(
     )
 
 
+def _read_cells(
+    spark: SparkSession, width: int, multi_line: bool, paths: Sequence[str]
+) -> DataFrame:
+    """Cells by position as ``c0``, ``c1`` ..., one more than the header has, and ``file``."""
+    cells = ", ".join(f"c{i} string" for i in range(width + 1))
+    paths = [_plain_path(p) for p in paths]
+    if multi_line:
+        record = F.from_csv("record", cells, {"escape": '"'}).alias("_cells")
+        return read_records(spark, paths).select("file", record).select("file", "_cells.*")
+    raw = spark.read.schema(cells).options(header=True, escape='"').csv(paths)
+    return raw.withColumn("file", F.col("_metadata.file_path"))
+
+
 def _plain_path(path: str) -> str:
     """A path that readers take literally, not as a pattern."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
@@ -172,14 +170,15 @@ def _plain_path(path: str) -> str:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """One CSV file (or a directory of equal ones) as text columns under its own header names."""
     files = find_files(spark, [path])
-    if not any(f.columns for f in files):
-        raise ValueError(f"no columns to read in {path}")
-    multi_line = any(f.line_breaks_in_cells for f in files)
-    raw = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv([_plain_path(f.path) for f in files])
-    )
-    return raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    headers = {f.labels for f in files if f.labels}
+    if len(headers) != 1:
+        raise ValueError(f"{path} has {len(headers)} different headers, expected one")
+    labels = headers.pop()
+    frames = []
+    for multi_line in (False, True):
+        paths = [f.path for f in files if f.labels and f.line_breaks_in_cells == multi_line]
+        if paths:
+            raw = _read_cells(spark, len(labels), multi_line, paths)
+            cells = [na_to_null(F.col(f"c{i}")).alias(c) for i, c in enumerate(labels)]
+            frames.append(raw.select(*cells))
+    return reduce(DataFrame.unionByName, frames)

@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 import pytest
 
 from coinbrook.functions.text import NA_TOKENS
@@ -66,6 +70,50 @@ def test_quotes_and_line_breaks(spark, tmp_path):
     assert got == {'say "hi", now', "two\nlines", '5" pipe', 'a "b" c', '5" x'}
 
 
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+@pytest.fixture
+def default_splits(spark):
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [16, 100, 10**8])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_line_breaks_in_split_files(spark, tmp_path, default_splits, size, line_end):
+    """Cells with line breaks, quotes and commas, in splits that cut through cells and records."""
+    pick = random.Random(size)
+    pieces = ["a", "b c", ",", '"', "\n", ' "', "x,y", "\n\n", '"\n"', ""]
+    expected = []
+    for number in range(3):
+        rows = [
+            ["".join(pick.choice(pieces) for _ in range(pick.randint(0, 6))) or "z" for _ in range(5)]
+            for _ in range(40)
+        ]
+        # A stray quote inside an unquoted cell opens nothing.
+        buffer = io.StringIO()
+        writer = csv.writer(buffer, lineterminator=line_end)
+        writer.writerow(["Date", "Description", "Amount", "From Account", "To Account"])
+        writer.writerows(rows)
+        buffer.write(f'5" pipe,q"r,1,n26,"last\ncell"{line_end}{line_end}')
+        rows.append(['5" pipe', 'q"r', "1", "n26", "last\ncell"])
+        (tmp_path / f"f{number}.csv").write_bytes(buffer.getvalue().encode())
+        expected += [(f"f{number}.csv", *row) for row in rows]
+    small_splits(spark, size)
+    found, rows = load(spark, tmp_path)
+    assert all(f.line_breaks_in_cells for f in found)
+    names = {f.file: f.filename for f in found}
+    got = [
+        (names[r.file], r.date, r.description, r.amount, r.from_account, r.towards)
+        for r in rows.collect()
+    ]
+    assert sorted(got) == sorted(expected)
+
+
 def test_odd_files(spark, tmp_path):
     write(tmp_path, "empty.csv", "")
     write(tmp_path, "header only.csv", HEADER)
@@ -89,18 +137,13 @@ def test_odd_files(spark, tmp_path):
     ]
 
 
-def test_a_plain_file_is_split_over_tasks(spark, tmp_path):
+def test_a_plain_file_is_split_over_tasks(spark, tmp_path, default_splits):
     write(tmp_path, "a.csv", HEADER + "2025-01-01,some words,1,n26,home\n" * 20000)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        found, rows = load(spark, tmp_path)
-        assert rows.rdd.getNumPartitions() > 4
-        assert rows.count() == 20000
-        assert rows.filter("description = 'some words'").count() == 20000
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    small_splits(spark, 100000)
+    found, rows = load(spark, tmp_path)
+    assert rows.rdd.getNumPartitions() > 4
+    assert rows.count() == 20000
+    assert rows.filter("description = 'some words'").count() == 20000
 
 
 def test_read_csv_keeps_the_header(spark, tmp_path):
