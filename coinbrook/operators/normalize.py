@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from coinbrook.functions.amounts import coerce_amount
+from coinbrook.functions.amounts import coerce_amount, nan_to_null
 from coinbrook.functions.dates import DATE_FORMATS, parse_date
 from coinbrook.schemas import DEFAULT_CATEGORY, EXPENSES_LINE, FORM_LABELS
 
@@ -54,13 +55,21 @@ def to_expenses_line(
     whole batch.
     """
     df = with_id(default_category(normalize_header(rename_form_labels(df))))
-    raw_date = F.col("date").cast("string")
-    date = parse_date(raw_date, formats)
-    bad_date = F.raise_error(F.concat(F.lit("not a date: "), raw_date)).cast("date")
-    typed = df.withColumns(
-        {
-            "amount": coerce_amount(F.col("amount")),
-            "date": F.when(date.isNull() & raw_date.isNotNull(), bad_date).otherwise(date),
-        }
-    )
+    typed = df.withColumns({"amount": _amount(df), "date": _date(df, formats)})
     return typed.select(*[F.col(f.name).cast(f.dataType) for f in EXPENSES_LINE], *keep)
+
+
+def _amount(df: DataFrame) -> Column:
+    amount = F.col("amount")
+    if isinstance(df.schema["amount"].dataType, T.NumericType):
+        return F.coalesce(nan_to_null(amount.cast("double")), F.lit(0.0))
+    return coerce_amount(amount)
+
+
+def _date(df: DataFrame, formats: Iterable[str]) -> Column:
+    if isinstance(df.schema["date"].dataType, T.DatetimeType):
+        return F.col("date").cast("date")
+    raw = F.col("date").cast("string")
+    date = parse_date(raw, formats)
+    bad = F.raise_error(F.concat(F.lit("not a date: "), raw)).cast("date")
+    return F.when(date.isNull() & raw.isNotNull(), bad).otherwise(date)

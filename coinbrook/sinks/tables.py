@@ -70,6 +70,12 @@ USER_TABLES = {
 }
 
 
+def _checked(batch_id: str) -> str:
+    if not re.fullmatch(r"[\w.:-]+", batch_id):
+        raise ValueError(f"batch id {batch_id!r} has characters other than letters, digits, _.:-")
+    return batch_id
+
+
 class LedgerTables:
     """Create, read and write the tables of one database."""
 
@@ -114,16 +120,16 @@ class LedgerTables:
         return frame.filter(frame["batch_id"] == batch_id)
 
     def has_batch(self, table: str, batch_id: str) -> bool:
-        return not self.read_batch(table, batch_id).isEmpty()
+        """Does the catalog know a partition of the batch? No data is read."""
+        spec = f"PARTITION (batch_id = '{_checked(batch_id)}')"
+        return not self.spark.sql(f"SHOW PARTITIONS {self._name(table)} {spec}").isEmpty()
 
     def write_batch(self, table: str, frame: DataFrame, batch_id: str) -> None:
         """Write the rows of one batch in place of any earlier ones of that batch. The catalog
         gets the partition when all of it is written, so it shows up complete or not at all."""
-        if not re.fullmatch(r"[\w.:-]+", batch_id):
-            raise ValueError(f"batch id {batch_id!r} has characters other than letters, digits, _.:-")
         columns = [c for c in self.spark.table(self._name(table)).columns if c != "batch_id"]
         self.spark.sql(
-            f"INSERT OVERWRITE TABLE {self._name(table)} PARTITION (batch_id = '{batch_id}') "
+            f"INSERT OVERWRITE TABLE {self._name(table)} PARTITION (batch_id = '{_checked(batch_id)}') "
             "SELECT * FROM {rows}",
             rows=frame.select(*columns),
         )

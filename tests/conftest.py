@@ -18,7 +18,8 @@ def spark():
         4,
         "tests",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            "spark.default.parallelism": "2",
             "spark.sql.warehouse.dir": f"{work}/warehouse",
             "spark.checkpoint.dir": f"{work}/shared",
         },
