@@ -70,13 +70,13 @@ def append_bronze(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def date_parts(spark: SparkSession, sf: str) -> DataFrame:
-    parts = calendar_columns(F.col("date"))
+    parts = calendar_columns("date")
     del parts["season"]
     return a.order_expenses(spark, sf).select("id", *[c.alias(n) for n, c in parts.items()])
 
 
 def season_label(spark: SparkSession, sf: str) -> DataFrame:
-    return a.order_expenses(spark, sf).select("id", season(F.col("date")).alias("season"))
+    return a.order_expenses(spark, sf).select("id", season("date").alias("season"))
 
 
 # -- input columns -------------------------------------------------------------------------

@@ -58,40 +58,34 @@ def parse_iso_date(text: Column) -> Column:
 
 
 # Names in the calendar columns.
-_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-_WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+_MONTHS = "array('Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec')"
+_WEEKDAYS = "array('Sunday','Monday','Tuesday','Wednesday','Thursday','Friday','Saturday')"
 
 
-def _name_at(names: list[str], place: Column) -> Column:
-    """Look a name up by its place; cheaper per row than formatting the date."""
-    # Compiled code of element_at takes a missing place for -1, hence the guard.
-    return F.when(place.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), place))
-
-
-def season(date: Column) -> Column:
-    """Season by month; a missing date falls to the last branch."""
-    month = F.month(date)
-    return (
-        F.when(month.isin(12, 1, 2), "Winter")
-        .when(month.isin(3, 4, 5), "Spring")
-        .when(month.isin(6, 7, 8), "Summer")
-        .otherwise("Autumn")
+def season(date: str) -> Column:
+    """Season by month of a date expression; a missing date falls to the last branch."""
+    return F.expr(
+        f"CASE WHEN month({date}) IN (12, 1, 2) THEN 'Winter' "
+        f"WHEN month({date}) IN (3, 4, 5) THEN 'Spring' "
+        f"WHEN month({date}) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END"
     )
 
 
-def calendar_columns(date: Column) -> dict[str, Column]:
-    """Calendar columns by name. The week starts with Sunday as day 0."""
-    return {
-        "day_of_month": F.dayofmonth(date),
-        "month": F.month(date),
-        "year": F.year(date),
-        "month_year": F.year(date) * 100 + F.month(date),
-        "month_year_marker": F.concat(
-            _name_at(_MONTHS, F.month(date)),
-            F.lit("-"),
-            F.lpad((F.year(date) % 100).cast("string"), 2, "0"),
-        ),
-        "num_day_of_week": F.dayofweek(date) - 1,
-        "day_of_week": _name_at(_WEEKDAYS, F.dayofweek(date)),
-        "season": season(date),
+def calendar_columns(date: str) -> dict[str, Column]:
+    """Calendar columns of a date expression, by name. The week starts with Sunday as day 0.
+
+    Names are looked up by number, which costs less per row than formatting the date. The lookup
+    is guarded since compiled element_at takes a missing number for -1.
+    """
+    columns = {
+        "day_of_month": f"day({date})",
+        "month": f"month({date})",
+        "year": f"year({date})",
+        "month_year": f"year({date}) * 100 + month({date})",
+        "month_year_marker": f"IF({date} IS NOT NULL, concat(element_at({_MONTHS}, "
+        f"month({date})), '-', lpad(CAST(year({date}) % 100 AS STRING), 2, '0')), NULL)",
+        "num_day_of_week": f"dayofweek({date}) - 1",
+        "day_of_week": f"IF({date} IS NOT NULL, "
+        f"element_at({_WEEKDAYS}, dayofweek({date})), NULL)",
     }
+    return {**{name: F.expr(sql) for name, sql in columns.items()}, "season": season(date)}

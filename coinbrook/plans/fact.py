@@ -13,27 +13,32 @@ from coinbrook.schemas import CURRENCY, FCT_EXPENSE
 
 
 def build_fact(expenses: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
-    """All raw rows as fact rows. ``as_of`` stamps the two clock columns (default: now)."""
+    """All rows of the raw table as fact rows. ``as_of`` stamps the two clock columns (default: now)."""
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-    date = F.col("date").cast("date")
+    nothing = F.expr("CAST(NULL AS STRING)")
     columns = {
-        "id": F.col("id"),
-        "expense_date": date,
+        "id": "id",
+        "expense_date": "date",
         "booked_date": now.cast("date"),
         "last_modified_at": now,
-        "description": F.col("description"),
-        "parent_category": F.col("category"),
-        "sub_category": F.lit(None),
-        "category_tag": F.lit(None),
-        "expend_amount": F.col("amount"),
+        "description": "description",
+        "parent_category": "category",
+        "sub_category": nothing,
+        "category_tag": nothing,
+        "expend_amount": "amount",
         "currency": F.lit(CURRENCY),
-        "from_account_marker": F.col("from_account"),
-        "towards_category": F.col("towards"),
-        "towards_sub_category": F.lit(None),
-        "towards_category_tag": F.lit(None),
-        **calendar_columns(date),
+        "from_account_marker": "from_account",
+        "towards_category": "towards",
+        "towards_sub_category": nothing,
+        "towards_category_tag": nothing,
+        **calendar_columns("date"),
     }
-    return expenses.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in FCT_EXPENSE])
+    return expenses.select(
+        *[
+            (F.col(source) if isinstance(source, str) else source).alias(name)
+            for name, source in columns.items()
+        ]
+    )
 
 
 def new_facts(

@@ -97,13 +97,13 @@ def test_parse_date_with_other_formats(frame):
 )
 def test_calendar_columns(frame, date, expected):
     rows = frame([(date,)], "d date")
-    columns = [c.alias(n) for n, c in dates.calendar_columns(F.col("d")).items()]
+    columns = [c.alias(n) for n, c in dates.calendar_columns("d").items()]
     assert tuple(rows.select(*columns).first()) == expected
 
 
 def test_calendar_names_equal_the_formatter(spark):
     days = spark.sql("SELECT explode(sequence(date'1999-01-01', date'2024-12-31')) AS d")
-    names = dates.calendar_columns(F.col("d"))
+    names = dates.calendar_columns("d")
     wrong = days.filter(
         (names["month_year_marker"] != F.date_format("d", "MMM-yy"))
         | (names["day_of_week"] != F.date_format("d", "EEEE"))
