@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
-# Amounts below the limit are added as decimals with six places, so a sum is the same whatever
-# the task order. 12 digits before the point fit decimal(18,6); the few beyond it, infinities
-# among them, are added as doubles beside it.
-MONEY = "decimal(18,6)"
-MONEY_LIMIT = 1e12
+# Amounts below the limit are added as whole millionths, so a sum is exact and the same whatever
+# the task order. Below it a double holds six decimal places exactly; the few amounts beyond,
+# infinities among them, are added as doubles beside it.
+PER_ONE = 1_000_000
+UNIT_LIMIT = 1e9
+
+# A long could overflow in the sum of 10^12 rows. The low bits are summed on their own.
+_LOW_BITS = 20
 
 
 def nan_to_null(amount: Column) -> Column:
@@ -38,24 +43,39 @@ def is_finite(amount: Column) -> Column:
     return F.coalesce(F.abs(amount) < float("inf"), F.lit(False))
 
 
-def exact_part(amount: Column) -> Column:
-    """The amount as a decimal where it fits, else NULL."""
-    return F.when(F.abs(amount) < MONEY_LIMIT, amount).cast(MONEY)
+def units(amount: Column) -> Column:
+    """The amount in millionths as a long, NULL for one beyond the limit."""
+    return F.rint(F.when(F.abs(amount) < UNIT_LIMIT, amount) * PER_ONE).cast("bigint")
+
+
+def beyond_units(amount: Column) -> Column:
+    """The amount itself if it is beyond the limit, else NULL (NaN gives NULL)."""
+    return F.when((F.abs(amount) >= UNIT_LIMIT) & ~F.isnan(amount), amount)
+
+
+def join_units(total_units: Column, total_beyond: Column) -> Column:
+    """Both parts of a sum as one double; a missing part counts as nothing."""
+    exact = (total_units * F.lit(Decimal(1) / PER_ONE)).cast("double")
+    return F.coalesce(exact, F.lit(0.0)) + F.coalesce(total_beyond, F.lit(0.0))
 
 
-def inexact_part(amount: Column) -> Column:
-    """The amount as a double where it does not fit the decimal, else NULL (NaN gives NULL)."""
-    return F.when((F.abs(amount) >= MONEY_LIMIT) & ~F.isnan(amount), amount)
+def money_parts(amount: Column) -> tuple[Column, Column, Column]:
+    """What is to be summed, each part on its own, for ``money_total``. Sums of longs and doubles
+    run several times faster than sums of decimals."""
+    whole = units(amount)
+    low = whole.bitwiseAND(F.lit(2**_LOW_BITS - 1))
+    return F.shiftright(whole, _LOW_BITS), low, beyond_units(amount)
 
 
-def join_parts(exact: Column, inexact: Column) -> Column:
-    """Sum of both parts as a double; a missing part counts as nothing."""
-    return F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(inexact, F.lit(0.0))
+def money_total(high: Column, low: Column, beyond: Column) -> Column:
+    """The sum as a double, from the sums of the parts."""
+    whole = high.cast("decimal(30,0)") * F.lit(2**_LOW_BITS) + low
+    return join_units(whole.cast("decimal(31,0)"), beyond)
 
 
 def money_sum(amount: Column) -> Column:
     """Aggregate: NULL and NaN are skipped, a group without any amount gives 0.0."""
-    return join_parts(F.sum(exact_part(amount)), F.sum(inexact_part(amount)))
+    return money_total(*[F.sum(part) for part in money_parts(amount)])
 
 
 def money_mean(amount: Column) -> Column:

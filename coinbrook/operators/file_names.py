@@ -9,6 +9,7 @@ the wild-card places blanked out, and these meet the names in an equality join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,21 +18,42 @@ from pyspark.sql import functions as F
 # Masks handled in one pass over the log; further masks take further passes.
 MASKS_PER_PASS = 256
 
+# Up to this many names are broadcast to the log; more of them meet it in a sort-merge join.
+BROADCAST_NAMES = 100_000
+
 # An escape character no file name has: backslashes in names stay plain characters.
 _ESCAPE = "\\u0001"
 
 
+@dataclass(frozen=True)
+class Shapes:
+    """What is to be known about the names before the log is cut up.
+
+    ``masks`` are the shapes that occur, such as "xxxxx_xxxxxxx": far fewer than names, and never
+    more than the files of a batch, whose list the driver holds anyway in order to read them.
+    """
+
+    masks: list[str]
+    names: int
+
+
+def name_shapes(names: DataFrame) -> Shapes:
+    counts = _patterns(names).groupBy("_mask").count().toLocalIterator()
+    by_mask = {row["_mask"]: row["count"] for row in counts}
+    return Shapes(sorted(by_mask), sum(by_mask.values()))
+
+
 def find_logged(
     names: DataFrame,
     log: DataFrame,
     info: Sequence[str],
     match: str = "contains",
-    masks: Sequence[str] | None = None,
+    shapes: Shapes | None = None,
 ) -> DataFrame:
     """Add ``hit`` to each name: the first log row (lowest ``info``) that blocks it, or NULL.
 
     ``match="contains"`` is the LIKE rule above; ``match="exact"`` asks for the same name.
-    ``masks`` saves a look at the names where the caller has their ``name_masks`` already.
+    ``shapes`` saves a look at the names where the caller has their ``name_shapes`` already.
     """
     distinct = names.select("filename").distinct()
     record = F.struct(*[F.col(c) for c in info])
@@ -39,23 +61,13 @@ def find_logged(
     if match == "exact":
         pairs = distinct.join(logged, F.col("filename") == F.col("_logged"))
     elif match == "contains":
-        pairs = _containing(distinct, logged, name_masks(names) if masks is None else masks)
+        pairs = _containing(distinct, logged, shapes or name_shapes(names))
     else:
         raise ValueError(f"match must be 'contains' or 'exact', not {match!r}")
     first = pairs.groupBy("filename").agg(F.min("_record").alias("hit"))
     return names.join(first, "filename", "left")
 
 
-def name_masks(names: DataFrame) -> list[str]:
-    """The shapes that occur among the names, such as "xxxxx_xxxxxxx".
-
-    Far fewer than names, and never more than the files of a batch, whose list the driver holds
-    anyway in order to read them.
-    """
-    shapes = _patterns(names).select("_mask").distinct()
-    return sorted(row["_mask"] for row in shapes.toLocalIterator())
-
-
 def _patterns(names: DataFrame) -> DataFrame:
     """Per name its longest part free of ``%``, the shape of that, and whether there are more."""
     parts = F.filter(F.split("filename", "%"), lambda part: part != "")
@@ -67,16 +79,20 @@ def _patterns(names: DataFrame) -> DataFrame:
     return patterns.withColumn("_mask", F.regexp_replace("_window", "[^_]", "x"))
 
 
-def _containing(names: DataFrame, logged: DataFrame, masks: Sequence[str]) -> DataFrame:
+def _containing(names: DataFrame, logged: DataFrame, shapes: Shapes) -> DataFrame:
     passes = [
-        _windows(logged, masks[i : i + MASKS_PER_PASS])
-        for i in range(0, len(masks), MASKS_PER_PASS)
+        _windows(logged, shapes.masks[i : i + MASKS_PER_PASS])
+        for i in range(0, len(shapes.masks), MASKS_PER_PASS)
     ] or [_windows(logged, [""])]
     windows = reduce(DataFrame.unionByName, passes)
+    # Spark takes the cut-up log for as small as the log, so the side to broadcast is named here.
+    patterns = _patterns(names)
+    small = shapes.names <= BROADCAST_NAMES
+    patterns = F.broadcast(patterns) if small else patterns.hint("merge")
     # Equal windows decide for a name with one part. With several parts around a % the window of
     # the longest part only picks candidates, and the whole rule is checked on them.
     whole_rule = F.expr(f"_logged LIKE concat('%', filename, '%') ESCAPE '{_ESCAPE}'")
-    pairs = _patterns(names).join(windows, ["_window", "_mask"])
+    pairs = patterns.join(windows, ["_window", "_mask"])
     return pairs.filter(~F.col("_several") | whole_rule)
 
 

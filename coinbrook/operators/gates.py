@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coinbrook.operators.duplicates import ROW_KEY, matching_facts, with_submission_key
-from coinbrook.operators.file_names import find_logged, name_masks
+from coinbrook.operators.file_names import find_logged, name_shapes
 from coinbrook.operators.lookup import attach
 from coinbrook.operators.validation import check_file_rows, structure_errors, validate_rows
 from coinbrook.sinks.scratch import materialize
@@ -39,7 +39,7 @@ def gate_files(
     """
     findings = check_file_rows(rows, ["file"], strict)
     counts = [c for c in findings.columns if c != "file"]
-    masks = name_masks(files) if match == "contains" else None
+    shapes = name_shapes(files) if match == "contains" else None
     info = ["ts", "id", "filename", "date_imported", "no_of_rows_imported"]
     if bad_ids is None:
         listed = files.withColumn("bad_ids", F.lit(False))
@@ -47,7 +47,7 @@ def gate_files(
         flagged = bad_ids.select("file", F.lit(True).alias("bad_ids"))
         listed = files.join(flagged, "file", "left").fillna(False, ["bad_ids"])
     known = (
-        find_logged(listed, log, info, match, masks)
+        find_logged(listed, log, info, match, shapes)
         .withColumnRenamed("hit", "imported_as")
         .join(findings, "file", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
@@ -56,7 +56,7 @@ def gate_files(
     )
     order = F.struct("arrival", "file")
     sound = known.filter(F.col("status") == ACCEPTED).select("filename", order.alias("arrived"))
-    earlier = find_logged(files.select("filename").distinct(), sound, ["arrived"], match, masks)
+    earlier = find_logged(files.select("filename").distinct(), sound, ["arrived"], match, shapes)
     late = (F.col("status") == ACCEPTED) & (F.col("hit.arrived") < order)
     return (
         known.join(earlier, "filename", "left")

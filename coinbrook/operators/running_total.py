@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinbrook.functions.amounts import exact_part, inexact_part, join_parts, nan_to_null
+from coinbrook.functions.amounts import beyond_units, join_units, nan_to_null, units
 
 ROWS_PER_SPLIT = 4_000_000
 MAX_SPLITS = 100_000
@@ -34,8 +34,8 @@ def running_total(
     """
     keyed = df.withColumns(
         {
-            "_exact": exact_part(F.col(amount)),
-            "_inexact": inexact_part(F.col(amount)),
+            "_units": units(F.col(amount)).cast("decimal(18,0)"),
+            "_beyond": beyond_units(F.col(amount)),
             "_tie": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")),
         }
     )
@@ -51,13 +51,13 @@ def running_total(
         .orderBy("_tie", id_col, amount)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    exact = F.col("_start.exact") + F.coalesce(F.sum("_exact").over(window), F.lit(0))
-    inexact = F.col("_start.inexact") + F.coalesce(F.sum("_inexact").over(window), F.lit(0.0))
+    whole = F.col("_start.units") + F.coalesce(F.sum("_units").over(window), F.lit(0))
+    beyond = F.col("_start.beyond") + F.coalesce(F.sum("_beyond").over(window), F.lit(0.0))
     present = nan_to_null(F.col(amount)).isNotNull()
     return (
-        placed.withColumn(out, F.when(present, join_parts(exact, inexact)))
+        placed.withColumn(out, F.when(present, join_units(whole.cast("decimal(31,0)"), beyond)))
         .sortWithinPartitions(F.col(date).asc_nulls_last(), "_split", "_tie", id_col, amount)
-        .drop("_exact", "_inexact", "_tie", "_day", "_before", "_split", "_start")
+        .drop("_units", "_beyond", "_tie", "_day", "_before", "_split", "_start")
     )
 
 
@@ -84,8 +84,8 @@ def _totals_before(keyed: DataFrame, date: str, rows_per_split: int) -> DataFram
             "_day",
             F.ceil(F.col("_rows") / limit).cast("int").alias("_splits"),
             F.struct(
-                F.coalesce(F.sum("exact").over(earlier), F.lit(0)).cast("decimal(38,6)").alias("exact"),
-                F.coalesce(F.sum("inexact").over(earlier), F.lit(0.0)).alias("inexact"),
+                F.coalesce(F.sum("units").over(earlier), F.lit(0)).cast("decimal(31,0)").alias("units"),
+                F.coalesce(F.sum("beyond").over(earlier), F.lit(0.0)).alias("beyond"),
             ).alias("_start"),
         )
     )
@@ -110,18 +110,18 @@ def _totals_before(keyed: DataFrame, date: str, rows_per_split: int) -> DataFram
             F.col("g._day").eqNullSafe(F.col("s._day")) & (F.col("g._split") == F.col("s._split")),
             "left",
         )
-        .select("g._day", "g._split", "g._start", "s.exact", "s.inexact")
+        .select("g._day", "g._split", "g._start", "s.units", "s.beyond")
         .select(
             "_day",
             "_split",
             F.struct(
-                (F.col("_start.exact") + F.coalesce(F.sum("exact").over(earlier_splits), F.lit(0)))
-                .cast("decimal(38,6)")
-                .alias("exact"),
+                (F.col("_start.units") + F.coalesce(F.sum("units").over(earlier_splits), F.lit(0)))
+                .cast("decimal(31,0)")
+                .alias("units"),
                 (
-                    F.col("_start.inexact")
-                    + F.coalesce(F.sum("inexact").over(earlier_splits), F.lit(0.0))
-                ).alias("inexact"),
+                    F.col("_start.beyond")
+                    + F.coalesce(F.sum("beyond").over(earlier_splits), F.lit(0.0))
+                ).alias("beyond"),
             ).alias("_start"),
         )
         .groupBy("_day")
@@ -133,4 +133,4 @@ def _totals_before(keyed: DataFrame, date: str, rows_per_split: int) -> DataFram
 
 
 def _part_sums() -> list[Column]:
-    return [F.sum("_exact").alias("exact"), F.sum("_inexact").alias("inexact")]
+    return [F.sum("_units").alias("units"), F.sum("_beyond").alias("beyond")]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.functions.amounts import exact_part, inexact_part, join_parts, nan_to_null
+from coinbrook.functions.amounts import money_parts, money_total, nan_to_null
 from coinbrook.operators.grouping import mean_by, sum_by
 from coinbrook.operators.running_total import ROWS_PER_SPLIT, running_total
 
@@ -132,25 +132,19 @@ def headline(fact: DataFrame) -> DataFrame:
     One pass: the table is first summed per category, and all three come from those sums.
     Equal category totals go to the first name.
     """
-    amount = F.col(AMOUNT)
+    parts = ["high", "low", "beyond"]
+    sums = [F.sum(p).alias(n) for p, n in zip(money_parts(F.col(AMOUNT)), parts)]
     per_category = (
         fact.groupBy("parent_category")
-        .agg(
-            F.sum(exact_part(amount)).alias("exact"),
-            F.sum(inexact_part(amount)).alias("inexact"),
-            F.count("*").alias("rows"),
-        )
-        .withColumn("total", join_parts(F.col("exact"), F.col("inexact")))
+        .agg(*sums, F.count("*").alias("rows"))
+        .withColumn("total", money_total(*[F.col(n) for n in parts]))
     )
     named = F.when(
         F.col("parent_category").isNotNull(),
         F.struct((-F.col("total")).alias("order"), F.col("parent_category").alias("name")),
     )
-    return (
-        per_category.agg(
-            join_parts(F.sum("exact"), F.sum("inexact")).alias("total_expenses"),
-            F.sum("rows").alias("total_transactions"),
-            F.min(named)["name"].alias("top_category"),
-        )
-        .filter("total_transactions > 0")
-    )
+    return per_category.agg(
+        money_total(*[F.sum(n) for n in parts]).alias("total_expenses"),
+        F.sum("rows").alias("total_transactions"),
+        F.min(named)["name"].alias("top_category"),
+    ).filter("total_transactions > 0")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.functions.amounts import exact_part, inexact_part, join_parts, nan_to_null
+from coinbrook.functions.amounts import money_parts, money_total, nan_to_null
 from coinbrook.plans.kpis import AMOUNT
 
 # KPI name -> its group keys.
@@ -33,11 +33,10 @@ def kpi_mart(fact: DataFrame) -> DataFrame:
     # Converted here, once per row: below, each row is handled once per KPI.
     parts = fact.select(
         *keys,
-        exact_part(amount).alias("_exact"),
-        inexact_part(amount).alias("_inexact"),
+        *[part.alias(f"_part{i}") for i, part in enumerate(money_parts(amount))],
         nan_to_null(amount).isNotNull().alias("_present"),
     )
-    total = join_parts(F.sum("_exact"), F.sum("_inexact"))
+    total = money_total(*[F.sum(f"_part{i}") for i in range(3)])
     present = F.count_if("_present")
     cells = parts.groupingSets([[F.col(k) for k in g] for g in KPI_KEYS.values()], *keys).agg(
         total.alias("total"),

@@ -47,9 +47,10 @@ def test_unknown_rule(frame):
         hits(frame, ["a"], ["a"], "fuzzy")
 
 
-@pytest.mark.parametrize("masks_per_pass", [2, 256])
-def test_same_as_brute_force(frame, monkeypatch, masks_per_pass):
+@pytest.mark.parametrize("masks_per_pass, broadcast_names", [(2, 0), (256, 10**5)])
+def test_same_as_brute_force(frame, monkeypatch, masks_per_pass, broadcast_names):
     monkeypatch.setattr(file_names, "MASKS_PER_PASS", masks_per_pass)
+    monkeypatch.setattr(file_names, "BROADCAST_NAMES", broadcast_names)
     pick = random.Random(3)
 
     def name(alphabet, longest):

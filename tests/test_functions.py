@@ -35,6 +35,9 @@ def test_money_sum(frame):
     assert total([0.1] * 10) == 1.0
     assert total([None, float("nan")]) == 0.0
     assert total([1.0, float("nan"), 2.0]) == 3.0
+    assert total([-0.1] * 3 + [0.000001]) == -0.299999
+    assert total([999_999_999.999999] * 1000) == 999_999_999_999.999
+    assert total([1e9, 0.25, -1e9]) == 0.25
     assert total([1e15, 0.25]) == 1e15 + 0.25
     assert total([1.0, math.inf]) == math.inf
     assert math.isnan(total([math.inf, -math.inf]))
