@@ -54,7 +54,7 @@ def fct_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """Orders are in the fact table; the raw table has the events as well."""
     known = _orders_fact(spark, sf)
     lines = a.order_expenses(spark, sf).unionByName(a.event_expenses(spark, sf))
-    return new_facts(lines, known, a.AS_OF).drop("last_modified_at")
+    return new_facts(lines, known, a.AS_OF, small_batch=False).drop("last_modified_at")
 
 
 def append_bronze(spark: SparkSession, sf: str) -> DataFrame:

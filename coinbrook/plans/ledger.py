@@ -108,12 +108,12 @@ class Ledger:
             self._fresh.discard(batch_id)
             self.tables.add_facts(build_fact(lines, self.as_of))
             return
-        lines = (
-            self.expenses()
-            if batch_id is None
-            else self.tables.read_batch("expenses_line", batch_id)
-        )
-        self.tables.add_facts(new_facts(lines, self.fact(), self.as_of))
+        if batch_id is None:
+            missing = new_facts(self.expenses(), self.fact(), self.as_of, small_batch=False)
+        else:
+            lines = self.tables.read_batch("expenses_line", batch_id)
+            missing = new_facts(lines, self.fact(), self.as_of)
+        self.tables.add_facts(missing)
 
     def import_files(
         self,

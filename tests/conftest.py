@@ -32,3 +32,11 @@ def spark():
 def frame(spark):
     """Build a frame from rows and a schema text."""
     return lambda rows, schema: spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture
+def without_compilation(spark):
+    """For tests on a few rows, where compiling each plan would take most of the time."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")

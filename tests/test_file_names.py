@@ -6,6 +6,8 @@ import pytest
 from coinbrook.operators import file_names
 from coinbrook.operators.file_names import find_logged
 
+pytestmark = pytest.mark.usefixtures("without_compilation")
+
 
 def like(logged: str, name: str) -> bool:
     pattern = "".join(

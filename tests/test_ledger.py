@@ -16,14 +16,7 @@ FORM = (
     "`From Account` string, `To Account` string"
 )
 _numbers = itertools.count()
-
-
-@pytest.fixture(autouse=True)
-def without_compilation(spark):
-    """The rows are few, so compiling each plan would take most of the time."""
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    yield
-    spark.conf.unset("spark.sql.codegen.wholeStage")
+pytestmark = pytest.mark.usefixtures("without_compilation")
 
 
 @pytest.fixture

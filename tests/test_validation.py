@@ -33,6 +33,8 @@ FORM = "entry int, " + ", ".join(f"`{f}` string" for f in BASE)
 FILE = "date string, description string, amount string, from_account string, towards string"
 LINES = "id string, date date, description string, category string, amount double, from_account string, towards string"
 
+pytestmark = pytest.mark.usefixtures("without_compilation")
+
 
 def form_rows(frame, *changes):
     return frame([(i, *{**BASE, **c}.values()) for i, c in enumerate(changes)], FORM)
