@@ -135,7 +135,7 @@ def validate_file_nonnumeric(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dup_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return duplicate_groups(a.event_expenses(spark, sf))
+    return duplicate_groups(a.file_rows(spark, sf), ["file"])
 
 
 def dup_vs_fact(spark: SparkSession, sf: str) -> DataFrame:
