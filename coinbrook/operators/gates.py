@@ -34,8 +34,9 @@ def gate_files(
     ``files`` has one row per file: ``file`` (unique), ``filename`` (as logged), ``arrival`` (any
     orderable value) and ``missing_columns``. ``rows`` are the normalised raw rows of all files
     with their ``file``. The first failing check names the status, in this order: structure,
-    already imported, duplicate rows, dates, ids (of the files in ``bad_ids``, if given). Where two files of the batch would block each other
-    by name, the earlier one wins, as if they had been imported one after the other.
+    already imported, duplicate rows, dates, ids (of the files in ``bad_ids``, if given). Where
+    two files of the batch would block each other by name, the earlier one wins, as if they had
+    been imported one after the other.
     """
     findings = check_file_rows(rows, ["file"], strict)
     counts = [c for c in findings.columns if c != "file"]
@@ -54,6 +55,8 @@ def gate_files(
         .withColumn("errors", structure_errors(counts, F.col("missing_columns"), strict))
         .withColumn("status", _status())
     )
+    # One row per file, used twice below. Stored, so that the rows of the files are read once.
+    known = materialize(known, "files")
     order = F.struct("arrival", "file")
     sound = known.filter(F.col("status") == ACCEPTED).select("filename", order.alias("arrived"))
     earlier = find_logged(files.select("filename").distinct(), sound, ["arrived"], match, shapes)
