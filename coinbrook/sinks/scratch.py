@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="coinbrook-scratch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a local temporary folder is used.
+    Where that is unset, a session that runs on this machine alone gets a folder of its own, removed
+    when Python ends; a cluster has no folder that all would see, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.gettempdir()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/coinbrook-{name}-{uuid.uuid4().hex}"
 
 
