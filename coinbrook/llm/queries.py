@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinbrook.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup
+from coinbrook.llm import (
+    decontaminate,
+    exact_dedup,
+    extraction,
+    language_id,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    secret_scan,
+    warc,
+)
 from coinbrook.llm.common import ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +39,17 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    kinds = [kind for kind, *_ in secret_scan.FORMS]
+    return found.select(
+        "row.doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in kinds],
+        F.sha2(secret_scan.joined_spans(kinds).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined_spans([*kinds, "random"]).alias("spans"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     found = mixing.mix(docs)
@@ -43,12 +64,28 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(table(spark, sf, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, sf, "pages"))
+
+
+def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract(table(spark, sf, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
     "op6_near_dedup": op6_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_warc": op9_warc,
+    "op10_extraction": op10_extraction,
 }
 
 
