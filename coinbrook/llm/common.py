@@ -72,6 +72,18 @@ def batch(names_and_values: dict[str, object], types: dict[str, pa.DataType]) ->
     return pa.RecordBatch.from_arrays(arrays, names=list(types))
 
 
+#: Sides of a join with up to so many rows of a few longs are sent to all tasks: 64 MB at most.
+SENT_ROWS = 1 << 21
+
+
+def sent_if_small(stored: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A stored frame of narrow rows, marked for broadcast if a count shows that they are few.
+
+    Otherwise Spark is left to shuffle both sides.
+    """
+    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
 def one_per_key(frame: DataFrame, key: str) -> DataFrame:
     """One row of each value of ``key``, null included.
 
