@@ -12,6 +12,7 @@ from coinbrook.llm import (
     exact_dedup,
     extraction,
     language_id,
+    line_dedup,
     lm_scoring,
     mixing,
     near_dedup,
@@ -56,6 +57,11 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("row.doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
 
 
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.mark_lines(table(spark, sf, "documents"))
+    return found.withColumn("removed", F.array_join("removed", ","))
+
+
 def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"), shingle_words=4)
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_lm_scoring": op8_lm_scoring,
