@@ -281,8 +281,10 @@ SELECT count(*) FILTER (description IS NULL OR try_cast(amount AS DOUBLE) IS NUL
        count(*) FILTER (try_cast(amount AS DOUBLE) IS NULL) AS non_numeric_amounts
 FROM file_rows""",
     "dup_groups": f"""WITH {FILE_ROWS}
-SELECT file, date, amount, from_account, towards, count(*) AS occurrence_count
-FROM file_rows GROUP BY file, date, amount, from_account, towards HAVING count(*) > 1""",
+SELECT file, date, try_cast(amount AS DOUBLE) AS amount, from_account, towards,
+       count(*) AS occurrence_count
+FROM file_rows WHERE try_cast(amount AS DOUBLE) IS NOT NULL
+GROUP BY file, date, try_cast(amount AS DOUBLE), from_account, towards HAVING count(*) > 1""",
     "dup_vs_fact": f"""WITH {SUBMISSIONS},
 {EVENTS_FACT},
 {REPEATS}

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
-# Amounts below the limit are added as whole millionths, so a sum is exact and the same whatever
-# the task order. Below it a double holds six decimal places exactly; the few amounts beyond,
-# infinities among them, are added as doubles beside it.
+# Amounts below the limit are added as whole millionths, so a sum of money is exact and the same
+# whatever the task order. What the millionths leave over (exactly nothing for amounts of up to six
+# decimal places) and the amounts beyond the limit, infinities among them, are added as doubles.
 PER_ONE = 1_000_000
 UNIT_LIMIT = 1e9
 
@@ -49,8 +49,10 @@ def units(amount: Column) -> Column:
 
 
 def beyond_units(amount: Column) -> Column:
-    """The amount itself if it is beyond the limit, else NULL (NaN gives NULL)."""
-    return F.when((F.abs(amount) >= UNIT_LIMIT) & ~F.isnan(amount), amount)
+    """What ``units`` leaves of the amount: the rest below a millionth, or all of an amount beyond
+    the limit (NaN gives NULL)."""
+    rest = amount - units(amount) / F.lit(float(PER_ONE))
+    return F.when(F.abs(amount) < UNIT_LIMIT, rest).when(~F.isnan(amount), amount)
 
 
 def join_units(total_units: Column, total_beyond: Column) -> Column:

@@ -11,6 +11,7 @@ from coinbrook.functions.amounts import parse_amount
 from coinbrook.functions.dates import parse_date
 from coinbrook.operators.grouping import grouped
 from coinbrook.operators.lookup import attach, seen_before
+from coinbrook.sinks.scratch import materialize
 
 # Rows of one file are duplicates if they agree on these.
 FILE_KEY = ["date", "amount", "from_account", "towards"]
@@ -19,12 +20,21 @@ FILE_KEY = ["date", "amount", "from_account", "towards"]
 ROW_KEY = ["key_date", "key_description", "key_amount", "key_category", "key_from", "key_towards"]
 
 
+def file_key(columns: Sequence[str]) -> dict[str, Column]:
+    """The key columns that there are. Amounts are compared as numbers: ``1.0`` repeats ``1.00``."""
+    return {
+        c: parse_amount(F.col(c)) if c == "amount" else F.col(c) for c in FILE_KEY if c in columns
+    }
+
+
 def duplicate_groups(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Groups of more than one row with equal date, amount and accounts, and their size.
 
-    ``within`` names further key columns, such as the file a row came from.
+    ``within`` names further key columns, such as the file a row came from. The amount of a group
+    is a number; rows without one, like rows without another key column, belong to no group.
     """
-    counts = grouped(df, [*within, *FILE_KEY], F.count("*").alias("occurrence_count"))
+    keyed = df.select(*within, *[c.alias(n) for n, c in file_key(df.columns).items()])
+    counts = grouped(keyed, [*within, *FILE_KEY], F.count("*").alias("occurrence_count"))
     return counts.filter("occurrence_count > 1")
 
 
@@ -38,19 +48,42 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def files_with_bad_ids(rows: DataFrame, files: DataFrame, history: DataFrame) -> DataFrame:
-    """Files that bring ids of their own which cannot be keys: missing, repeated in the file, used
-    by an earlier file of the batch, or present in the history. Returns the distinct ``file``."""
-    own = rows.filter("has_id").select("file", "id")
+    """Files that bring ids of their own which cannot be keys: missing, repeated in the file, present
+    in the history, or used by an earlier file that can be imported. Returns the distinct ``file``.
+
+    ``files`` (``file``, ``arrival``) are those that have passed all other checks. Files are settled
+    in rounds, as if imported one after the other: those that come first for each of their ids can
+    be imported, later ones with one of these ids cannot. One round is the usual case, as only files
+    that share ids with files yet unsettled take a further one.
+    """
+    own = rows.filter("has_id").select("file", "id").join(files.select("file", "arrival"), "file")
     missing = own.filter("id is null").select("file")
-    counted = own.filter("id is not null").groupBy("id", "file").agg(F.count("*").alias("_n"))
-    placed = counted.join(files.select("file", "arrival"), "file").withColumn(
-        "_place", F.struct("arrival", "file")
+    counted = own.filter("id is not null").groupBy("id", "file").agg(
+        F.count("*").alias("_n"), F.min("arrival").alias("_arrival")
     )
-    first = placed.groupBy("id").agg(F.min("_place").alias("_first"))
-    repeated = placed.join(first, "id").filter("_n > 1 or _place > _first").select("file")
-    known = seen_before(history.select("id"), own, ["id"]).distinct()
-    used = counted.join(known, "id", "left_semi").select("file")
-    return missing.unionByName(repeated).unionByName(used).distinct()
+    placed = materialize(counted.withColumn("_place", F.struct("_arrival", "file")), "ids")
+    repeated = placed.filter("_n > 1").select("file")
+    known = seen_before(history.select("id"), placed, ["id"]).distinct()
+    used = _with_id(placed, known).select("file")
+    bad = materialize(missing.unionByName(repeated).unionByName(used).distinct(), "bad-ids")
+    open_ = placed.join(bad, "file", "left_anti")
+    while True:
+        first = open_.groupBy("id").agg(F.min("_place").alias("_first"))
+        marked = attach(open_, first, ["id"])
+        late = marked.filter("_place > _first").select("file").distinct()
+        if late.isEmpty():
+            return bad
+        # What is not late is settled; its ids are taken from the others.
+        taken = open_.join(late, "file", "left_anti").select("id").distinct()
+        waiting = materialize(open_.join(late, "file", "left_semi"), "ids")
+        beaten = _with_id(waiting, taken).select("file").distinct()
+        bad = materialize(bad.unionByName(beaten).distinct(), "bad-ids")
+        open_ = materialize(waiting.join(beaten, "file", "left_anti"), "ids")
+
+
+def _with_id(placed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is one of ``ids``; the rows of a hot id are split."""
+    return attach(placed, ids.withColumn("_found", F.lit(True)), ["id"]).filter("_found").drop("_found")
 
 
 def with_submission_key(submissions: DataFrame) -> DataFrame:

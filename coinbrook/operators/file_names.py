@@ -2,132 +2,73 @@
 
 The rule is ``logged LIKE '%' || name || '%'`` with ``_`` in the name standing for any one
 character and ``%`` for any run of them. Comparing every name with every log row would be a
-nested loop. Instead each log row is cut into its substrings of the lengths in question, with
-the wild-card places blanked out, and these meet the names in an equality join.
+nested loop. Instead a name is looked up by its longest part without wild cards: each log row is
+cut into its substrings of the lengths in question, these meet the parts in an equality join, and
+the whole rule is checked on the pairs that meet. The plan does not depend on the names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Masks handled in one pass over the log; further masks take further passes.
-MASKS_PER_PASS = 256
-
-# Up to this many names are broadcast to the log; more of them meet it in a sort-merge join.
-BROADCAST_NAMES = 100_000
-
 # An escape character no file name has: backslashes in names stay plain characters.
 _ESCAPE = "\\u0001"
 
 
-@dataclass(frozen=True)
-class Shapes:
-    """What is to be known about the names before the log is cut up.
-
-    ``masks`` are the shapes that occur, such as "xxxxx_xxxxxxx": far fewer than names, and never
-    more than the files of a batch, whose list the driver holds anyway in order to read them.
-    """
-
-    masks: list[str]
-    names: int
-
-
-def name_shapes(names: DataFrame) -> Shapes:
-    counts = _patterns(names).groupBy("_mask").count().toLocalIterator()
-    by_mask = {row["_mask"]: row["count"] for row in counts}
-    return Shapes(sorted(by_mask), sum(by_mask.values()))
-
-
 def find_logged(
-    names: DataFrame,
-    log: DataFrame,
-    info: Sequence[str],
-    match: str = "contains",
-    shapes: Shapes | None = None,
+    names: DataFrame, log: DataFrame, info: Sequence[str], match: str = "contains"
 ) -> DataFrame:
     """Add ``hit`` to each name: the first log row (lowest ``info``) that blocks it, or NULL.
 
     ``match="contains"`` is the LIKE rule above; ``match="exact"`` asks for the same name.
-    ``shapes`` saves a look at the names where the caller has their ``name_shapes`` already.
     """
     distinct = names.select("filename").distinct()
     record = F.struct(*[F.col(c) for c in info])
     logged = log.select(F.col("filename").alias("_logged"), record.alias("_record"))
     if match == "exact":
+        logged = logged.groupBy("_logged").agg(F.min("_record").alias("_record"))
         pairs = distinct.join(logged, F.col("filename") == F.col("_logged"))
     elif match == "contains":
-        pairs = _containing(distinct, logged, shapes or name_shapes(names))
+        pairs = _containing(distinct, logged)
     else:
         raise ValueError(f"match must be 'contains' or 'exact', not {match!r}")
     first = pairs.groupBy("filename").agg(F.min("_record").alias("hit"))
-    return names.join(first, "filename", "left")
-
-
-def _patterns(names: DataFrame) -> DataFrame:
-    """Per name its longest part free of ``%``, the shape of that, and whether there are more."""
-    parts = F.filter(F.split("filename", "%"), lambda part: part != "")
-    patterns = names.select("filename", parts.alias("_parts")).select(
-        "filename",
-        F.coalesce(_longest("_parts"), F.lit("")).alias("_window"),
-        (F.size("_parts") > 1).alias("_several"),
+    # With a hash of the name, so that the rows of a hot name are split; see ``lookup``.
+    keyed = first.withColumn("_hash", F.xxhash64("filename"))
+    rows = names.withColumn("_hash", F.xxhash64("filename"))
+    return rows.join(keyed, ["filename", "_hash"], "left").drop("_hash")
+
+
+def _containing(names: DataFrame, logged: DataFrame) -> DataFrame:
+    parts = names.select("filename", _longest(F.split("filename", "[_%]")).alias("_part"))
+    # One row: the lengths of the parts, none longer than a file name may be.
+    lengths = parts.agg(F.collect_set(F.length("_part")).alias("_lengths"))
+    # Equal names need the lookup once only.
+    distinct = logged.groupBy("_logged").agg(F.min("_record").alias("_record"))
+    cut = distinct.withColumn("_lengths", lengths.scalar())
+    windows = cut.select(
+        "_logged", "_record", F.explode(_windows("_logged", "_lengths")).alias("_part")
     )
-    return patterns.withColumn("_mask", F.regexp_replace("_window", "[^_]", "x"))
-
-
-def _containing(names: DataFrame, logged: DataFrame, shapes: Shapes) -> DataFrame:
-    passes = [
-        _windows(logged, shapes.masks[i : i + MASKS_PER_PASS])
-        for i in range(0, len(shapes.masks), MASKS_PER_PASS)
-    ] or [_windows(logged, [""])]
-    windows = reduce(DataFrame.unionByName, passes)
-    # Spark takes the cut-up log for as small as the log, so the side to broadcast is named here.
-    patterns = _patterns(names)
-    small = shapes.names <= BROADCAST_NAMES
-    patterns = F.broadcast(patterns) if small else patterns.hint("merge")
-    # Equal windows decide for a name with one part. With several parts around a % the window of
-    # the longest part only picks candidates, and the whole rule is checked on them.
     whole_rule = F.expr(f"_logged LIKE concat('%', filename, '%') ESCAPE '{_ESCAPE}'")
-    pairs = patterns.join(windows, ["_window", "_mask"])
-    return pairs.filter(~F.col("_several") | whole_rule)
+    return parts.join(windows, "_part").filter(whole_rule)
 
 
-def _longest(parts: str) -> Column:
+def _longest(parts: Column) -> Column:
+    """The longest part, the last in order if several are as long; '' if all are empty."""
     longest = F.array_max(
         F.transform(parts, lambda part: F.struct(F.length(part).alias("n"), part.alias("part")))
     )
     return longest["part"]
 
 
-def _windows(logged: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """All substrings of the logged names that have the length of a mask, blanked out by it."""
-    shapes = F.array(
-        *[
-            F.struct(
-                F.lit(mask).alias("mask"),
-                F.lit(len(mask)).alias("length"),
-                F.array(*[F.lit(i + 1) for i, c in enumerate(mask) if c == "_"])
-                .cast("array<int>")
-                .alias("blanks"),
-            )
-            for mask in masks
-        ]
-    )
-    last = F.length("_logged") - F.col("_shape.length") + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
-    blanked = F.aggregate(
-        "_shape.blanks",
-        F.expr("substring(_logged, _start, _shape.length)"),
-        lambda text, place: F.overlay(text, F.lit("_"), place, F.lit(1)),
-    )
-    return (
-        logged.withColumn("_shape", F.explode(shapes))
-        .withColumn("_start", F.explode(starts))
-        .select(
-            blanked.alias("_window"), F.col("_shape.mask").alias("_mask"), "_logged", "_record"
-        )
+def _windows(text: str, lengths: str) -> Column:
+    """The distinct substrings of these lengths."""
+    return F.expr(
+        f"""array_distinct(flatten(transform({lengths}, n -> CASE
+            WHEN n = 0 THEN array('')
+            WHEN n > length({text}) THEN array()
+            ELSE transform(sequence(1, length({text}) - n + 1), i -> substring({text}, i, n)) END)))"""
     )

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.operators.duplicates import ROW_KEY, matching_facts, with_submission_key
-from coinbrook.operators.file_names import find_logged, name_shapes
+from coinbrook.operators.duplicates import (
+    ROW_KEY,
+    files_with_bad_ids,
+    matching_facts,
+    with_submission_key,
+)
+from coinbrook.operators.file_names import find_logged
 from coinbrook.operators.lookup import attach
 from coinbrook.operators.validation import check_file_rows, structure_errors, validate_rows
 from coinbrook.sinks.scratch import materialize
@@ -27,28 +32,25 @@ def gate_files(
     log: DataFrame,
     match: str = "contains",
     strict: bool = False,
-    bad_ids: DataFrame | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict per file of a batch.
 
     ``files`` has one row per file: ``file`` (unique), ``filename`` (as logged), ``arrival`` (any
     orderable value) and ``missing_columns``. ``rows`` are the normalised raw rows of all files
     with their ``file``. The first failing check names the status, in this order: structure,
-    already imported, duplicate rows, dates, ids (of the files in ``bad_ids``, if given). Where
-    two files of the batch would block each other by name, the earlier one wins, as if they had
-    been imported one after the other.
+    already imported, duplicate rows, dates, ids. Ids that rows bring along (``has_id``) are
+    compared with those of ``history``, if given. Where two files of the batch would block each
+    other by name or id, the earlier one wins, as if they had been imported one after the other;
+    a file that is rejected blocks no other by its ids.
+
+    The verdicts per file are stored on the way, so this runs jobs.
     """
     findings = check_file_rows(rows, ["file"], strict)
     counts = [c for c in findings.columns if c != "file"]
-    shapes = name_shapes(files) if match == "contains" else None
     info = ["ts", "id", "filename", "date_imported", "no_of_rows_imported"]
-    if bad_ids is None:
-        listed = files.withColumn("bad_ids", F.lit(False))
-    else:
-        flagged = bad_ids.select("file", F.lit(True).alias("bad_ids"))
-        listed = files.join(flagged, "file", "left").fillna(False, ["bad_ids"])
     known = (
-        find_logged(listed, log, info, match, shapes)
+        find_logged(files, log, info, match)
         .withColumnRenamed("hit", "imported_as")
         .join(findings, "file", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
@@ -59,13 +61,18 @@ def gate_files(
     known = materialize(known, "files")
     order = F.struct("arrival", "file")
     sound = known.filter(F.col("status") == ACCEPTED).select("filename", order.alias("arrived"))
-    earlier = find_logged(files.select("filename").distinct(), sound, ["arrived"], match, shapes)
+    earlier = find_logged(files.select("filename").distinct(), sound, ["arrived"], match)
     late = (F.col("status") == ACCEPTED) & (F.col("hit.arrived") < order)
-    return (
-        known.join(earlier, "filename", "left")
-        .withColumn("status", F.when(late, ALREADY_IMPORTED).otherwise(F.col("status")))
-        .select("file", "filename", "status", *counts, "errors", "imported_as")
+    judged = known.join(earlier, "filename", "left").withColumn(
+        "status", F.when(late, ALREADY_IMPORTED).otherwise(F.col("status"))
     )
+    if history is not None:
+        sound = judged.filter(F.col("status") == ACCEPTED)
+        bad = files_with_bad_ids(rows, sound, history).withColumn("_bad", F.lit(True))
+        judged = judged.join(bad, "file", "left").withColumn(
+            "status", F.when(F.col("_bad"), BAD_IDS).otherwise(F.col("status"))
+        )
+    return judged.select("file", "filename", "status", *counts, "errors", "imported_as")
 
 
 def _status() -> Column:
@@ -74,7 +81,6 @@ def _status() -> Column:
         .when(F.col("imported_as").isNotNull(), ALREADY_IMPORTED)
         .when(F.col("duplicate_groups") > 0, DUPLICATE_ROWS)
         .when(F.col("bad_dates") > 0, BAD_DATES)
-        .when(F.col("bad_ids"), BAD_IDS)
         .otherwise(ACCEPTED)
     )
 

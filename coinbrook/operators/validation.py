@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from coinbrook.functions.amounts import is_finite, parse_amount
 from coinbrook.functions.dates import parse_date
 from coinbrook.functions.text import PROHIBITED_SYMBOLS, has_prohibited_symbol, is_blank
-from coinbrook.operators.duplicates import FILE_KEY, all_present
+from coinbrook.operators.duplicates import FILE_KEY, all_present, file_key
 from coinbrook.schemas import REQUIRED_FILE_COLUMNS, REQUIRED_FORM_FIELDS
 
 MISSING_FIELDS = "Missing required fields"
@@ -104,12 +104,10 @@ def check_file_rows(rows: DataFrame, file: Sequence[str] = (), strict: bool = Fa
     if strict and "description" in have:
         flags["bad_descriptions"] = has_prohibited_symbol(F.col("description"))
 
-    key = [c for c in FILE_KEY if c in have]
+    key = file_key(have)
     counted = rows.select(
         *file,
-        *[
-            (parse_amount(F.col(c)) if c == "amount" else F.col(c)).alias(f"_{c}") for c in key
-        ],
+        *[column.alias(f"_{c}") for c, column in key.items()],
         *[flag.alias(name) for name, flag in flags.items()],
     )
     groups = counted.groupBy(*file, *[f"_{c}" for c in key]).agg(

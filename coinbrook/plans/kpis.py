@@ -17,6 +17,18 @@ from coinbrook.operators.running_total import ROWS_PER_SPLIT, running_total
 
 AMOUNT = "expend_amount"
 
+# The spellings of ``functions.dates.DATE_FORMATS`` for filters; as there, the month comes first.
+_MOMENTS = (
+    "%Y-%m-%d",
+    "%Y-%m-%d %H:%M",
+    "%Y-%m-%d %H:%M:%S",
+    "%Y/%m/%d",
+    "%m/%d/%Y",
+    "%Y%m%d",
+    "%d %b %Y",
+    "%b %d, %Y",
+)
+
 
 def filter_expenses(
     fact: DataFrame,
@@ -48,7 +60,13 @@ def _moment(value: str | dt.date) -> dt.datetime:
         return value
     if isinstance(value, dt.date):
         return dt.datetime.combine(value, dt.time.min)
-    return dt.datetime.fromisoformat(value)
+    text = value.strip()
+    for spelling in _MOMENTS:
+        try:
+            return dt.datetime.strptime(text, spelling)
+        except ValueError:
+            continue
+    return dt.datetime.fromisoformat(text)
 
 
 def _year(fact: DataFrame, comparison: str, date: dt.date) -> Column:

@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinbrook.operators.duplicates import files_with_bad_ids
+from coinbrook.operators.duplicates import key_violations
 from coinbrook.operators.gates import ACCEPTED, gate_files, judge_rows, prepare_rows
+from coinbrook.operators.lookup import seen_before
 from coinbrook.operators.normalize import normalize_header, rename_form_labels, to_expenses_line
 from coinbrook.operators.validation import missing_columns
 from coinbrook.plans.accounts import accounts_to_add, seed_rows
@@ -70,12 +71,21 @@ class Ledger:
         self.tables.append("dim_account", added, [f.name for f in DIM_ACCOUNT])
 
     def insert(self, rows: DataFrame, batch_id: str | None = None) -> str:
-        """Append rows without checks, and bring the fact table up to date."""
+        """Append rows, and bring the fact table up to date. Only ids that the rows bring along are
+        checked: missing, repeated or known ones raise ValueError, and nothing is added."""
         batch_id = batch_id or _new_batch()
+        if "id" in rows.columns and not self.tables.has_batch("expenses_line", batch_id):
+            self._check_ids(rows)
         self._land(to_expenses_line(rows), batch_id)
         self.sync_fact(batch_id)
         return batch_id
 
+    def _check_ids(self, rows: DataFrame) -> None:
+        ids = rows.select("id")
+        known = seen_before(self.expenses().select("id"), ids, ["id"])
+        if not key_violations(ids, ["id"]).isEmpty() or not known.isEmpty():
+            raise ValueError("the rows bring ids that are missing, repeated or known already")
+
     def _land(self, lines: DataFrame, batch_id: str) -> None:
         """Write raw rows, unless the batch has landed before."""
         if self.tables.has_batch("expenses_line", batch_id):
@@ -86,7 +96,12 @@ class Ledger:
         self._fresh.add(batch_id)
 
     def seed(self, path: str) -> bool:
-        """Fill an empty ledger from a CSV file, without checks; True if that was needed."""
+        """Fill an empty ledger from a CSV file, without checks; True if that was needed.
+
+        A repeat after an interruption adds the facts that are missing."""
+        if self.tables.has_batch("expenses_line", "seed"):
+            self.sync_fact("seed")
+            return False
         if not self.expenses().isEmpty():
             return False
         self.insert(read_csv(self.spark, path), "seed")
@@ -125,16 +140,17 @@ class Ledger:
     ) -> DataFrame:
         """Import CSV files or directories of them; returns the report, one row per file.
 
-        A file is imported as a whole or not at all, see ``gate_files``.
+        A file is imported as a whole or not at all, see ``gate_files``. The files are stored with
+        the batch, and a repeat under its id must find the same ones: with others, or with some that
+        are missing or changed since, it raises ValueError.
         """
         batch_id = batch_id or _new_batch()
         found = find_files(self.spark, paths, check_line_breaks=check_line_breaks)
+        self._hold_files(found, batch_id)
         if not self.tables.has_batch("file_report", batch_id):
             files, rows = file_frame(self.spark, found), read_files(self.spark, found)
-            bad_ids = None
-            if any("id" in f.columns for f in found):
-                bad_ids = files_with_bad_ids(rows, files, self.expenses())
-            verdict = gate_files(files, rows, self.import_log(), match, strict, bad_ids)
+            history = self.expenses() if any("id" in f.columns for f in found) else None
+            verdict = gate_files(files, rows, self.import_log(), match, strict, history)
             report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
             self.tables.write_batch("file_report", report, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
@@ -146,6 +162,20 @@ class Ledger:
         self.sync_fact(batch_id)
         return report
 
+    def _hold_files(self, found: Sequence[CsvFile], batch_id: str) -> None:
+        """Store the files of a new batch; of a known one, compare them with those stored."""
+        own = local_frame(
+            self.spark, [(f.file, f.arrival) for f in found], "file string, arrival bigint"
+        )
+        if not self.tables.has_batch("batch_file", batch_id):
+            self.tables.write_batch("batch_file", own, batch_id)
+            return
+        held = self.tables.read_batch("batch_file", batch_id).select("file", "arrival")
+        differing = own.exceptAll(held).unionByName(held.exceptAll(own)).limit(5).collect()
+        if differing:
+            names = ", ".join(sorted({row["file"] for row in differing}))
+            raise ValueError(f"batch {batch_id!r} was begun with other files; differing: {names}")
+
     def import_frame(
         self,
         rows: DataFrame,
@@ -154,18 +184,27 @@ class Ledger:
         match: str = "contains",
         strict: bool = False,
     ) -> DataFrame:
-        """Import a frame under the checks for a file of that name."""
+        """Import a frame under the checks for a file of that name, that of its ids included.
+
+        A repeat under the id of a batch with another name raises ValueError."""
         batch_id = batch_id or _new_batch()
         rows = normalize_header(rename_form_labels(rows))
         missing = missing_columns(rows.columns)
-        rows = rows.withColumn("file", F.lit(filename))
+        has_id = "id" in rows.columns
+        rows = rows.withColumns({"file": F.lit(filename), "has_id": F.lit(has_id)})
+        held = local_frame(self.spark, [(filename, None)], "file string, arrival bigint")
+        if not self.tables.has_batch("batch_file", batch_id):
+            self.tables.write_batch("batch_file", held, batch_id)
+        elif self.tables.read_batch("batch_file", batch_id).first()["file"] != filename:
+            raise ValueError(f"batch {batch_id!r} was begun with another file than {filename!r}")
         if not self.tables.has_batch("file_report", batch_id):
             files = local_frame(
                 self.spark,
                 [(filename, filename, 0, missing)],
                 "file string, filename string, arrival int, missing_columns array<string>",
             )
-            verdict = gate_files(files, rows, self.import_log(), match, strict)
+            history = self.expenses() if has_id else None
+            verdict = gate_files(files, rows, self.import_log(), match, strict, history)
             report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
             self.tables.write_batch("file_report", report, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
@@ -197,7 +236,8 @@ class Ledger:
             now.alias("ts"),
             "filename",
             F.date_format(now, "yyyy-MM-dd").alias("date_imported"),
-            F.col("row_count").cast("int").alias("no_of_rows_imported"),
+            # The column is an int; a count beyond it must not fail a batch that has landed.
+            F.least(F.col("row_count"), F.lit(2**31 - 1)).cast("int").alias("no_of_rows_imported"),
         )
         self.tables.write_batch("integrity_file_imported", log, batch_id)
 

@@ -43,6 +43,12 @@ STORED = {
         T.StructType([*_ENTRY, *_FORM, *_CHECKED, *_VERDICT, _BATCH]),
         "batch_id",
     ),
+    "batch_file": (
+        T.StructType(
+            [T.StructField("file", T.StringType()), T.StructField("arrival", T.LongType()), _BATCH]
+        ),
+        "batch_id",
+    ),
     "file_report": (
         T.StructType(
             [

@@ -3,7 +3,6 @@ import re
 
 import pytest
 
-from coinbrook.operators import file_names
 from coinbrook.operators.file_names import find_logged
 
 pytestmark = pytest.mark.usefixtures("without_compilation")
@@ -49,17 +48,15 @@ def test_unknown_rule(frame):
         hits(frame, ["a"], ["a"], "fuzzy")
 
 
-@pytest.mark.parametrize("masks_per_pass, broadcast_names", [(2, 0), (256, 10**5)])
-def test_same_as_brute_force(frame, monkeypatch, masks_per_pass, broadcast_names):
-    monkeypatch.setattr(file_names, "MASKS_PER_PASS", masks_per_pass)
-    monkeypatch.setattr(file_names, "BROADCAST_NAMES", broadcast_names)
+@pytest.mark.parametrize("count, longest", [(120, 4), (2000, 12)])
+def test_same_as_brute_force(frame, count, longest):
     pick = random.Random(3)
 
     def name(alphabet, longest):
         return "".join(pick.choice(alphabet) for _ in range(pick.randint(1, longest)))
 
-    logged = [name("ab_%.", 8) for _ in range(60)]
-    names = sorted({name("ab_%.", 4) for _ in range(25 if masks_per_pass == 2 else 120)})
+    logged = [name("ab_%.", longest * 2) for _ in range(60)]
+    names = sorted({name("ab_%.", longest) for _ in range(count)})
     expected = {
         n: next((i for i, entry in enumerate(logged) if like(entry, n)), None) for n in names
     }
@@ -67,6 +64,17 @@ def test_same_as_brute_force(frame, monkeypatch, masks_per_pass, broadcast_names
     assert None in expected.values()
 
 
+def test_the_plan_does_not_grow_with_the_names(frame):
+    log = frame([(1, "a.csv")], "id int, filename string")
+
+    def plan(names):
+        found = find_logged(frame([(n,) for n in names], "filename string"), log, ["id"])
+        return re.sub("#[0-9]+|[0-9]+", "", found._jdf.queryExecution().optimizedPlan().toString())
+
+    many = plan([f"a{'_' * (k % 7)}b{k}_.csv" for k in range(300)])
+    assert len(many) < 1.2 * len(plan(["a_b.csv", "c.csv"]))
+
+
 def test_there_is_no_nested_loop(frame):
     log = frame([(1, "a.csv")], "id int, filename string")
     found = find_logged(frame([("a",)], "filename string"), log, ["id"])
