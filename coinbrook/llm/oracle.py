@@ -1,6 +1,33 @@
 """The queries as SQL for DuckDB, as far as SQL can express them."""
 
-_WORDS = "regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Lower-cases A-Z alone, then takes words.
+_WORDS = """regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+#: Every run of as many words as a window has is compared with the windows.
+OP1 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS k,
+           array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+    FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+at AS (
+    SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+    FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i
+          FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT DISTINCT doc_id, i, k, item_id FROM at JOIN win USING (k, s)),
+places AS (
+    SELECT doc_id, count(DISTINCT p) AS n
+    FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(places.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
 
 #: Equal texts are found by comparing the texts themselves.
 OP2 = """
@@ -14,4 +41,18 @@ FROM d
 WINDOW g AS (PARTITION BY text)
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2}
+#: Of equal payloads of at least 100 bytes, the smallest page_id is the response.
+OP9 = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest)
+              ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL = {"op1_decontamination": OP1, "op9_warc": OP9, "op2_exact_dedup": OP2}
