@@ -168,8 +168,9 @@ def _blocks(windows: DataFrame, frequency: DataFrame, block_windows: int):
         if blocks == 1:
             words = frequency
         else:
-            used = own.select(F.explode(F.split(F.col("window").cast("string"), " ")).cast("binary").alias("word"))
-            words = frequency.join(used.distinct(), "word", "left_semi")
+            used = own.select(F.explode(F.split(F.col("window").cast("string"), " ")).alias("word"))
+            used = used.select(F.col("word").cast("binary").alias("word")).distinct()
+            words = frequency.join(used, "word", "left_semi")
         yield _Block(items, {bytes(r.word): r.n for r in words.collect()})
 
 

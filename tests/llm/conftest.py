@@ -1,7 +1,11 @@
+import os
+
 import pytest
 
 from coinbrook.llm.common import ready
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 @pytest.fixture(scope="session", autouse=True)
 def prepared(spark):
@@ -19,10 +23,13 @@ def docs(spark):
     return build
 
 
+@pytest.fixture(scope="session")
+def sf():
+    return SF
+
+
 @pytest.fixture(scope="session")
 def texts(spark):
     """doc_id and text of the small test documents."""
-    from conftest import SF
-
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
     return [(r.doc_id, r.text, r.lang) for r in rows]

@@ -64,10 +64,8 @@ def test_windows_in_one_or_several_blocks(spark, docs, block):
     assert got(docs(ROWS), ITEMS, spark, block_windows=block) == brute(ROWS, ITEMS)
 
 
-def test_test_documents_against_their_benchmark(spark, docs, texts):
-    from conftest import SF
-
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+def test_test_documents_against_their_benchmark(spark, docs, texts, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = [(d, t) for d, t, _ in texts]
     want = brute(rows, items)
     assert got(docs(rows), items, spark) == want

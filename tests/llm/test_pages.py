@@ -11,10 +11,8 @@ from coinbrook.sinks.scratch import scratch_path
 PAGES = "page_id long, url string, html string"
 
 
-def pages_of(spark):
-    from conftest import SF
-
-    return spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+def pages_of(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
 
 
 # -- archives ------------------------------------------------------------------------------
@@ -34,8 +32,8 @@ def read_back(spark, frame):
     return {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_and_read(spark, frame).collect()}
 
 
-def test_round_trip_of_test_pages(spark):
-    pages = pages_of(spark)
+def test_round_trip_of_test_pages(spark, sf):
+    pages = pages_of(spark, sf)
     assert read_back(spark, pages) == expected([tuple(r) for r in pages.collect()])
 
 
@@ -99,12 +97,12 @@ def extracted(spark, rows):
     return {r.page_id: (r.text, r.n_chars) for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect()}
 
 
-def test_articles_of_test_pages(spark):
+def test_articles_of_test_pages(spark, sf):
     """The generator of the test pages puts the article, and nothing else, into <article>."""
     import html
     import re
 
-    pages = pages_of(spark)
+    pages = pages_of(spark, sf)
     found = {r.page_id: r for r in extraction.extract(pages).collect()}
     for p in pages.collect():
         inner = re.search("<article>(.*?)</article>", p.html, re.S)[1]

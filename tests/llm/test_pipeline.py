@@ -3,7 +3,6 @@
 import inspect
 
 import pytest
-from conftest import SF
 from oracle_compare import duck, duck_rows, spark_rows
 
 import __spark_entry__ as entry_points
@@ -12,33 +11,33 @@ from coinbrook.llm.oracle import ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
-def test_query_equals_sql(spark, name):
-    got = spark_rows(entry_points.queries()[name](spark, SF))
-    want = duck_rows(duck(SF), ORACLE_SQL[name])
+def test_query_equals_sql(spark, name, sf):
+    got = spark_rows(entry_points.queries()[name](spark, sf))
+    want = duck_rows(duck(sf), ORACLE_SQL[name])
     assert got[0] == want[0]
     assert got[1] == want[1]
     assert got[1]
 
 
-def test_each_stage_works_on_what_the_one_before_kept(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def test_each_stage_works_on_what_the_one_before_kept(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         assert list(inspect.signature(stage).parameters) == ["spark", "docs", "sf_dir"]
-        after = stage(spark, before, SF).cache()
+        after = stage(spark, before, sf).cache()
         assert {r.doc_id for r in after.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
         assert after.count() <= before.count(), name
         if k < len(corpus_pipeline.STAGES) - 1:
             assert after.columns == docs.columns
         before = after
-    whole = corpus_pipeline.run(spark, SF)
+    whole = corpus_pipeline.run(spark, sf)
     assert sorted(r.doc_id for r in whole.select("doc_id").collect()) == sorted(r.doc_id for r in before.select("doc_id").collect())
 
 
-def test_stages_accept_no_documents(spark):
-    none = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 0")
+def test_stages_accept_no_documents(spark, sf):
+    none = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, none, SF).count() == 0
+        assert stage(spark, none, sf).count() == 0
 
 
 def test_every_operator_is_registered():
