@@ -116,6 +116,7 @@ IMPORT_LOG = """import_log AS (
          'menu_' || CAST(c_custkey * 7 AS VARCHAR) || '.csv' AS filename
   FROM customer)"""
 
+# ``accounts_to_add`` also gets the fixed seed accounts of ``schemas.py``; see seed_accounts below.
 ACCOUNTS = """accounts AS (
   SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(NULL AS VARCHAR) AS tag,
          CAST(c_custkey AS VARCHAR) AS marker, c_mktsegment AS type,
@@ -240,6 +241,16 @@ def _mart() -> str:
     return ITEMS_FACT + "\nUNION ALL\n".join(parts)
 
 
+# Orders and events as the raw table holds them: a missing amount is zero.
+RAW_LINES = f"""{ORDER_LINES},
+{EVENT_LINES},
+raw_lines AS (
+  SELECT id, date, description, category, coalesce(amount, 0) AS amount, from_account, towards
+  FROM order_lines
+  UNION ALL
+  SELECT id, date, description, category, amount, from_account, towards FROM event_lines)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_fact": f"{ITEMS_FACT}SELECT * FROM fact",
     "fct_expense": f"{ORDERS_FACT}SELECT *, DATE '2026-01-01' AS booked_date FROM fact",
@@ -333,6 +344,49 @@ candidates AS (
      100, 1000, 7300, 'EUR'),
     ('icici', 'ICICI', 'atul,amazon_card,postpaid', 'icici', 'eccomerce', 0, 0, 7300, 'INR')))
 SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.marker = c.marker)""",
+    "accounts_repeated": f"""WITH {ACCOUNTS},
+candidates AS (
+  SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CAST(NULL AS VARCHAR) AS tag,
+         CASE WHEN s_suppkey % 11 <> 0 THEN 'm' || CAST(s_suppkey % 7 AS VARCHAR) END AS marker,
+         'supplier' AS type, CAST(0 AS DOUBLE) AS minimum_balance_per_bank,
+         CAST(0 AS DOUBLE) AS minimum_balance_per_self, s_acctbal AS current_balance,
+         'EUR' AS currency
+  FROM supplier)
+SELECT * FROM candidates c
+WHERE marker IS NULL
+   OR (NOT EXISTS (SELECT 1 FROM accounts a WHERE a.marker = c.marker)
+       AND id = (SELECT min(d.id) FROM candidates d WHERE d.marker = c.marker))""",
+    "form_labels": f"""WITH {SUBMISSIONS}
+SELECT entry, description, date, amount, category, from_account, towards FROM submissions""",
+    "iso_date": f"""WITH {SUBMISSIONS}
+SELECT entry, CASE WHEN regexp_full_match(date, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}')
+                   THEN CAST(try_strptime(date, '%Y-%m-%d') AS DATE) END AS date
+FROM submissions""",
+    "file_logged_exact": f"""WITH {IMPORT_LOG},
+names AS (SELECT DISTINCT 'menu_' || CAST(user_id AS VARCHAR) || '.csv' AS filename FROM events)
+SELECT n.filename, min(l.id) AS log_id
+FROM names n LEFT JOIN import_log l USING (filename) GROUP BY n.filename""",
+    "ledger_raw": f"WITH {RAW_LINES}\nSELECT * FROM raw_lines",
+    "ledger_fact": f"""WITH {RAW_LINES},
+{fact("raw_lines")}
+SELECT *, DATE '2026-01-01' AS booked_date FROM fact""",
+    "ledger_import": """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS date,
+       'say "' || o_orderpriority || '", or' || chr(10) || 'not' AS description,
+       'Uncategorized' AS category, o_totalprice AS amount, o_orderstatus AS from_account,
+       'c' || CAST(o_custkey AS VARCHAR) AS towards
+FROM orders""",
+    "ledger_log": f"""WITH {FILE_GATE}
+SELECT file AS filename, '2026-01-01' AS date_imported,
+       CAST(row_count AS INTEGER) AS no_of_rows_imported
+FROM gate WHERE status = 'accepted'""",
+    "kpi_category_wide": f"""{ORDERS_FACT}, wide AS (
+  SELECT 'g' || CAST(CAST(id AS BIGINT) % 9 + CAST(id AS BIGINT) % 4 AS VARCHAR) AS parent_category,
+         CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 4e-7::DOUBLE WHEN 1 THEN expend_amount
+              WHEN 2 THEN expend_amount / 3 ELSE expend_amount * 1e6::DOUBLE END AS amount
+  FROM fact)
+SELECT parent_category, printf('%.11e', coalesce(fsum(amount), 0)) AS total
+FROM wide GROUP BY parent_category""",
     "kpi_headline": f"""{ORDERS_FACT}
 SELECT {TOTAL} AS total_expenses, count(*) AS total_transactions,
        (SELECT parent_category FROM fact WHERE parent_category IS NOT NULL

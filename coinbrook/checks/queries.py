@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coinbrook.checks import adapters as a
 from coinbrook.functions.amounts import coerce_amount
-from coinbrook.functions.dates import calendar_columns, parse_date, season
+from coinbrook.functions.dates import calendar_columns, parse_date, parse_iso_date, season
 from coinbrook.operators import normalize
 from coinbrook.operators.duplicates import duplicate_groups, key_violations, mark_repeated
 from coinbrook.operators.file_names import find_logged
@@ -18,6 +19,7 @@ from coinbrook.operators.validation import check_file_rows, null_columns, valida
 from coinbrook.plans import kpis
 from coinbrook.plans.accounts import accounts_to_add, seed_rows
 from coinbrook.plans.fact import build_fact, new_facts
+from coinbrook.plans.ledger import Ledger
 from coinbrook.plans.mart import kpi_mart
 from coinbrook.session import tune
 from coinbrook.sinks.scratch import materialize, scratch_path
@@ -189,6 +191,72 @@ def row_gate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def form_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.rename_form_labels(a.submissions(spark, sf))
+
+
+def iso_date(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.submissions(spark, sf)
+    return rows.select("entry", parse_iso_date(F.col("Date")).alias("date"))
+
+
+def file_logged_exact(spark: SparkSession, sf: str) -> DataFrame:
+    user = a.table(spark, sf, "events").select("user_id").distinct()
+    names = user.select(F.concat(F.lit("menu_"), F.col("user_id").cast("string"), F.lit(".csv")).alias("filename"))
+    hits = find_logged(names, a.import_log(spark, sf), ["id", "filename"], match="exact")
+    return hits.select("filename", F.col("hit.id").alias("log_id"))
+
+
+# -- a stored ledger -----------------------------------------------------------------------
+
+
+def _new_ledger(spark: SparkSession) -> Ledger:
+    """A ledger of its own below the shared folder."""
+    return Ledger(spark, f"check_{uuid.uuid4().hex}", scratch_path(spark, "ledger"), a.AS_OF)
+
+
+def ledger_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Two inserts into the raw table, every cell of it."""
+    ledger = _new_ledger(spark)
+    ledger.insert(a.order_expenses(spark, sf), "orders")
+    ledger.insert(a.event_expenses(spark, sf), "events")
+    return ledger.expenses()
+
+
+def ledger_fact(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored fact table after two inserts, each adding its facts, and a repeat of one."""
+    ledger = _new_ledger(spark)
+    ledger.insert(a.order_expenses(spark, sf), "orders")
+    ledger.insert(a.event_expenses(spark, sf), "events")
+    ledger.insert(a.event_expenses(spark, sf), "events")
+    return ledger.fact().drop("last_modified_at")
+
+
+def ledger_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as CSV files and imported as such: the raw rows that arrive."""
+    orders = a.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.col("o_orderdate").cast("date").alias("Date"),
+        F.concat(F.lit('say "'), "o_orderpriority", F.lit('", or\nnot')).alias("Description"),
+        F.col("o_totalprice").alias("Amount"),
+        F.col("o_orderstatus").alias("From Account"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("To Account"),
+    )
+    path = scratch_path(spark, "landing")
+    orders.write.option("header", True).option("escape", '"').csv(path)
+    ledger = _new_ledger(spark)
+    ledger.import_files([path], "orders")
+    return ledger.expenses()
+
+
+def ledger_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored import log of the accepted files."""
+    ledger = _new_ledger(spark)
+    accepted = _file_verdicts(spark, sf).filter(F.col("status") == ACCEPTED)
+    ledger._log_files(accepted, "files")
+    return ledger.import_log().drop("id", "ts")
+
+
 # -- accounts ------------------------------------------------------------------------------
 
 
@@ -200,6 +268,15 @@ def seed_accounts(spark: SparkSession, sf: str) -> DataFrame:
     return accounts_to_add(candidates, a.accounts(spark, sf))
 
 
+def accounts_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates many of which share a marker, or have none."""
+    n = F.substring("id", 2, 20).cast("long")
+    marker = F.when(n % 11 != 0, F.concat(F.lit("m"), (n % 7).cast("string")))
+    return accounts_to_add(
+        a.account_candidates(spark, sf).withColumn("marker", marker), a.accounts(spark, sf)
+    )
+
+
 # -- KPIs ----------------------------------------------------------------------------------
 
 
@@ -212,6 +289,19 @@ def kpi_category_filtered(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kpi_category_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts below a millionth, of money, with endless fractions and beyond 10^9, to 12 digits."""
+    key = F.col("id").cast("long")
+    price = F.col("expend_amount")
+    amount = (
+        F.when(key % 4 == 0, 4e-7).when(key % 4 == 1, price).when(key % 4 == 2, price / 3).otherwise(price * 1e6)
+    )
+    group = F.concat(F.lit("g"), (key % 9 + key % 4).cast("string"))
+    fact = _orders_fact(spark, sf).withColumns({"expend_amount": amount, "parent_category": group})
+    totals = kpis.total_per_category(fact)
+    return totals.select("parent_category", F.format_string("%.11e", "expend_amount").alias("total"))
+
+
 def _fact_kpi(kpi: Callable[[DataFrame], DataFrame], fact: Query) -> Query:
     return lambda spark, sf: kpi(fact(spark, sf))
 
@@ -237,10 +327,19 @@ QUERIES: dict[str, Query] = {
     "file_gate": file_gate,
     "import_log": import_log,
     "row_gate": row_gate,
+    "form_labels": form_labels,
+    "iso_date": iso_date,
+    "file_logged_exact": file_logged_exact,
+    "ledger_raw": ledger_raw,
+    "ledger_fact": ledger_fact,
+    "ledger_import": ledger_import,
+    "ledger_log": ledger_log,
     "seed_accounts": seed_accounts,
+    "accounts_repeated": accounts_repeated,
     "kpi_headline": _fact_kpi(kpis.headline, _orders_fact),
     "kpi_category": _fact_kpi(kpis.total_per_category, _orders_fact),
     "kpi_category_filtered": kpi_category_filtered,
+    "kpi_category_wide": kpi_category_wide,
     "kpi_monthly": _fact_kpi(kpis.monthly_trend, _orders_fact),
     "kpi_weekday_avg": _fact_kpi(kpis.weekday_average, _orders_fact),
     "kpi_top10": _fact_kpi(kpis.highest_expenses, _orders_fact),

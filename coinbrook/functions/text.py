@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Symbols a description must not contain.
 PROHIBITED_SYMBOLS = "!@#$%^&*()-=+<>?,./"
-PROHIBITED_PATTERN = r"[!@#$%^&*()\-=+<>?,./]"
+PROHIBITED_PATTERN = f"[{re.escape(PROHIBITED_SYMBOLS)}]"
 
 # Cell texts a CSV reader takes for "no value".
 NA_TOKENS = [

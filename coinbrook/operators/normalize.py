@@ -51,8 +51,8 @@ def to_expenses_line(
 ) -> DataFrame:
     """Raw rows, in any of the accepted namings, to the seven columns of the raw table.
 
-    ``keep`` names further columns that pass unchanged. A bad amount becomes 0.0; a date text that no format fits fails the job, and with it the
-    whole batch.
+    ``keep`` names further columns that pass unchanged. A bad amount becomes 0.0; a date text that
+    no format fits fails the job, and with it the whole batch.
     """
     df = with_id(default_category(normalize_header(rename_form_labels(df))))
     typed = df.withColumns({"amount": _amount(df), "date": _date(df, formats)})

@@ -22,8 +22,8 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``, the sum of all amounts up to and with the row, in date order.
 
-    Rows without a date come last. Rows of one day are ordered by the md5 of their id, which
-    lets a busy day be cut into even, ordered splits. Three steps:
+    Rows without a date come last. Rows of one day are ordered by the md5 of their id (of the amount
+    where there is no id), which lets a busy day be cut into even, ordered splits. Three steps:
 
     1. one sum and count per day, and from them what was spent before the day;
     2. for days above ``rows_per_split`` rows only, the same per split of the day;
@@ -36,7 +36,12 @@ def running_total(
         {
             "_units": units(F.col(amount)).cast("decimal(18,0)"),
             "_beyond": beyond_units(F.col(amount)),
-            "_tie": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")),
+            # Rows without an id are spread by their amount.
+            "_tie": F.md5(
+                F.coalesce(
+                    F.col(id_col).cast("string"), F.col(amount).cast("string"), F.lit("")
+                ).cast("binary")
+            ),
         }
     )
     before = F.broadcast(_totals_before(keyed, date, rows_per_split))

@@ -13,6 +13,7 @@ from coinbrook.functions.text import PROHIBITED_SYMBOLS, has_prohibited_symbol,
 from coinbrook.operators.duplicates import FILE_KEY, all_present, file_key
 from coinbrook.schemas import REQUIRED_FILE_COLUMNS, REQUIRED_FORM_FIELDS
 
+# Texts of the reports.
 MISSING_FIELDS = "Missing required fields"
 BAD_SYMBOLS = f"Contains prohibited symbols ({PROHIBITED_SYMBOLS})"
 NOT_POSITIVE = "Amount must be positive (> 0)"

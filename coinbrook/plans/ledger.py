@@ -21,6 +21,7 @@ from coinbrook.operators.normalize import normalize_header, rename_form_labels,
 from coinbrook.operators.validation import missing_columns
 from coinbrook.plans.accounts import accounts_to_add, seed_rows
 from coinbrook.plans.fact import build_fact, new_facts
+from coinbrook.plans.mart import stored_mart
 from coinbrook.schemas import DEFAULT_CATEGORY, DIM_ACCOUNT, FRAME_NAME
 from coinbrook.sinks.export import export_tables
 from coinbrook.sinks.tables import FORM_FIELDS, LedgerTables
@@ -112,6 +113,15 @@ class Ledger:
         self._fresh.clear()
         self.tables.swap_fact(build_fact(self.expenses(), self.as_of))
 
+    def refresh_mart(self) -> DataFrame:
+        """Compute all KPIs from the fact table and store them; readers see the old ones until the
+        new ones are complete. Returns the mart, see ``plans.mart.read_kpi``."""
+        self.tables.swap_mart(stored_mart(self.fact()))
+        return self.mart()
+
+    def mart(self) -> DataFrame:
+        return self.spark.table(f"{self.tables.database}.kpi_mart")
+
     def sync_fact(self, batch_id: str | None = None) -> None:
         """Add the fact rows that are missing - of one batch, or of all.
 

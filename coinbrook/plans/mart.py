@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coinbrook.functions.amounts import money_parts, money_total, nan_to_null
-from coinbrook.plans.kpis import AMOUNT
+from coinbrook.plans.kpis import AMOUNT, headline, highest_expenses
 
 # KPI name -> its group keys.
 KPI_KEYS = {
@@ -57,12 +57,25 @@ def kpi_mart(fact: DataFrame) -> DataFrame:
     )
 
 
-def write_mart(fact: DataFrame, path: str) -> None:
-    """Write the mart as Parquet, one directory per KPI."""
-    kpi_mart(fact).write.mode("overwrite").partitionBy("kpi").parquet(path)
+def stored_mart(fact: DataFrame, n: int = 10) -> DataFrame:
+    """The grouped KPIs, the headline (its top category as ``parent_category``) and the ``n``
+    highest expenses (their amounts as ``total``) as rows of one table."""
+    top = highest_expenses(fact, n).withColumnRenamed(AMOUNT, "total")
+    first = headline(fact).select(
+        F.col("total_expenses").alias("total"),
+        F.col("total_transactions").alias("transactions"),
+        F.col("top_category").alias("parent_category"),
+    )
+    rows = kpi_mart(fact)
+    for name, frame in (("headline", first), ("top", top)):
+        rows = rows.unionByName(frame.withColumn("kpi", F.lit(name)), allowMissingColumns=True)
+    return rows
 
 
 def read_kpi(mart: DataFrame, kpi: str) -> DataFrame:
     """One KPI from the mart: its key columns and measures."""
-    columns = [*KPI_KEYS[kpi], "total", "mean", "transactions"]
+    columns = {
+        "headline": ["total", "transactions", "parent_category"],
+        "top": ["expense_date", "description", "parent_category", "total"],
+    }.get(kpi) or [*KPI_KEYS[kpi], "total", "mean", "transactions"]
     return mart.filter(F.col("kpi") == kpi).select(*columns)

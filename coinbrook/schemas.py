@@ -17,6 +17,7 @@ def _struct(**columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
 
 
+# Columns and types of the four tables.
 EXPENSES_LINE = _struct(
     id="string",
     date="date",
@@ -105,6 +106,7 @@ REQUIRED_FILE_COLUMNS = ["date", "description", "amount", "from_account", "towar
 # Form fields that must be filled, in reporting order.
 REQUIRED_FORM_FIELDS = ["Description", "Date", "Amount", "From Account", "To Account", "Category"]
 
+# What rows get that bring nothing else.
 DEFAULT_CATEGORY = "Uncategorized"
 CURRENCY = "EUR"
 

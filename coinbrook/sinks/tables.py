@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coinbrook.operators.duplicates import ROW_KEY
-from coinbrook.schemas import DIM_ACCOUNT, EXPENSES_LINE, FCT_EXPENSE, INTEGRITY_FILE_IMPORTED
+from coinbrook.schemas import (
+    DIM_ACCOUNT,
+    EXPENSES_LINE,
+    FCT_EXPENSE,
+    FORM_LABELS,
+    INTEGRITY_FILE_IMPORTED,
+)
 
 _BATCH = T.StructField("batch_id", T.StringType())
 _FILE = T.StructField("source_file", T.StringType())
@@ -26,7 +32,7 @@ _CHECKED = [
     T.StructField("error_value", T.StringType()),
 ]
 _VERDICT = [T.StructField("status", T.StringType()), T.StructField("duplicate_of", T.StringType())]
-FORM_FIELDS = ["Description", "Date", "Amount", "Category", "From Account", "To Account"]
+FORM_FIELDS = list(FORM_LABELS)
 _FORM = [T.StructField(f.replace(" ", "_"), T.StringType()) for f in FORM_FIELDS]
 _KEY_TYPES = {"key_date": T.DateType(), "key_amount": T.DoubleType()}
 _KEY = [T.StructField(k, _KEY_TYPES.get(k, T.StringType())) for k in ROW_KEY]
@@ -143,13 +149,30 @@ class LedgerTables:
     def append(self, table: str, frame: DataFrame, columns: Sequence[str]) -> None:
         frame.select(*columns).write.mode("append").insertInto(self._name(table))
 
-    def fact_version(self) -> int:
-        """Version number of the fact table in use; 0 before the first."""
-        if not self.spark.catalog.tableExists(self._name("fct_expense")):
+    def version(self, view: str) -> int:
+        """Version number of the table behind a view; 0 before the first."""
+        if not self.spark.catalog.tableExists(self._name(view)):
             return 0
-        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._name('fct_expense')} ('version')")
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._name(view)} ('version')")
         return int(rows.first()["value"])
 
+    def fact_version(self) -> int:
+        return self.version("fct_expense")
+
+    def swap_mart(self, mart: DataFrame) -> None:
+        """Write a new KPI mart, then let the view ``kpi_mart`` point to it, as for the facts."""
+        old = self.version("kpi_mart")
+        new = old + 1
+        table = self._name(f"kpi_mart_v{new}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        mart.write.partitionBy("kpi").format("parquet").saveAsTable(table)
+        self.spark.sql(
+            f"CREATE OR REPLACE VIEW {self._name('kpi_mart')} "
+            f"TBLPROPERTIES ('version' = '{new}') AS SELECT * FROM {table}"
+        )
+        if old > 1:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(f'kpi_mart_v{old - 1}')}")
+
     def swap_fact(self, fact: DataFrame) -> None:
         """Write a whole new fact table, then let the view ``fct_expense`` point to it.
 

@@ -17,10 +17,11 @@ from pyspark.sql import types as T
 from coinbrook.functions.text import na_to_null
 from coinbrook.operators.normalize import column_name
 from coinbrook.operators.validation import missing_columns
+from coinbrook.schemas import EXPENSES_LINE
 from coinbrook.sources.csv_records import opens_cell, read_lines, read_records
 from coinbrook.sources.local import local_frame
 
-KNOWN_COLUMNS = ["id", "date", "description", "category", "amount", "from_account", "towards"]
+KNOWN_COLUMNS = EXPENSES_LINE.fieldNames()
 
 
 @dataclass(frozen=True)

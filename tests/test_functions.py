@@ -137,3 +137,13 @@ def test_prohibited_symbols(frame):
 def test_na_tokens(frame):
     assert one_column(frame, text.NA_TOKENS, text.na_to_null) == [None] * 19
     assert one_column(frame, ["NAN", "none", " NA"], text.na_to_null) == ["NAN", "none", " NA"]
+
+
+def test_sums_drop_nothing(frame):
+    tiny = frame([(4e-7,)] * 1000, "v double")
+    total, mean = tiny.agg(amounts.money_sum(F.col("v")), amounts.money_mean(F.col("v"))).first()
+    assert total == pytest.approx(0.0004, rel=1e-12) and mean == pytest.approx(4e-7, rel=1e-12)
+    mixed = frame([(4e-7,), (0.1,), (0.2,), (1 / 3,), (2.5e9,), (None,), (float("nan"),)], "v double")
+    assert mixed.agg(amounts.money_sum(F.col("v"))).first()[0] == pytest.approx(2.5e9 + 0.3 + 1 / 3 + 4e-7, rel=1e-15)
+    money = frame([(k / 100,) for k in range(1, 2000)], "v double")
+    assert money.agg(amounts.money_sum(F.col("v"))).first()[0] == 19990.0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from coinbrook.operators.running_total import running_total
 from coinbrook.plans import kpis
 from coinbrook.plans.fact import build_fact
-from coinbrook.plans.mart import KPI_KEYS, kpi_mart, read_kpi, write_mart
+from coinbrook.plans.mart import KPI_KEYS, kpi_mart, read_kpi
 
 LINES = "id string, date date, description string, category string, amount double, from_account string, towards string"
 
@@ -174,7 +174,7 @@ def test_filters_reach_the_scan(spark, fact, tmp_path):
 
 
 def test_mart_equals_the_kpis(spark, fact, tmp_path):
-    write_mart(fact, str(tmp_path / "mart"))
+    kpi_mart(fact).write.partitionBy("kpi").parquet(str(tmp_path / "mart"))
     mart = spark.read.parquet(str(tmp_path / "mart"))
     single = {
         "category": kpis.total_per_category(fact),
@@ -200,3 +200,12 @@ def test_totals_agree(fact):
     by_category = sum(r[1] for r in kpis.total_per_category(fact).collect())
     without = fact.filter("parent_category is null").agg(F.sum("expend_amount")).first()[0]
     assert by_category + without == kpis.headline(fact).first()["total_expenses"]
+
+
+def test_filter_dates_in_other_spellings():
+    from coinbrook.plans.kpis import _moment
+
+    for text in ("2025-1-2", "01/02/2025", "2025/01/02", "20250102", "2 Jan 2025", "Jan 2, 2025", "2025-01-02T00:00:00"):
+        assert _moment(text) == dt.datetime(2025, 1, 2), text
+    with pytest.raises(ValueError):
+        _moment("soon")

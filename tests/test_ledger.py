@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +264,102 @@ def test_a_date_filter_reads_only_its_years(ledger, frame):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "year#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert rows.select(F.max("expense_date")).first()[0] == dt.date(2025, 1, 1)
+
+
+# -- batches that must not swallow files ---------------------------------------------------
+
+
+def test_a_batch_id_holds_its_files(ledger, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    write(one, "a.csv", ["2025-01-01,tea,1,n26,home"])
+    write(one, "b.csv", ["2025-01-02,tea,1,n26,home"])
+    write(two, "c.csv", ["2025-01-03,tea,1,n26,home"])
+    ledger.import_files([str(one)], "day")
+    with pytest.raises(ValueError, match="c.csv"):
+        ledger.import_files([str(two)], "day")
+    with pytest.raises(ValueError, match="b.csv"):
+        ledger.import_files([str(one / "a.csv")], "day")
+    (one / "a.csv").write_text(HEADER + "2025-01-09,milk,7,n26,home\n")
+    os.utime(one / "a.csv", (1, 1))
+    with pytest.raises(ValueError, match="a.csv"):
+        ledger.import_files([str(one)], "day")
+    assert ledger.expenses().count() == 2
+
+
+def test_a_file_that_left_before_the_repeat(ledger, tmp_path, monkeypatch):
+    landing = tmp_path / "in"
+    write(landing, "a.csv", ["2025-01-01,tea,1,n26,home"])
+    write(landing, "b.csv", ["2025-01-02,tea,1,n26,home"])
+    with monkeypatch.context() as patched:
+        patched.setattr(ledger, "_land_files", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ledger.import_files([str(landing)], "day")
+    (landing / "b.csv").rename(tmp_path / "b.csv")
+    with pytest.raises(ValueError, match="b.csv"):
+        ledger.import_files([str(landing)], "day")
+    assert ledger.import_log().isEmpty()
+
+
+def test_streams_of_one_name(ledger, tmp_path):
+    for k, (folder, checkpoint) in enumerate([("x", "c1"), ("y", "c2"), ("x", "c3")]):
+        write(tmp_path / folder, f"f{k}.csv", [f"2025-01-0{k + 1},tea,1,n26,home"])
+        import_stream(ledger, str(tmp_path / folder), str(tmp_path / checkpoint)).awaitTermination()
+    assert {r.filename for r in ledger.import_log().collect()} == {"f0.csv", "f1.csv", "f2.csv"}
+
+
+def test_an_interrupted_seed(ledger, tmp_path, monkeypatch):
+    write(tmp_path / "s", "seed.csv", ["2025-01-01,tea,1,n26,home"])
+    with monkeypatch.context() as patched:
+        patched.setattr(ledger, "sync_fact", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ledger.seed(str(tmp_path / "s" / "seed.csv"))
+    assert ledger.seed(str(tmp_path / "s" / "seed.csv")) is False
+    assert ledger.fact().count() == 1
+
+
+def test_ids_of_a_rejected_file_block_no_other(ledger, tmp_path):
+    landing = tmp_path / "in"
+    write(landing, "a.csv", ["7,2025-01-01,tea,bad,n26,home"], "id," + HEADER)
+    write(landing, "b.csv", ["7,2025-01-01,tea,1,n26,home"], "id," + HEADER)
+    write(landing, "c.csv", ["7,2025-01-02,tea,1,n26,home", "8,2025-01-02,cake,2,n26,home"], "id," + HEADER)
+    write(landing, "d.csv", ["8,2025-01-03,tea,1,n26,home"], "id," + HEADER)
+    for k, name in enumerate("abcd"):
+        os.utime(landing / f"{name}.csv", (1000 + k, 1000 + k))
+    got = status(ledger.import_files([str(landing)]))
+    assert got == {"a.csv": "structure", "b.csv": "accepted", "c.csv": "bad ids", "d.csv": "accepted"}
+
+
+def test_ids_of_frames_and_inserts(ledger, frame):
+    columns = "id string, Date string, Description string, Amount string, `From Account` string, `To Account` string"
+
+    def rows(*ids):
+        return frame([(i, f"2025-01-{n:02}", "tea", "1", "n26", "home") for n, i in enumerate(ids, 1)], columns)
+
+    assert status(ledger.import_frame(rows("k", "k"), "one")) == {"one": "bad ids"}
+    assert status(ledger.import_frame(rows("k", None), "two")) == {"two": "bad ids"}
+    assert status(ledger.import_frame(rows("k", "l"), "three")) == {"three": "accepted"}
+    for bad in (("k",), ("m", "m"), (None,)):
+        with pytest.raises(ValueError, match="ids"):
+            ledger.insert(rows(*bad))
+    ledger.insert(rows("m"))
+    assert sorted(r.id for r in ledger.fact().collect()) == ["k", "l", "m"]
+
+
+def test_one_account_for_each_marker(ledger, frame):
+    rows = frame([("b", "x", "new"), ("a", "y", "new"), ("c", "z", "n26"), ("d", "q", None)], "id string, name string, marker string")
+    full = [f.name for f in TABLES["dim_account"]]
+    rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in full])
+    ledger.add_accounts(rows)
+    added = {(r.id, r.marker) for r in ledger.accounts().collect() if r.id in "abcd"}
+    assert added == {("a", "new"), ("d", None)}
+
+
+def test_the_mart_is_swapped(ledger, frame):
+    from coinbrook.plans.mart import read_kpi
+
+    for n in (1, 2, 3):
+        ledger.insert(frame([(1, "x", f"2025-01-0{n}", str(n), "c", "a", "b")], FORM))
+        mart = ledger.refresh_mart()
+    assert read_kpi(mart, "headline").collect()[0].total == 6.0
+    assert [r.total for r in read_kpi(mart, "top").collect()] == [3.0, 2.0, 1.0]
+    assert read_kpi(mart, "category").collect()[0].total == 6.0
