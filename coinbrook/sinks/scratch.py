@@ -26,7 +26,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = _own_folder()
     return f"{shared.rstrip('/')}/coinbrook-{name}-{uuid.uuid4().hex}"
