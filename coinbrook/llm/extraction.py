@@ -56,6 +56,10 @@ MARKS = frozenset(
 )
 #: These are so only around an article, not within it.
 AROUND = frozenset(("header", "masthead", "banner"))
+#: These are so even where they hold articles of their own, as comments and teasers may be marked up.
+OTHER_ARTICLES = frozenset(
+    "comment comments reply replies respond disqus related recommended recommendations".split()
+)
 CONTENT_IDS = frozenset("content main maincontent article post story entry articlebody postcontent entrycontent".split())
 
 _VARIES = "*"
@@ -65,6 +69,11 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())
 
 
+def _names(node: Node) -> set[str]:
+    """Words of the class names and the id."""
+    return set(_words(f"{node.attribute('class') or ''} {node.attribute('id') or ''}")) if node.attributes else set()
+
+
 def _marked(node: Node, inside: bool) -> bool:
     """Whether tag, role, class or id say that the node is no article text."""
     if node.tag in OUTSIDE or (node.tag == "header" and not inside):
@@ -78,8 +87,7 @@ def _marked(node: Node, inside: bool) -> bool:
         return True
     if "role" in lower and (node.attribute("role") or "").lower() in ROLES:
         return True
-    names = f"{node.attribute('class') or ''} {node.attribute('id') or ''}"
-    found = set(_words(names)) & (MARKS | AROUND)
+    found = _names(node) & (MARKS | AROUND)
     return bool(found - AROUND if inside else found)
 
 
@@ -92,13 +100,19 @@ def _holds_article(node: Node) -> bool:
     return any((c.tag in ("article", "main") and not _marked(c, True)) or _holds_article(c) for c in node.children())
 
 
+def _holds(node: Node, tags: tuple[str, ...]) -> bool:
+    return any(c.tag in tags or _holds(c, tags) for c in node.children())
+
+
 def _outside(node: Node, inside: bool, total: int) -> bool:
     """Marked, and not a wrapper around the article or most of the page."""
     if not _marked(node, inside):
         return False
     if node.tag in RAW or node.tag in ("head", "nav", "footer", "noscript", "template", "svg"):
         return True
-    return not _holds_article(node) and (inside or 2 * _weight(node) <= total or node.tag != "form")
+    if _holds_article(node):
+        return bool(_names(node) & OTHER_ARTICLES) and not _holds(node, ("h1", "main"))
+    return inside or 2 * _weight(node) <= total or node.tag != "form"
 
 
 # -- templates -----------------------------------------------------------------------------
