@@ -13,11 +13,11 @@ win AS (
     SELECT DISTINCT item_id, least(10, len(w)) AS k,
            array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
     FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
-at AS (
+spots AS (
     SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
     FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i
           FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
-hit AS (SELECT DISTINCT doc_id, i, k, item_id FROM at JOIN win USING (k, s)),
+hit AS (SELECT DISTINCT doc_id, i, k, item_id FROM spots JOIN win USING (k, s)),
 places AS (
     SELECT doc_id, count(DISTINCT p) AS n
     FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
