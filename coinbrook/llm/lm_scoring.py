@@ -33,7 +33,7 @@ from coinbrook.sinks.scratch import materialize
 #: Words sent to every task, and the longest of them in bytes: at most about 10 MB.
 HEAD_WORDS, HEAD_BYTES = 1 << 17, 64
 #: Vocabulary and classes of the recurrent model.
-NEURAL_WORDS, CLASSES = 1500, 40
+NEURAL_WORDS, CLASSES = 1000, 24
 #: Documents of the sample that training starts on.
 START_DOCS = 400
 #: Words that a task trains on or scores side by side.
@@ -85,9 +85,6 @@ class Head:
         """The place of each word in order of frequency."""
         return {w: k for k, w in enumerate(self.words.split(b" "))} if len(self.counts) else {}
 
-    def end(self) -> int:
-        return self.places().get(END, 0)
-
     def base_logs(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the smoothed frequency of words with these counts."""
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -103,23 +100,57 @@ class Head:
 
 
 def head_of(counts: DataFrame, head_words: int = HEAD_WORDS, neural_words: int = NEURAL_WORDS) -> Head:
+    """The most frequent words, as many as fit, and the end.
+
+    Words are taken by level of frequency, sixteen levels for each doubling, so a histogram of a few
+    hundred rows tells how many levels fit, and no more than ``head_words`` reach the driver.
+    """
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    short = counts.filter(F.length("token") <= HEAD_BYTES)
-    rows = short.orderBy(F.desc("c"), "token").limit(head_words).collect()
-    # The end always belongs to the vocabulary, however rare it is.
-    rows = sorted(rows, key=lambda r: (bytes(r.token) != END, -r.c, bytes(r.token)))
+    short = counts.filter(F.length("token") <= HEAD_BYTES).withColumn("level", F.floor(16 * F.log2("c")))
+    sizes = sorted(((r["level"], r["count"]) for r in short.groupBy("level").count().collect()), reverse=True)
+    least, taken = float("inf"), 0
+    for level, n in sizes:
+        if taken + n > head_words:
+            break
+        least, taken = level, taken + n
+    is_end = F.length("token") == 0
+    wanted = short.filter((F.col("level") >= F.lit(least)) | is_end).select("token", "c")
+    # The end comes first, so it always belongs to the vocabulary of the model.
+    rows = sorted(wanted.collect(), key=lambda r: (bytes(r.token) != END, -r.c, bytes(r.token)))
     counted = np.array([r.c for r in rows], np.int64)
     return Head(b" ".join(bytes(r.token) for r in rows), counted, min(neural_words, len(rows)), total or 0, distinct)
 
 
-def _neural_ids(tokens: list[bytes], places: dict[bytes, int], neural: int, end: int) -> np.ndarray:
-    """Places in the vocabulary; other words get a bucket above it. The end comes last."""
-    ids = np.empty(len(tokens) + 1, np.int64)
-    for k, token in enumerate(tokens):
-        at = places.get(token, neural)
-        ids[k] = at if at < neural else neural + zlib.crc32(token) % gru.BUCKETS
-    ids[-1] = end
-    return ids
+class _Places(dict):
+    """The place of each frequent word; -1 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        """Places of the words and of the end after them."""
+        out = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return np.append(out, self[END])
+
+
+def _bucket(word: bytes) -> int:
+    return zlib.crc32(word) % gru.BUCKETS
+
+
+class _Ids:
+    """Turns words into the model's ids: places in its vocabulary, then hash buckets."""
+
+    def __init__(self, head: Head) -> None:
+        self.places, self.neural = _Places(head.places()), head.neural
+        self.end = self.places[END]
+        buckets = [head.neural + _bucket(w) for w in itertools.islice(self.places, head.neural, None)]
+        self.of_place = np.concatenate([np.arange(head.neural), np.array(buckets, np.int64)])
+
+    def of(self, tokens: list[bytes], places: np.ndarray) -> np.ndarray:
+        ids = self.of_place[places]
+        for k in np.flatnonzero(places < 0):
+            ids[k] = self.neural + _bucket(tokens[k])
+        return ids
 
 
 def _new_model(head: Head) -> gru.Model:
@@ -129,10 +160,11 @@ def _new_model(head: Head) -> gru.Model:
     return model
 
 
-def _pools(texts: Iterator[str | None], places: dict[bytes, int], neural: int, end: int) -> Iterator[list[np.ndarray]]:
+def _pools(texts: Iterator[str | None], ids: _Ids) -> Iterator[list[np.ndarray]]:
     pool, words = [], 0
     for text in texts:
-        pool.append(_neural_ids(tokens_of(text), places, neural, end))
+        tokens = tokens_of(text)
+        pool.append(ids.of(tokens, ids.places.of(tokens)))
         words += len(pool[-1])
         if words > POOL_WORDS:
             yield pool
@@ -166,22 +198,22 @@ def train(texts: DataFrame, head: Head, shares: int = 64) -> np.ndarray | None:
     if not head.neural:
         return None
     spark = texts.sparkSession
-    places, end = head.places(), head.end()
+    ids = _Ids(head)
     model = _new_model(head)
     # A start that depends on the texts alone: those with the smallest hashes.
     start = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(START_DOCS)
-    docs = [_neural_ids(tokens_of(r["text"]), places, head.neural, end) for r in start.collect()]
-    gru.train(gru.Trainer(model), docs, end, lanes=32)
+    docs = [d for pool in _pools((r["text"] for r in start.collect()), ids) for d in pool]
+    gru.train(gru.Trainer(model), docs, ids.end, lanes=32)
     sent = spark.sparkContext.broadcast((head, model.vector()))
 
     def learn(batches: Batches) -> Batches:
         known, weights = sent.value
         own = _new_model(known).load(weights)
         trainer = gru.Trainer(own, gru.RATE / 4)
-        places, end, words = known.places(), known.end(), 0
+        ids, words = _Ids(known), 0
         found = (t for b in batches for t in b.column("text").to_pylist())
-        for pool in _pools(found, places, known.neural, end):
-            words += gru.train(trainer, pool, end)[1]
+        for pool in _pools(found, ids):
+            words += gru.train(trainer, pool, ids.end)[1]
         if words:
             share = TaskContext.get().partitionId() % shares
             yield pa.RecordBatch.from_arrays(
@@ -206,46 +238,66 @@ def _score(docs: DataFrame, head: Head, weights: np.ndarray | None) -> DataFrame
 
     def score(batches: Batches) -> Batches:
         head, weights = sent.value
-        places, end = head.places(), head.end()
+        ids = _Ids(head)
         base = head.base_logs(head.counts)
-        within = head.within_logs(head.counts)
+        within = np.where(np.arange(len(head.counts)) < head.neural, 0.0, head.within_logs(head.counts))
         model = _new_model(head).load(weights) if weights is not None else None
         key = TaskContext.get().partitionId() << 33
         for rows in _row_pools(batches):
-            ids = [_neural_ids(tokens, places, head.neural, end) for _, _, tokens in rows]
-            logs = gru.log_likelihoods(model, ids, end) / np.log(10) if model else np.zeros(len(rows))
-            out: list[list] = [[] for _ in range(9)]
-            for (doc_id, held_out, tokens), log in zip(rows, logs, strict=True):
+            places = [ids.places.of(tokens) for _, _, tokens in rows]
+            logs = np.zeros(len(rows))
+            if model:
+                own = [ids.of(tokens, at) for (_, _, tokens), at in zip(rows, places, strict=True)]
+                logs = gru.log_likelihoods(model, own, ids.end) / np.log(10)
+            out = _Out()
+            for (doc_id, held_out, tokens), at, log in zip(rows, places, logs, strict=True):
                 key += 1
-                known, total, score = 0, 0.0, float(log)
-                counted = Counter(tokens)
-                counted[END] += 1
-                for token, times in counted.items():
-                    at = places.get(token)
-                    if at is None:
-                        for column, value in zip(out, (key, None, None, 0, 0, 0.0, 0.0, token, times), strict=True):
-                            column.append(value)
-                    else:
-                        known += times
-                        total += times * base[at]
-                        if at >= head.neural:
-                            score += times * within[at]
+                frequent = at[at >= 0]
                 # A word cannot begin with a space, so this one has no count, and rows spread evenly.
-                own = (key, doc_id, held_out, len(tokens) + 1, known, total, score, b" %d" % key, 0)
-                for column, value in zip(out, own, strict=True):
-                    column.append(value)
-                if len(out[0]) > 20_000:
-                    yield _scored(out)
-                    out = [[] for _ in range(9)]
-            yield _scored(out)
+                out.add(
+                    key, doc_id, held_out, len(at), len(frequent), base[frequent].sum(),
+                    log + within[frequent].sum(), b" %d" % key, 0,
+                )
+                # The end is frequent wherever there is anything to learn from.
+                others = Counter(tokens[k] if k < len(tokens) else END for k in np.flatnonzero(at < 0))
+                out.add_words(key, others)
+                if len(out) > 20_000:
+                    yield out.batch()
+                    out = _Out()
+            yield out.batch()
 
     return by_arrow(docs.select("doc_id", "held_out", "text"), score, _SCORED)
 
 
-def _scored(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-    names = ["row_key", "doc_id", "held_out", "n_tokens", "known", "base", "model", "token", "times"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+class _Out:
+    """Rows for the join: one for a document, and one for each of its words that is not frequent."""
+
+    NAMES = ("row_key", "doc_id", "held_out", "n_tokens", "known", "base", "model", "token", "times")
+    KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
+
+    def __init__(self) -> None:
+        self.documents: list[tuple] = []
+        self.keys: list[int] = []
+        self.words: list[bytes] = []
+        self.times: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.documents) + len(self.words)
+
+    def add(self, *row: object) -> None:
+        self.documents.append(row)
+
+    def add_words(self, key: int, counted: Counter[bytes]) -> None:
+        self.keys += [key] * len(counted)
+        self.words += counted.keys()
+        self.times += counted.values()
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.words)
+        columns = [list(c) for c in zip(*self.documents, strict=True)] or [[] for _ in self.NAMES]
+        more = (self.keys, [None] * n, [None] * n, [0] * n, [0] * n, [0.0] * n, [0.0] * n, self.words, self.times)
+        arrays = [pa.array(c + m, k) for c, m, k in zip(columns, more, self.KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=list(self.NAMES))
 
 
 def _row_pools(batches: Batches) -> Iterator[list[tuple]]:
