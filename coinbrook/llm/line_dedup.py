@@ -96,7 +96,7 @@ def keys_of(lines: DataFrame, table: list[int]) -> DataFrame:
 
     Lines of under four words match equal sets only, so their key is the whole set.
     """
-    # One literal, folded once. Kept out of the plan's texts by a limit on their length.
+    # One literal, folded once.
     levels = f"from_json('{table}', 'array<bigint>')"
     at = f"pmod(h, {PLACES}L)"
     level = f"shiftright(coalesce({levels}[int({at} div 16)], 0L), int({at} % 16) * 4) & 15L"
@@ -192,13 +192,20 @@ def later_matches(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     ``repeated`` has the first place of every set that several lines have.
     """
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
     every = lines_of(docs).filter("set is not null")
     lines = every.withColumn("place", _place())
     known = sent_if_small(repeated.select("set", F.col("first").alias("_first")))
     # Of equal lines, only the first goes on.
     lines = lines.join(known, "set", "left").filter("_first is null or place = _first").drop("_first")
-    met = materialize(_meetings(keys_of(lines, level_table(every))), "meetings")
+    keys = keys_of(lines, level_table(every))
+    # The table of levels is part of this plan, whose text need not be kept.
+    conf = docs.sparkSession.conf
+    whole = conf.get("spark.sql.maxPlanStringLength")
+    conf.set("spark.sql.maxPlanStringLength", "100000")
+    try:
+        met = materialize(_meetings(keys), "meetings")
+    finally:
+        conf.set("spark.sql.maxPlanStringLength", whole)
     pairs = met.filter("a is not null").select("a", "b")
     large = met.filter("a is null").drop("a", "b")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(large.select("set")).distinct()
