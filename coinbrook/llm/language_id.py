@@ -217,16 +217,35 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             )
 
     schema = "lang string, places binary, `values` binary"
-    # A fixed order, so that the same rows always give the same model.
     found = by_arrow(sample, features, schema, doc_id=labelled.schema["doc_id"].dataType)
-    got = found.orderBy(F.xxhash64("doc_id", "places"), "lang").collect()
-    vectors = [(np.frombuffer(r["places"], np.int32), np.frombuffer(r["values"], np.float32)) for r in got]
-    labels = np.array([languages.index(r["lang"]) for r in got], np.int64)
-    held_back = np.arange(len(got)) % 5 == 4
-    weights = train_ftrl([v for v, h in zip(vectors, held_back) if not h], labels[~held_back], len(languages))
-    logits = [(weights[:, p] @ v) for (p, v), h in zip(vectors, held_back) if h]
-    logits = np.array(logits, np.float64).reshape(-1, len(languages))
-    return Model(languages, idf, weights, fit_temperature(logits, labels[held_back]))
+    # The sample is bounded, so one task can hold it. A fixed order, so that the same rows always give
+    # the same model.
+    found = found.withColumns({"all": F.lit(0), "place": F.xxhash64("doc_id", "places")})
+    ordered = found.repartition("all").sortWithinPartitions("place", "lang").select("lang", "places", "values")
+
+    def fit(batches: Batches) -> Batches:
+        vectors, names = [], []
+        for b in batches:
+            names += b.column("lang").to_pylist()
+            for p, v in zip(b.column("places").to_pylist(), b.column("values").to_pylist(), strict=True):
+                vectors.append((np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)))
+        if not vectors:
+            return
+        labels = np.array([languages.index(n) for n in names], np.int64)
+        held_back = np.arange(len(vectors)) % 5 == 4
+        weights = train_ftrl([v for v, h in zip(vectors, held_back, strict=True) if not h], labels[~held_back], len(languages))
+        logits = [(weights[:, p] @ v) for (p, v), h in zip(vectors, held_back, strict=True) if h]
+        logits = np.array(logits, np.float64).reshape(-1, len(languages))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([weights.tobytes()], pa.binary()), pa.array([fit_temperature(logits, labels[held_back])])],
+            names=["weights", "temperature"],
+        )
+
+    fitted = by_arrow(ordered, fit, "weights binary, temperature double").collect()
+    if not fitted:
+        return Model([], idf, np.zeros((0, BUCKETS), np.float32), 1.0)
+    weights = np.frombuffer(fitted[0]["weights"], np.float32).reshape(len(languages), BUCKETS)
+    return Model(languages, idf, weights, fitted[0]["temperature"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

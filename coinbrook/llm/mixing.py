@@ -11,7 +11,7 @@ than its cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from coinbrook.llm.common import text_of
@@ -80,15 +80,30 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
     return raised.crossJoin(F.broadcast(total)).select("value", (F.col("raised") / F.col("all")).alias("share"))
 
 
+def _present(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """All targets as ``dimension``, ``value``, ``share``, without the values that no cell has, and
+    with sum one in each dimension."""
+    held = None
+    for dimension, target in targets.items():
+        values = cells.filter("tokens > 0").select(F.col(dimension).alias("_value")).distinct()
+        own = target.join(values, target["value"].eqNullSafe(values["_value"]), "left_semi")
+        own = own.select(F.lit(dimension).alias("dimension"), "value", "share")
+        held = own if held is None else held.unionByName(own)
+    sums = held.groupBy(F.col("dimension").alias("_dimension")).agg(F.sum("share").alias("all"))
+    shared = held.join(sums, F.col("dimension") == F.col("_dimension"))
+    return materialize(shared.select("dimension", "value", (F.col("share") / F.col("all")).alias("share")), "targets")
+
+
 def _scale(cells: DataFrame, dimension: str, targets: DataFrame, total: float) -> DataFrame:
     """Scale the weights so that the sums by ``dimension`` are the target shares of the total.
 
     Values without a target get weight zero.
     """
-    sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("sum"))
-    sums = sums.filter("sum > 0").alias("s")
-    factors = sums.join(targets.alias("t"), F.col("s.value").eqNullSafe(F.col("t.value")))
-    factors = factors.select(F.col("s.value").alias("_value"), (F.col("share") * F.lit(total) / F.col("sum")).alias("factor"))
+    sums = cells.groupBy(F.col(dimension).alias("_value")).agg(F.sum("weight").alias("sum"))
+    sums = sums.filter("sum > 0")
+    own = targets.filter(F.col("dimension") == dimension)
+    factors = sums.join(own, F.col("_value").eqNullSafe(F.col("value")))
+    factors = factors.select("_value", (F.col("share") * F.lit(total) / F.col("sum")).alias("factor"))
     scaled = cells.join(factors, cells[dimension].eqNullSafe(factors["_value"]), "left")
     return scaled.withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("_value", "factor")
 
@@ -100,22 +115,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     sum one. Where empty cells make the targets unreachable together, the weights of the last round
     are returned: then the topics' targets are met, the others as nearly as raking gets.
     """
-    present = {}
-    for dimension, target in targets.items():
-        values = cells.filter("tokens > 0").select(F.col(dimension).alias("_value")).distinct()
-        own = target.join(values, target["value"].eqNullSafe(values["_value"]), "left_semi")
-        total = own.agg(F.sum("share").alias("all"))
-        own = own.crossJoin(F.broadcast(total)).select("value", (F.col("share") / F.col("all")).alias("share"))
-        present[dimension] = materialize(own, f"targets-{dimension}")
+    present = _present(cells, targets)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    now = materialize(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
         after = now.withColumn("before", F.col("weight"))
-        for dimension, target in present.items():
-            after = _scale(after, dimension, target, total)
-        after = materialize(after, "cells")
-        change = after.agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-300)))).first()[0]
-        now = after.drop("before")
+        for dimension in targets:
+            after = _scale(after, dimension, present, total)
+        # The change is observed while the round is written.
+        moved = F.abs(F.col("weight") - F.col("before")) / F.greatest("before", F.lit(1e-300))
+        seen = Observation()
+        now = materialize(after.observe(seen, F.max(moved).alias("change")), "cells").drop("before")
+        change = seen.get.get("change")
         if change is None or change <= tolerance:
             break
     return now
@@ -125,21 +136,24 @@ def inclusion(cells: DataFrame, token_share: float) -> DataFrame:
     """``cells`` with ``probability``: min(1, k * weight / tokens), k such that the expected tokens are
     ``token_share`` of all.
 
-    k is found by narrowing an interval on a grid; each step is one aggregate over the cells.
+    k starts where it would be if no probability were cut off at one, and is raised to make up for
+    those that are, until no further one is. Each step is one aggregate over the cells.
     """
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     rated = cells.withColumn("ratio", ratio)
-    bounds = rated.filter("ratio > 0").agg(F.sum("tokens"), F.min("ratio")).first()
-    if not bounds[0]:
+    tokens, weight = rated.agg(F.sum("tokens"), F.sum("weight")).first()
+    if not weight:
         return rated.withColumn("probability", F.lit(0.0)).drop("ratio")
-    wanted = token_share * float(cells.agg(F.sum("tokens")).first()[0])
-    low, high = 0.0, 1.0 / bounds[1]  # at the upper end every token has probability one
-    for _ in range(4):
-        grid = [low + (high - low) * i / 64 for i in range(65)]
-        sums = rated.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(k) * F.col("ratio"))) for k in grid]).first()
-        above = next((i for i, s in enumerate(sums) if s >= wanted), 64)
-        low, high = grid[max(0, above - 1)], grid[above]
-    return rated.withColumn("probability", F.least(F.lit(1.0), F.lit(high) * F.col("ratio"))).drop("ratio")
+    wanted = token_share * float(tokens)
+    k = wanted / weight
+    while True:
+        sure = F.lit(k) * F.col("ratio") >= 1
+        full, rest = rated.agg(F.sum(F.when(sure, F.col("tokens"))), F.sum(F.when(~sure, F.col("weight")))).first()
+        raised = max(0.0, wanted - (full or 0)) / rest if rest else k
+        if raised <= k * (1 + 1e-12):
+            break
+        k = raised
+    return rated.withColumn("probability", F.least(F.lit(1.0), F.lit(k) * F.col("ratio"))).drop("ratio")
 
 
 def draw(seed: int) -> Column:
