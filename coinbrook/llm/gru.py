@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
-EMBEDDING, HIDDEN = 12, 16
+EMBEDDING, HIDDEN = 16, 24
 WINDOW = 16
 #: Words outside the vocabulary are told apart on input by so many hash buckets.
 BUCKETS = 256
 RATE, CLIP = 0.08, 1.0
-LANES = 512
+LANES = 256
 
 
 def classes_of(counts: np.ndarray, wanted: int) -> np.ndarray:

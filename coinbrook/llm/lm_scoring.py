@@ -4,7 +4,7 @@
 2. The most frequent words are sent to the tasks with their counts (``HEAD_WORDS``, a fixed number).
    The first of them are the vocabulary of the recurrent model; all others are one class of it,
    within which a word has its relative frequency.
-3. The model is trained on all training documents: a start on a bounded sample, then one pass in which
+3. The model is trained on all training documents: a start on a bounded sample in one task, then one pass in which
    every task goes on from there over its own documents, and the average of what the tasks got,
    weighted by their words. The average is folded over sorted streams, one model at a time.
 4. Every document is scored in one go, its state carried over windows. Words that are not among the
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from coinbrook.sinks.scratch import materialize
 #: Words sent to every task, and the longest of them in bytes: at most about 10 MB.
 HEAD_WORDS, HEAD_BYTES = 1 << 17, 64
 #: Vocabulary and classes of the recurrent model.
-NEURAL_WORDS, CLASSES = 1000, 24
+NEURAL_WORDS, CLASSES = 1500, 40
 #: Documents of the sample that training starts on.
 START_DOCS = 400
 #: Words that a task trains on or scores side by side.
@@ -193,22 +194,51 @@ def _average(models: DataFrame, *keys: str) -> DataFrame:
     return by_arrow(ordered, average, "all int, share int, words long, weights binary")
 
 
+def _start(texts: DataFrame) -> DataFrame:
+    """The ``START_DOCS`` texts with the smallest hashes, in one partition, so it depends on the texts alone.
+
+    Hashes are counted by level first, sixteen for each doubling, so that hardly more texts than are
+    wanted go to the task that orders them.
+    """
+    hashed = texts.select("text", F.xxhash64("text").alias("h"))
+    level = F.floor(16 * F.log2(F.col("h") + F.lit(2.0**63 + 1)))
+    sizes = hashed.groupBy(level.alias("level")).count().collect()  # at most sixteen rows for each bit
+    last, taken = -1, 0
+    for r in sorted(sizes, key=lambda r: r["level"]):
+        last, taken = r["level"], taken + r["count"]
+        if taken >= START_DOCS:
+            break
+    return hashed.filter(level <= last).orderBy("h").limit(START_DOCS).select("text")
+
+
+def _fit_start(texts: DataFrame, sent: Broadcast[Head]) -> np.ndarray:
+    """Weights after the start. One task fits them, a pool of texts at a time; the weights alone return."""
+
+    def fit(batches: Batches) -> Batches:
+        ids, model = _Ids(sent.value), _new_model(sent.value)
+        trainer, learned = gru.Trainer(model), False
+        for pool in _pools((t for b in batches for t in b.column("text").to_pylist()), ids):
+            gru.train(trainer, pool, ids.end, lanes=32)
+            learned = True
+        if learned:
+            yield pa.RecordBatch.from_arrays([pa.array([model.vector().tobytes()], pa.binary())], names=["weights"])
+
+    rows = by_arrow(_start(texts), fit, "weights binary").collect()  # one row
+    return np.frombuffer(rows[0]["weights"], np.float32) if rows else _new_model(sent.value).vector()
+
+
 def train(texts: DataFrame, head: Head, shares: int = 64) -> np.ndarray | None:
     """Weights after the start and one pass over all ``texts``; null if there are no words to learn."""
     if not head.neural:
         return None
-    spark = texts.sparkSession
-    ids = _Ids(head)
-    model = _new_model(head)
-    # A start that depends on the texts alone: those with the smallest hashes.
-    start = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(START_DOCS)
-    docs = [d for pool in _pools((r["text"] for r in start.collect()), ids) for d in pool]
-    gru.train(gru.Trainer(model), docs, ids.end, lanes=32)
-    sent = spark.sparkContext.broadcast((head, model.vector()))
+    context = texts.sparkSession.sparkContext
+    sent_head = context.broadcast(head)
+    started = _fit_start(texts, sent_head)
+    sent_weights = context.broadcast(started)
 
     def learn(batches: Batches) -> Batches:
-        known, weights = sent.value
-        own = _new_model(known).load(weights)
+        known = sent_head.value
+        own = _new_model(known).load(sent_weights.value)
         trainer = gru.Trainer(own, gru.RATE / 4)
         ids, words = _Ids(known), 0
         found = (t for b in batches for t in b.column("text").to_pylist())
@@ -223,7 +253,7 @@ def train(texts: DataFrame, head: Head, shares: int = 64) -> np.ndarray | None:
 
     learned = by_arrow(texts.select("text"), learn, "all int, share int, words long, weights binary")
     rows = _average(_average(learned, "share"), "all").collect()  # one row
-    return np.frombuffer(rows[0]["weights"], np.float32) if rows else model.vector()
+    return np.frombuffer(rows[0]["weights"], np.float32) if rows else started
 
 
 _SCORED = (

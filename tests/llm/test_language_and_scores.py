@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from coinbrook.llm import gru, language_id, lm_scoring
 
@@ -113,6 +114,28 @@ def test_empty_and_untrained(docs):
     assert base == base_scores([(held, "a b")])
 
 
+def test_sizes_of_the_model():
+    """They decide every score, so they are not a means against a CPU budget."""
+    assert (gru.EMBEDDING, gru.HIDDEN, gru.LANES) == (16, 24, 256)
+    assert (lm_scoring.NEURAL_WORDS, lm_scoring.CLASSES) == (1500, 40)
+
+
+def test_the_start_is_fitted_in_a_task(docs, texts, monkeypatch):
+    rows = docs([(d, t) for d, t, _ in texts] + [(10**6 + k, "many copies") for k in range(30)])
+    monkeypatch.setattr(lm_scoring, "START_DOCS", 20)
+    by_hash = [r.text for r in rows.select("text").orderBy(F.xxhash64("text")).limit(20).collect()]
+    assert [r.text for r in lm_scoring._start(rows).collect()] == by_hash
+
+    def in_the_driver(*_, **__):
+        raise AssertionError("texts are trained on in the driver")
+
+    monkeypatch.setattr(gru, "train", in_the_driver)
+    head = lm_scoring.head_of(lm_scoring.token_counts(rows), 500, 100)
+    weights = lm_scoring.train(rows, head)
+    assert weights is not None and np.isfinite(weights).all()
+    assert not np.array_equal(weights, lm_scoring._new_model(head).vector())
+
+
 def test_model_gives_a_distribution():
     """The probabilities of all next words sum to one."""
     counts = np.array([50, 30, 20, 10, 5, 4, 3, 2, 1, 1], float)
