@@ -45,6 +45,8 @@ OUTSIDE = frozenset(
     "nav footer aside form script style noscript template iframe svg math canvas object audio video "
     "button select textarea datalist dialog menu head".split()
 )
+#: Elements that never stand for a wrapper around the article.
+NO_WRAPPERS = (OUTSIDE - {"form"}) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class names and ids that mark a region as no part of the article.
 MARKS = frozenset(
@@ -74,30 +76,48 @@ def _names(node: Node) -> set[str]:
     return set(_words(f"{node.attribute('class') or ''} {node.attribute('id') or ''}")) if node.attributes else set()
 
 
+def _hidden(node: Node) -> bool:
+    lower = node.attributes.lower()
+    if "hidden" in lower and (node.attribute("hidden") is not None or node.attribute("aria-hidden") == "true"):
+        return True
+    return "style" in lower and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", node.attribute("style") or ""))
+
+
 def _marked(node: Node, inside: bool) -> bool:
     """Whether tag, role, class or id say that the node is no article text."""
     if node.tag in OUTSIDE or (node.tag == "header" and not inside):
         return True
     if not node.attributes:
         return False
-    lower = node.attributes.lower()
-    if "hidden" in lower and (node.attribute("hidden") is not None or node.attribute("aria-hidden") == "true"):
-        return True
-    if "style" in lower and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", node.attribute("style") or ""):
+    if _hidden(node):
         return True
-    if "role" in lower and (node.attribute("role") or "").lower() in ROLES:
+    if "role" in node.attributes.lower() and (node.attribute("role") or "").lower() in ROLES:
         return True
     found = _names(node) & (MARKS | AROUND)
     return bool(found - AROUND if inside else found)
 
 
 def _weight(node: Node) -> int:
-    """Characters of the text below a node."""
-    return sum(len(p.strip()) if isinstance(p, str) else _weight(p) for p in node.parts if not (isinstance(p, Node) and p.tag in RAW))
+    """Characters of the text below a node that its tags do not rule out."""
+    return sum(len(p.strip()) if isinstance(p, str) else _weight(p) for p in node.parts if not (isinstance(p, Node) and p.tag in NO_WRAPPERS))
+
+
+def _is_main(node: Node) -> bool:
+    return node.tag == "main" or bool(node.attributes) and node.attribute("role") == "main"
+
+
+def _is_named(node: Node) -> bool:
+    """Whether the id or property is a usual one of the content."""
+    if not node.attributes:
+        return False
+    return "".join(_words(node.attribute("id") or "")) in CONTENT_IDS or node.attribute("itemprop") == "articleBody"
 
 
 def _holds_article(node: Node) -> bool:
-    return any((c.tag in ("article", "main") and not _marked(c, True)) or _holds_article(c) for c in node.children())
+    return any(
+        ((c.tag == "article" or _is_main(c) or _is_named(c)) and not _marked(c, True)) or _holds_article(c)
+        for c in node.children()
+    )
 
 
 def _holds(node: Node, tags: tuple[str, ...]) -> bool:
@@ -105,14 +125,19 @@ def _holds(node: Node, tags: tuple[str, ...]) -> bool:
 
 
 def _outside(node: Node, inside: bool, total: int) -> bool:
-    """Marked, and not a wrapper around the article or most of the page."""
+    """Marked, and not a wrapper around the article or most of the ``total`` characters.
+
+    Names, roles and forms may stand for a wrapper (``has-sidebar``); regions named as comments or
+    teasers are wrappers only around nearly all, as they are often longer than the article.
+    """
     if not _marked(node, inside):
         return False
-    if node.tag in RAW or node.tag in ("head", "nav", "footer", "noscript", "template", "svg"):
+    if node.tag in NO_WRAPPERS or _hidden(node):
         return True
+    other = bool(_names(node) & OTHER_ARTICLES) and not _holds(node, ("h1", "main"))
     if _holds_article(node):
-        return bool(_names(node) & OTHER_ARTICLES) and not _holds(node, ("h1", "main"))
-    return inside or 2 * _weight(node) <= total or node.tag != "form"
+        return other
+    return 10 * _weight(node) <= (9 if other else 5) * total
 
 
 # -- templates -----------------------------------------------------------------------------
@@ -342,15 +367,7 @@ def _roots(root: Node) -> list[Node]:
             else:
                 yield from search(child, wanted)
 
-    def main(node: Node) -> bool:
-        return node.tag == "main" or bool(node.attributes) and node.attribute("role") == "main"
-
-    def named(node: Node) -> bool:
-        if not node.attributes:
-            return False
-        return "".join(_words(node.attribute("id") or "")) in CONTENT_IDS or node.attribute("itemprop") == "articleBody"
-
-    for wanted in (lambda n: n.tag == "article", main, named):
+    for wanted in (lambda n: n.tag == "article", _is_main, _is_named):
         found = [n for n in search(root, wanted) if _weight(n)]
         if found:
             return found
@@ -363,10 +380,9 @@ def main_text(html_text: str | None, template: Slot | None) -> str:
     constant, menus = template_nodes(template, slots_of(root)) if template else (set(), set())
     roots = _roots(root)
     whole = roots == [root]
-    total = _weight(root)
     pieces: list[str] = []
 
-    def collect(node: Node) -> None:
+    def collect(node: Node, total: int) -> None:
         for part in node.parts:
             if isinstance(part, str):
                 if id(node) not in constant:
@@ -377,12 +393,12 @@ def main_text(html_text: str | None, template: Slot | None) -> str:
                 continue
             block = part.tag in BLOCK
             pieces.append(" " * block)
-            collect(part)
+            collect(part, total)
             pieces.append(" " * block)
 
     for node in roots:
         pieces.append(" ")
-        collect(node)
+        collect(node, _weight(node))
     return " ".join("".join(pieces).split())
 
 

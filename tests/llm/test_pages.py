@@ -123,6 +123,24 @@ def test_regions_around_and_inside_the_article(spark):
     assert got[1][0] == "Title & more One bold line. Two é c1 c2 x y"
 
 
+def test_marked_wrappers_around_the_article(spark):
+    """Names that stand for the layout of the whole page do not drop it."""
+    story = "<h1>Title</h1><p>A story that is told at some length.</p>"
+    menu = "<nav>" + "Menu " * 40 + "</nav>"
+    pages = [
+        f'<body class="has-sidebar">{menu}<div>{story}</div><div class="sidebar">Side</div></body>',
+        f'<body><div class="layout-right-sidebar"><div id="content">{story}</div></div><div class="widget">Side</div></body>',
+        f'<body><table><tr><td class="with-sidebar">{story}</td><td class="sidebar">Side</td></tr></table></body>',
+        f'<body><section class="no-comments">{story}</section><div id="comments">Nice post</div></body>',
+        f'<body>{menu}<article><div class="entry no-sidebar">{story}</div><div class="share">Share</div></article></body>',
+        f'<body><div class="page search"><div role="main">{story}</div></div>{"<p>More</p>" * 40}</body>',
+        f'<body><main>{story}<div class="comments">{"<p>Nice post</p>" * 30}</div></main></body>',
+        f'<body><div>{story}</div><div hidden>{"not shown " * 40}</div></body>',
+    ]
+    got = extracted(spark, [(k, f"http://h{k}.example/", p) for k, p in enumerate(pages)])
+    assert [got[k][0] for k in range(len(pages))] == ["Title A story that is told at some length."] * len(pages)
+
+
 def test_templates_of_a_host_without_semantic_tags(spark):
     rows = []
     for k in range(20):
