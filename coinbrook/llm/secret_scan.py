@@ -5,9 +5,9 @@ aggregated.
 
 *Known forms* are the leftmost non-overlapping matches of three patterns, those too short dropped.
 
-*Random strings.* Candidates are runs of at least 20 characters of the base64 alphabets that hold a
-digit. The encoding is inferred from the characters (decimal, hexadecimal, base32, base36, base62,
-base64), and the characters become numbers in its alphabet. Under the hypothesis that the string is
+*Random strings.* Candidates are all runs of at least 20 characters of the base64 alphabets. The
+encoding is inferred from the characters (decimal, hexadecimal, letters of one case, base32, base36,
+letters of both cases, base62, base64), and the characters become numbers in its alphabet. Under the hypothesis that the string is
 random, these have known distributions:
 
 * chi-squared of the character counts against the uniform alphabet (mean k - 1, variance
@@ -42,7 +42,7 @@ FORMS = (
     # Runs of under 32 characters are dropped in any case, so they need not be found.
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-CANDIDATE = r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 FALSE_DISMISSALS = 0.01
 
 _DIGITS = "0123456789"
@@ -52,8 +52,10 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
     ("^[0-9]+$", _DIGITS),
     ("^([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef"),
+    ("^([a-z]+|[A-Z]+)$", _LOWER),
     ("^[A-Z2-7]+$", _UPPER + "234567"),
     ("^([0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOWER),
+    ("^[A-Za-z]+$", _UPPER + _LOWER),
     ("^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
     ("", _UPPER + _LOWER + _DIGITS + "+/"),
 )

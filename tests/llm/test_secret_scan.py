@@ -53,6 +53,19 @@ def test_random_strings_are_found_and_words_are_not(docs):
     assert not any(by_id[100 + k].n for k in range(len(plain) * 20))
 
 
+def test_random_letters_are_found(docs):
+    """Keys without a digit are tested, too; words and repeated letters are dismissed by the battery."""
+    draw = random.Random(5)
+    alphabets = (string.ascii_uppercase, string.ascii_lowercase, string.ascii_letters)
+    keys = ["".join(draw.choice(a) for _ in range(n)) for a in alphabets for n in (40, 64)]
+    plain = ["the-quick-brown-fox-jumps-over-the-lazy-dog-again", "a" * 40, "donaudampfschifffahrtsgesellschaftskapitaen" * 2]
+    rows = [(k, f"see {s} here") for k, s in enumerate(keys)]
+    rows += [(100 + k, f"see {s} here") for k, s in enumerate(plain * 20)]
+    found = {r.doc_id: r.random for r in secret_scan.scan_secrets(docs(rows)).select("row.doc_id", "random").collect()}
+    assert [[(x.s, x.e) for x in found[k]] for k in range(len(keys))] == [[(4, 4 + len(s))] for s in keys]
+    assert not any(found[100 + k] for k in range(len(plain) * 20))
+
+
 def test_strings_inside_known_forms_are_left_to_them(docs):
     found = secret_scan.scan_secrets(docs([(1, "token=q8ZtR2mW0xK5vB7nL4sD9fG1hJ3cP6yT")])).collect()[0]
     assert len(found.assign) == 1 and found.random == []
