@@ -22,6 +22,8 @@ from coinbrook.sources.csv_records import opens_cell, read_lines, read_records
 from coinbrook.sources.local import local_frame
 
 KNOWN_COLUMNS = EXPENSES_LINE.fieldNames()
+#: What stands beyond the header's fields in a record whose quoted cell never ends.
+UNCLOSED = "a quoted cell is open at the end of the file"
 
 
 @dataclass(frozen=True)
@@ -153,12 +155,19 @@ def _read_layout(
 def _read_cells(
     spark: SparkSession, width: int, multi_line: bool, paths: Sequence[str]
 ) -> DataFrame:
-    """Cells by position as ``c0``, ``c1`` ..., one more than the header has, and ``file``."""
+    """Cells by position as ``c0``, ``c1`` ..., one more than the header has, and ``file``.
+
+    A record that its file leaves open has ``UNCLOSED`` as the further one, so it counts as a row
+    with more fields than the header, and its file as badly structured.
+    """
     cells = ", ".join(f"c{i} string" for i in range(width + 1))
     paths = [_plain_path(p) for p in paths]
     if multi_line:
         record = F.from_csv("record", cells, {"escape": '"'}).alias("_cells")
-        return read_records(spark, paths).select("file", record).select("file", "_cells.*")
+        rows = read_records(spark, paths).select("file", record, "unclosed")
+        cells_of = [F.col(f"_cells.c{i}") for i in range(width)]
+        extra = F.when(F.col("unclosed"), F.lit(UNCLOSED)).otherwise(F.col(f"_cells.c{width}"))
+        return rows.select("file", *cells_of, extra.alias(f"c{width}"))
     raw = spark.read.schema(cells).options(header=True, escape='"').csv(paths)
     return raw.withColumn("file", F.col("_metadata.file_path"))
 
@@ -169,7 +178,10 @@ def _plain_path(path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file (or a directory of equal ones) as text columns under its own header names."""
+    """One CSV file (or a directory of equal ones) as text columns under its own header names.
+
+    A quoted cell that is open at the end of a file is an error when the rows are read.
+    """
     files = find_files(spark, [path])
     headers = {f.labels for f in files if f.labels}
     if len(headers) != 1:
@@ -180,6 +192,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         paths = [f.path for f in files if f.labels and f.line_breaks_in_cells == multi_line]
         if paths:
             raw = _read_cells(spark, len(labels), multi_line, paths)
+            if multi_line:
+                # A filter is never pruned, so no action passes over lines that are left out.
+                unclosed = F.col(f"c{len(labels)}") == UNCLOSED
+                raw = raw.filter(F.when(unclosed, F.raise_error(F.lit(UNCLOSED)).cast("boolean")).otherwise(True))
             cells = [na_to_null(F.col(f"c{i}")).alias(c) for i, c in enumerate(labels)]
             frames.append(raw.select(*cells))
     return reduce(DataFrame.unionByName, frames)

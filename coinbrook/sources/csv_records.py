@@ -45,7 +45,11 @@ def opens_cell(line: Column) -> Column:
 
 
 def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Whole records without the header, as ``file`` and ``record``; blank ones are left out."""
+    """Whole records without the header, as ``file`` and ``record``; blank ones are left out.
+
+    A record whose cell is still open at the end of its file may be most of the file. Its lines are
+    not put together; its first line alone stands for it, with ``unclosed`` set.
+    """
     within = Window.partitionBy("file", "block").orderBy("line")
     lines = read_lines(spark, paths).withColumns(
         {"_if_closed": opens_cell(F.col("value")), "_if_open": F.col("value").rlike(STAYS_OPEN)}
@@ -99,18 +103,31 @@ def _assemble(state: DataFrame, within: Window, along: Window) -> DataFrame:
         "_begin", F.last(F.when(~F.col("_open_before"), place), ignorenulls=True).over(upto)
     )
     # A cell may run over the end of a block: its record began in an earlier one.
-    begins = lines.groupBy("file", "block").agg(F.max("_begin").alias("_last"))
+    begins = lines.groupBy("file", "block").agg(
+        F.max("_begin").alias("_last"), F.max_by("_open_after", "line").alias("_ends_open")
+    )
     before = along.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    ends_open = F.max_by("_ends_open", "block").over(whole)
     carried = begins.select(
-        "file", "block", F.last("_last", ignorenulls=True).over(before).alias("_carried")
+        "file",
+        "block",
+        F.last("_last", ignorenulls=True).over(before).alias("_carried"),
+        F.when(ends_open, F.max("_last").over(whole)).alias("_tail"),
     )
     lines = lines.join(carried, ["file", "block"]).withColumn(
         "_begin", F.coalesce("_begin", "_carried")
     )
+    # From ``_tail`` to the end of the file, one cell is open. ``unclosed`` is no literal: an error
+    # that a caller raises by it would be moved below the filter and hit every row.
+    in_tail = F.col("_begin").eqNullSafe(F.col("_tail"))
+    tails = lines.filter(in_tail & (place == F.col("_tail"))).select(
+        "file", F.col("value").alias("record"), F.col("_tail").isNotNull().alias("unclosed")
+    )
     alone = ~F.col("_open_before") & ~F.col("_open_after")
     single = lines.filter(alone).select("file", "_begin", F.col("value").alias("record"))
     joined = (
-        lines.filter(~alone)
+        lines.filter(~alone & ~in_tail)
         .groupBy("file", "_begin")
         .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("_lines"))
         .select("file", "_begin", F.concat_ws("\n", "_lines.value").alias("record"))
@@ -121,6 +138,7 @@ def _assemble(state: DataFrame, within: Window, along: Window) -> DataFrame:
         .groupBy("file")
         .agg(F.min(place).alias("_begin"))
     )
-    return records.join(header, ["file", "_begin"], "left_anti").select(
-        "file", F.rtrim(F.col("record"), F.lit("\r")).alias("record")
+    closed = records.join(header, ["file", "_begin"], "left_anti").select(
+        "file", "record", F.lit(False).alias("unclosed")
     )
+    return closed.unionByName(tails).withColumn("record", F.rtrim("record", F.lit("\r")))

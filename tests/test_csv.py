@@ -5,7 +5,9 @@ import random
 import pytest
 
 from coinbrook.functions.text import NA_TOKENS
+from coinbrook.operators.validation import check_file_rows
 from coinbrook.sources.csv_files import file_frame, find_files, read_csv, read_files
+from coinbrook.sources.csv_records import read_records
 
 HEADER = "Date,Description,Amount,From Account,To Account\n"
 
@@ -114,6 +116,30 @@ def test_line_breaks_in_split_files(spark, tmp_path, default_splits, size, line_
     assert sorted(got) == sorted(expected)
 
 
+@pytest.mark.parametrize("size", [64, 1 << 20])
+def test_a_quote_that_never_closes(spark, tmp_path, default_splits, size):
+    """The lines behind it are not gathered; the file is told apart, and the others are read."""
+    rest = "".join(f"2025-01-03,tail {k},1,n26,home\n" for k in range(200))
+    write(tmp_path, "open.csv", HEADER + '2025-01-01,"two\nlines",1,n26,home\n2025-01-02,"never closed,1,n26,home\n' + rest)
+    write(tmp_path, "last.csv", HEADER + '2025-01-01,tea,1,n26,"home\n')
+    write(tmp_path, "sound.csv", HEADER + '2025-01-01,"two\nlines",1,n26,home\n')
+    found = find_files(spark, [str(tmp_path)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    records = [(r.file.rsplit("/", 1)[-1], r.record, r.unclosed) for r in read_records(spark, [f.path for f in found]).collect()]
+    assert sorted(records) == [
+        ("last.csv", '2025-01-01,tea,1,n26,"home', True),
+        ("open.csv", '2025-01-01,"two\nlines",1,n26,home', False),
+        ("open.csv", '2025-01-02,"never closed,1,n26,home', True),
+        ("sound.csv", '2025-01-01,"two\nlines",1,n26,home', False),
+    ]
+    rows = read_files(spark, found)
+    report = check_file_rows(rows, ["file"]).collect()
+    assert {r.file.rsplit("/", 1)[-1]: r.overlong_rows for r in report} == {"open.csv": 1, "last.csv": 1, "sound.csv": 0}
+    with pytest.raises(Exception, match="open at the end"):
+        read_csv(spark, str(tmp_path / "open.csv")).count()
+
+
 def test_odd_files(spark, tmp_path):
     write(tmp_path, "empty.csv", "")
     write(tmp_path, "header only.csv", HEADER)
