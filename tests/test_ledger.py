@@ -68,6 +68,14 @@ def test_add_accounts(ledger, frame):
     assert ledger.accounts().count() == 5
 
 
+def test_a_file_with_an_open_quote_is_rejected(ledger, tmp_path):
+    landing = tmp_path / "landing"
+    write(landing, "sound.csv", ["2025-01-01,tea,1.5,n26,home"])
+    write(landing, "open.csv", ["2025-01-02,rent,700,wise,home", '2025-01-03,tea,1,n26,"home', "2025-01-04,tea,2,n26,home"])
+    assert status(ledger.import_files([str(landing)])) == {"sound.csv": "accepted", "open.csv": "structure"}
+    assert ledger.expenses().count() == 1
+
+
 def test_import_files(ledger, tmp_path):
     landing = tmp_path / "landing"
     write(landing, "jan.csv", ["2025-01-01,tea,1.5,n26,home", "2025-01-02,rent,700,wise,home"])
