@@ -17,6 +17,7 @@ from coinbrook.llm import (
     mixing,
     near_dedup,
     secret_scan,
+    token_alignment,
     warc,
 )
 from coinbrook.llm.common import ready, table
@@ -82,6 +83,11 @@ def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract(table(spark, sf, "pages"))
 
 
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf, "documents"), carry=["doc_id"], digest=True)
+    return found.select("row.doc_id", *found.columns[1:]).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_extraction": op10_extraction,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
