@@ -55,4 +55,57 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op9_warc": OP9, "op2_exact_dedup": OP2}
+_OP11_START = """
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, label,
+           list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+    SELECT r, vec_id, k AS part, e[k * len(e) // 8 + 1:(k + 1) * len(e) // 8] AS x
+    FROM v, (SELECT unnest(range(8)) AS k)),
+c0 AS MATERIALIZED (
+    SELECT part, place - 1 AS j, x
+    FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id, x) AS place FROM p)
+    WHERE place <= 16)"""
+
+#: One assignment of all parts, and the entries that follow from it.
+_OP11_ASSIGN = """,
+a{k} AS MATERIALIZED (
+    SELECT r, part, any_value(p.x) AS x, min({{'d': CAST(list_sum(list_transform(list_zip(p.x, c.x),
+           lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT), 'j': c.j}}) AS best
+    FROM p JOIN c{k} AS c USING (part) GROUP BY r, part)"""
+_OP11_MOVE = """,
+c{next} AS MATERIALIZED (
+    SELECT part, j, coalesce(m.x, c.x) AS x
+    FROM c{k} AS c LEFT JOIN (
+        SELECT part, j, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS x
+        FROM (SELECT part, best.j AS j, i, sum(x[i]) AS total, count(*) AS n
+              FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY ALL)
+        GROUP BY part, j) AS m USING (part, j))"""
+
+#: Six rounds over all parts and entries, written out one after the other.
+OP11 = (
+    _OP11_START
+    + "".join(_OP11_ASSIGN.format(k=k) + _OP11_MOVE.format(k=k, next=k + 1) for k in range(6))
+    + _OP11_ASSIGN.format(k=6)
+    + """,
+codes AS (
+    SELECT r, string_agg(lpad(to_hex(best.j), 2, '0'), '' ORDER BY part) AS code,
+           CAST(sum(best.d) AS BIGINT) AS error FROM a6 GROUP BY r),
+books AS (
+    SELECT sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY part, j, i)) AS codebooks_sha256
+    FROM (SELECT part, j, unnest(x) AS value, unnest(range(len(x))) AS i FROM c6))
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       codebooks_sha256
+FROM v JOIN codes USING (r), books
+"""
+)
+
+ORACLE_SQL = {
+    "op1_decontamination": OP1,
+    "op2_exact_dedup": OP2,
+    "op9_warc": OP9,
+    "op11_vector_codes": OP11,
+}

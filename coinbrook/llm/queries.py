@@ -18,6 +18,7 @@ from coinbrook.llm import (
     near_dedup,
     secret_scan,
     token_alignment,
+    vector_codes,
     warc,
 )
 from coinbrook.llm.common import ready, table
@@ -83,6 +84,15 @@ def op10_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract(table(spark, sf, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf, "embeddings"), carry=["vec_id", "label"])
+    numbers = ",".join(str(x) for book in codebooks for entry in book for x in entry)
+    found = vector_codes.with_label_error(coded, "label")
+    return found.select(
+        "row.vec_id", "code", "error", "label_error", F.sha2(F.lit(numbers).cast("binary"), 256).alias("codebooks_sha256")
+    )
+
+
 def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     found = token_alignment.align(table(spark, sf, "documents"), carry=["doc_id"], digest=True)
     return found.select("row.doc_id", *found.columns[1:]).withColumnRenamed("groups", "groups_sha256")
@@ -99,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_extraction": op10_extraction,
+    "op11_vector_codes": op11_vector_codes,
     "op13_token_alignment": op13_token_alignment,
 }
 
