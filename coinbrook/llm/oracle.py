@@ -1,5 +1,7 @@
 """The queries as SQL for DuckDB, as far as SQL can express them."""
 
+from coinbrook.llm.license_rules import CONFIDENCE, RULES
+
 #: Lower-cases A-Z alone, then takes words.
 _WORDS = """regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -103,9 +105,48 @@ FROM v JOIN codes USING (r), books
 """
 )
 
+_RULES = ",\n".join(
+    f"({r.no}, '{r.label}', {r.level}, '{r.keyword}', '{r.pattern}', {r.base}, {CONFIDENCE[r.level]})" for r in RULES
+)
+
+#: Every match is compared with every other one of its text.
+OP12 = f"""
+WITH rules(no, label, level, keyword, pattern, base, sure) AS (VALUES {_RULES}),
+d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, len(w) AS n_words, ' ' || array_to_string(w, '  ') || ' ' AS s
+    FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+m AS MATERIALIZED (
+    SELECT r, rules.*, regexp_extract_all(s, pattern) AS found, string_split_regex(s, pattern) AS gaps
+    FROM d JOIN rules ON contains(s, keyword)),
+places AS (
+    SELECT r, no, label, level, base, sure,
+           list_sum(list_transform(gaps[1:k], lambda x: (len(x) - len(replace(x, ' ', ''))) // 2))
+             + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: (len(x) - len(replace(x, ' ', ''))) // 2)), 0)
+             AS a,
+           a + (len(found[k]) - len(replace(found[k], ' ', ''))) // 2 AS b
+    FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM m WHERE len(found) > 0)),
+kept AS (
+    SELECT *, NOT EXISTS (
+        SELECT 1 FROM places AS o
+        WHERE o.r = p.r AND o.no <> p.no AND o.a <= p.a AND o.b >= p.b
+          AND (o.level > p.level OR o.level = p.level AND (o.b - o.a > p.b - p.a OR o.no < p.no))) AS kept
+    FROM places AS p),
+by_text AS (
+    SELECT r, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR kept) AS labels,
+           max(sure) FILTER (kept) AS score
+    FROM kept GROUP BY r)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN by_text USING (r)
+"""
+
 ORACLE_SQL = {
     "op1_decontamination": OP1,
     "op2_exact_dedup": OP2,
     "op9_warc": OP9,
     "op11_vector_codes": OP11,
+    "op12_licenses": OP12,
 }

@@ -12,6 +12,7 @@ from coinbrook.llm import (
     exact_dedup,
     extraction,
     language_id,
+    license_scan,
     line_dedup,
     lm_scoring,
     mixing,
@@ -93,6 +94,21 @@ def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf, "documents"), carry=["doc_id"])
+    places = license_scan.base_places()
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        license_scan.labels(base=True).alias("base_labels"),
+        license_scan.labels().alias("labels"),
+        license_scan.score().alias("score"),
+    )
+
+
 def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     found = token_alignment.align(table(spark, sf, "documents"), carry=["doc_id"], digest=True)
     return found.select("row.doc_id", *found.columns[1:]).withColumnRenamed("groups", "groups_sha256")
@@ -110,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_extraction": op10_extraction,
     "op11_vector_codes": op11_vector_codes,
+    "op12_licenses": op12_licenses,
     "op13_token_alignment": op13_token_alignment,
 }
 
