@@ -33,7 +33,7 @@ class ByteLevelTokenizer:
 
     def encode(self, spaced: list[str]) -> list[list[int]]:
         """Ids of texts, each of which starts with a space."""
-        found = self._tokenizer.encode_batch(spaced, add_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast(spaced, add_special_tokens=False)
         return [one.ids for one in found]
 
 

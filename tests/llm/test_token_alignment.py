@@ -4,6 +4,8 @@ import hashlib
 import os
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,11 +160,24 @@ def test_fragments_are_a_monoid(parts, at):
         right_first = one.join(right_first, store)
     assert left_first.whole(store) == halves.whole(store) == right_first.whole(store)
     text = "".join(parts)
-    groups = whole(text)
-    found = left_first.whole(store)
-    assert found.odd == (groups is None and text != "")
+    groups, found = whole(text), left_first.whole(store)
+    assert (found is None) == (groups is None and text != "")
     if groups is not None:
-        assert found.groups == written(groups)
+        ids = [np.frombuffer(x, kind).tolist() for x, kind in zip(found, store.codes)]
+        assert ids == [[k for own in groups for k in own[side]] for side in (0, 1)]
+
+
+def test_wide_groups(placed, monkeypatch):
+    monkeypatch.setattr(ta, "WIDE_GROUP", 1)
+    texts = ["日本語のテキスト 日本語", "x" * 50, "a b c", "日本語のテキスト"]
+    part = ta._units(ta.FIRST, ta.SECOND)
+    part.learn({u for t in texts for u in ta.CUT.split(t)})
+    ids = [part.ids(ta.CUT.split(t)) for t in texts]
+    own = ta._Aligned(pa.RecordBatch.from_arrays([pa.array([i[k] for i in ids]) for k in (0, 1)], names=["a", "b"]), part)
+    narrow = own.pairs()
+    monkeypatch.setattr(ta, "WIDE_GROUP", 1 << 12)
+    assert [x.tolist() for x in narrow] == [x.tolist() for x in own.pairs()]
+    assert (own.links_of_group > 1).any()
 
 
 def test_long_text_is_spread_over_tasks(spark, placed):
