@@ -228,7 +228,7 @@ MART_KEYS = {
 }
 
 
-def _mart() -> str:
+def _mart(fact_rows: str) -> str:
     every = [k for keys in MART_KEYS.values() for k in keys]
     parts = []
     for kpi, keys in MART_KEYS.items():
@@ -238,7 +238,38 @@ def _mart() -> str:
             f"SELECT '{kpi}' AS kpi, {columns}, {TOTAL} AS total, {MEAN} AS mean, "
             f"count(*) AS transactions FROM fact WHERE {present} GROUP BY {', '.join(keys)}"
         )
-    return ITEMS_FACT + "\nUNION ALL\n".join(parts)
+    return fact_rows + "\nUNION ALL\n".join(parts)
+
+
+def _running_total(fact_rows: str) -> str:
+    return f"""{fact_rows}
+SELECT expense_date, CASE WHEN expend_amount IS NOT NULL THEN CAST(
+         sum(CAST(expend_amount AS {MONEY})) OVER (
+           ORDER BY expense_date NULLS LAST, md5(id), id, expend_amount
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) END AS cumulative_amount
+FROM fact"""
+
+
+def _other_kpis(fact_rows: str) -> str:
+    return f"""{fact_rows},
+days AS (SELECT expense_date, sum(CAST(expend_amount AS {MONEY})) AS total, count(*) AS n FROM fact GROUP BY expense_date),
+rows AS (
+  SELECT 'headline' AS kpi, CAST(NULL AS DATE) AS expense_date, CAST(NULL AS VARCHAR) AS description,
+         (SELECT parent_category FROM fact WHERE parent_category IS NOT NULL
+          GROUP BY parent_category ORDER BY {TOTAL} DESC, parent_category LIMIT 1) AS parent_category,
+         {TOTAL} AS total, count(*) AS transactions FROM fact
+  UNION ALL
+  (SELECT 'top', expense_date, description, parent_category, expend_amount, NULL
+   FROM fact ORDER BY expend_amount DESC NULLS LAST, id LIMIT 10)
+  UNION ALL
+  SELECT 'daily', expense_date, NULL, NULL,
+         CAST(coalesce(sum(total) OVER (ORDER BY expense_date NULLS LAST), 0) AS DOUBLE), n FROM days)
+SELECT *, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS DOUBLE) AS current_balance
+FROM rows
+UNION ALL
+SELECT 'balances', NULL, NULL, NULL, NULL, NULL, name, type, balance FROM (VALUES
+  ('N26', 'general expense', 80), ('Wise', 'fat expense', 730), ('Deutsche Bank', 'salary', 7300),
+  ('ICICI', 'eccomerce', 7300)) AS accounts(name, type, balance)"""
 
 
 # Orders and events as the raw table holds them: a missing amount is zero.
@@ -249,6 +280,7 @@ raw_lines AS (
   FROM order_lines
   UNION ALL
   SELECT id, date, description, category, amount, from_account, towards FROM event_lines)"""
+RAW_FACT = f"WITH {RAW_LINES},\n{fact('raw_lines')}"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -311,6 +343,21 @@ SELECT id, count(*) AS row_count FROM item_lines GROUP BY id HAVING count(*) > 1
     "file_gate": f"""WITH {FILE_GATE}
 SELECT file AS filename, status, row_count, duplicate_groups, non_numeric_amounts, bad_dates,
        errors, imported_as FROM gate""",
+    "file_quarantine": f"""WITH {FILE_GATE},
+held AS (
+  SELECT r.* EXCLUDE (user_id), g.status, g.imported_as,
+         count(*) OVER (PARTITION BY file, date, try_cast(amount AS DOUBLE), from_account, towards) AS copies
+  FROM file_rows r JOIN gate g USING (file) WHERE g.status <> 'accepted'),
+judged AS (
+  SELECT *, CASE WHEN description IS NULL THEN 1 WHEN try_cast(amount AS DOUBLE) IS NULL THEN 2
+                 WHEN copies > 1 THEN 3 WHEN try_strptime(date, '%Y-%m-%d') IS NULL THEN 4 ELSE 5 END AS fault
+  FROM held)
+SELECT file, date, description, amount, from_account, towards, status,
+       [ 'description', 'amount', NULL, 'date', NULL ][fault] AS error_field,
+       [ 'Missing value', 'Amount must be a valid number', 'Row occurs more than once in the file',
+         'Invalid date format', 'File rejected: ' || status ][fault] AS error_reason,
+       [ NULL, amount, CAST(copies AS VARCHAR), date, imported_as ][fault] AS error_value
+FROM judged""",
     "import_log": f"""WITH {FILE_GATE}
 SELECT file AS filename, '2026-01-01' AS date_imported,
        CAST(row_count AS INTEGER) AS no_of_rows_imported
@@ -416,11 +463,15 @@ FROM fact ORDER BY expend_amount DESC NULLS LAST, id LIMIT 10""",
     ),
     "kpi_towards": _total_by(ITEMS_FACT, "towards_category"),
     "kpi_balances": f"WITH {ACCOUNTS}\nSELECT name, type, current_balance, currency FROM accounts",
-    "kpi_cumulative": f"""{ORDERS_FACT}
-SELECT expense_date, CASE WHEN expend_amount IS NOT NULL THEN CAST(
-         sum(CAST(expend_amount AS {MONEY})) OVER (
-           ORDER BY expense_date NULLS LAST, md5(id), id, expend_amount
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) END AS cumulative_amount
-FROM fact""",
-    "kpi_mart": _mart(),
+    "kpi_cumulative": _running_total(ORDERS_FACT),
+    "kpi_mart": _mart(ITEMS_FACT),
+    "mart_incremental": _mart(RAW_FACT + "\n"),
+    "mart_kept_others": _other_kpis(RAW_FACT),
+    "mart_of_years": f"""{RAW_FACT}
+SELECT parent_category, {TOTAL} AS total, count(*) AS transactions
+FROM fact WHERE parent_category IS NOT NULL AND year IN (1996, 1999, 2024) GROUP BY parent_category""",
+    "cumulative_after_late_batch": _running_total(RAW_FACT),
 }
+
+ORACLE_SQL["dup_vs_fact_bucketed"] = ORACLE_SQL["dup_vs_fact"]
+ORACLE_SQL["file_imported_indexed"] = ORACLE_SQL["file_already_imported"]

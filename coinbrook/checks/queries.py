@@ -12,15 +12,25 @@ from coinbrook.checks import adapters as a
 from coinbrook.functions.amounts import coerce_amount
 from coinbrook.functions.dates import calendar_columns, parse_date, parse_iso_date, season
 from coinbrook.operators import normalize
-from coinbrook.operators.duplicates import duplicate_groups, key_violations, mark_repeated
+from coinbrook.operators.duplicates import (
+    ROW_KEY,
+    duplicate_groups,
+    key_violations,
+    mark_repeated,
+    with_submission_key,
+)
 from coinbrook.operators.file_names import find_logged
 from coinbrook.operators.gates import ACCEPTED, gate_files, gate_rows
+from coinbrook.operators.key_history import matching_keys
+from coinbrook.operators.lookup import attach
+from coinbrook.operators.name_index import find_indexed
+from coinbrook.operators.quarantine import quarantined
 from coinbrook.operators.validation import check_file_rows, null_columns, validate_file, validate_rows
 from coinbrook.plans import kpis
 from coinbrook.plans.accounts import accounts_to_add, seed_rows
 from coinbrook.plans.fact import build_fact, new_facts
 from coinbrook.plans.ledger import Ledger
-from coinbrook.plans.mart import kpi_mart
+from coinbrook.plans.mart import KPI_KEYS, kpi_mart, read_kpi
 from coinbrook.session import tune
 from coinbrook.sinks.scratch import materialize, scratch_path
 
@@ -174,6 +184,12 @@ def file_gate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def file_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of rejected files, each with the first check that it fails."""
+    verdicts = _file_verdicts(spark, sf).withColumn("imported_as", F.col("imported_as.filename"))
+    return quarantined(a.file_rows(spark, sf), verdicts, ACCEPTED)
+
+
 def import_log(spark: SparkSession, sf: str) -> DataFrame:
     accepted = _file_verdicts(spark, sf).filter(F.col("status") == ACCEPTED)
     return accepted.select(
@@ -257,6 +273,67 @@ def ledger_log(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.import_log().drop("id", "ts")
 
 
+def _kept(spark: SparkSession, **options) -> Ledger:
+    name = f"check_{uuid.uuid4().hex}"
+    return Ledger(spark, name, scratch_path(spark, "ledger"), a.AS_OF, **options)
+
+
+def _three_imports(spark: SparkSession, sf: str) -> Ledger:
+    """A ledger that keeps its mart, after three imports; the dates of the last lie before others."""
+    ledger = _kept(spark, keep_mart=True)
+    orders = a.order_expenses(spark, sf)
+    early = F.coalesce(F.col("date") < "1998-01-01", F.lit(False))
+    ledger.insert(orders.filter(~early), "late-orders")
+    ledger.insert(a.event_expenses(spark, sf), "events")
+    ledger.insert(orders.filter(early), "early-orders")
+    return ledger
+
+
+def mart_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The grouped KPIs of the maintained mart after three imports, the first two of them merged."""
+    ledger = _three_imports(spark, sf)
+    ledger.merge_mart()
+    kpi = ledger.kept_mart().filter(F.col("kpi").isin(list(KPI_KEYS)))
+    keys = [key for group in KPI_KEYS.values() for key in group]
+    return kpi.select("kpi", *keys, "total", "mean", "transactions")
+
+
+def mart_kept_others(spark: SparkSession, sf: str) -> DataFrame:
+    """Headline, highest expenses, running total by day and balances of the maintained mart."""
+    mart = _three_imports(spark, sf).kept_mart().filter(~F.col("kpi").isin(list(KPI_KEYS)))
+    columns = ["expense_date", "description", "parent_category", "total", "transactions", "name", "type", "current_balance"]
+    return mart.select("kpi", *columns)
+
+
+def mart_of_years(spark: SparkSession, sf: str) -> DataFrame:
+    """The maintained mart of some years: cells of no other year are read."""
+    mart = _three_imports(spark, sf).kept_mart([1996, 1999, 2024])
+    return read_kpi(mart, "category").select("parent_category", "total", "transactions")
+
+
+def cumulative_after_late_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The running total from stored totals of days, after a batch with early dates came last."""
+    return _three_imports(spark, sf).cumulative()
+
+
+def dup_vs_fact_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The duplicate lookup of ``dup_vs_fact`` in the bucketed history of a ledger."""
+    ledger = _kept(spark, keep_indexes=True)
+    ledger.insert(a.event_expenses(spark, sf), "events")
+    entered = with_submission_key(materialize(a.submissions(spark, sf), "entered"))
+    found = attach(entered, matching_keys(entered, ledger.tables.read("fact_key")), ROW_KEY)
+    return found.select("entry", F.col("duplicate_of.id").alias("duplicate_of"))
+
+
+def file_imported_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The name lookup of ``file_already_imported`` in the stored postings of a ledger's log."""
+    ledger = _kept(spark, keep_indexes=True)
+    ledger.tables.write_batch("integrity_file_imported", a.import_log(spark, sf), "log")
+    ledger._index_names("log")
+    hits = find_indexed(a.batch_files(spark, sf).select("filename"), ledger.tables.read("log_gram"))
+    return hits.select("filename", F.col("hit.id").alias("log_id"))
+
+
 # -- accounts ------------------------------------------------------------------------------
 
 
@@ -325,6 +402,7 @@ QUERIES: dict[str, Query] = {
     "file_already_imported": file_already_imported,
     "pk_violations": pk_violations,
     "file_gate": file_gate,
+    "file_quarantine": file_quarantine,
     "import_log": import_log,
     "row_gate": row_gate,
     "form_labels": form_labels,
@@ -334,6 +412,12 @@ QUERIES: dict[str, Query] = {
     "ledger_fact": ledger_fact,
     "ledger_import": ledger_import,
     "ledger_log": ledger_log,
+    "mart_incremental": mart_incremental,
+    "mart_kept_others": mart_kept_others,
+    "mart_of_years": mart_of_years,
+    "cumulative_after_late_batch": cumulative_after_late_batch,
+    "dup_vs_fact_bucketed": dup_vs_fact_bucketed,
+    "file_imported_indexed": file_imported_indexed,
     "seed_accounts": seed_accounts,
     "accounts_repeated": accounts_repeated,
     "kpi_headline": _fact_kpi(kpis.headline, _orders_fact),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # An escape character no file name has: backslashes in names stay plain characters.
-_ESCAPE = "\\u0001"
+ESCAPE = "\\u0001"
 
 
 def find_logged(
@@ -43,7 +43,7 @@ def find_logged(
 
 
 def _containing(names: DataFrame, logged: DataFrame) -> DataFrame:
-    parts = names.select("filename", _longest(F.split("filename", "[_%]")).alias("_part"))
+    parts = names.select("filename", longest_part(F.split("filename", "[_%]")).alias("_part"))
     # One row: the lengths of the parts, none longer than a file name may be.
     lengths = parts.agg(F.collect_set(F.length("_part")).alias("_lengths"))
     # Equal names need the lookup once only.
@@ -52,11 +52,11 @@ def _containing(names: DataFrame, logged: DataFrame) -> DataFrame:
     windows = cut.select(
         "_logged", "_record", F.explode(_windows("_logged", "_lengths")).alias("_part")
     )
-    whole_rule = F.expr(f"_logged LIKE concat('%', filename, '%') ESCAPE '{_ESCAPE}'")
+    whole_rule = F.expr(f"_logged LIKE concat('%', filename, '%') ESCAPE '{ESCAPE}'")
     return parts.join(windows, "_part").filter(whole_rule)
 
 
-def _longest(parts: Column) -> Column:
+def longest_part(parts: Column) -> Column:
     """The longest part, the last in order if several are as long; '' if all are empty."""
     longest = F.array_max(
         F.transform(parts, lambda part: F.struct(F.length(part).alias("n"), part.alias("part")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from coinbrook.operators.duplicates import (
 )
 from coinbrook.operators.file_names import find_logged
 from coinbrook.operators.lookup import attach
+from coinbrook.operators.name_index import find_indexed
 from coinbrook.operators.validation import check_file_rows, structure_errors, validate_rows
 from coinbrook.sinks.scratch import materialize
 
@@ -25,6 +28,9 @@ BAD_IDS = "bad ids"
 INVALID = "invalid"
 DUPLICATE = "duplicate"
 
+#: Columns of the import log, in the order by which the first entry of a name is told.
+LOG_ORDER = ["ts", "id", "filename", "date_imported", "no_of_rows_imported"]
+
 
 def gate_files(
     files: DataFrame,
@@ -33,6 +39,7 @@ def gate_files(
     match: str = "contains",
     strict: bool = False,
     history: DataFrame | None = None,
+    name_index: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict per file of a batch.
 
@@ -42,16 +49,19 @@ def gate_files(
     already imported, duplicate rows, dates, ids. Ids that rows bring along (``has_id``) are
     compared with those of ``history``, if given. Where two files of the batch would block each
     other by name or id, the earlier one wins, as if they had been imported one after the other;
-    a file that is rejected blocks no other by its ids.
+    a file that is rejected blocks no other by its ids. With ``name_index``, the postings of the
+    log (see ``operators.name_index``), names are looked up there instead of in the log.
 
     The verdicts per file are stored on the way, so this runs jobs.
     """
     findings = check_file_rows(rows, ["file"], strict)
     counts = [c for c in findings.columns if c != "file"]
-    info = ["ts", "id", "filename", "date_imported", "no_of_rows_imported"]
+    if name_index is not None and match == "contains":
+        logged = find_indexed(files, name_index)
+    else:
+        logged = find_logged(files, log, LOG_ORDER, match)
     known = (
-        find_logged(files, log, info, match)
-        .withColumnRenamed("hit", "imported_as")
+        logged.withColumnRenamed("hit", "imported_as")
         .join(findings, "file", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
         .withColumn("errors", structure_errors(counts, F.col("missing_columns"), strict))
@@ -95,8 +105,14 @@ def prepare_rows(submissions: DataFrame) -> DataFrame:
     return checked.withColumns({k: F.when(F.col("is_valid"), F.col(k)) for k in ROW_KEY})
 
 
-def judge_rows(prepared: DataFrame, fact: DataFrame, order: str) -> DataFrame:
-    """Verdict per prepared submission; ``order`` is a unique column giving their order.
+def judge_rows(
+    prepared: DataFrame,
+    fact: DataFrame,
+    order: str,
+    matches: Callable[[DataFrame, DataFrame], DataFrame] = matching_facts,
+) -> DataFrame:
+    """Verdict per prepared submission; ``order`` is a unique column giving their order. ``matches``
+    looks valid entries up in ``fact``; with ``matching_keys`` that is the key history.
 
     A submission is ``invalid`` if a field check failed. It is a ``duplicate`` if the fact table
     has its like, or an earlier valid submission of the batch is its like.
@@ -104,7 +120,7 @@ def judge_rows(prepared: DataFrame, fact: DataFrame, order: str) -> DataFrame:
     valid = prepared.filter("is_valid")
     # One row per key: copies collapse before they are shuffled.
     first = valid.groupBy(*ROW_KEY).agg(F.min(order).alias("first_order"))
-    per_key = first.join(matching_facts(valid, fact), ROW_KEY, "left")
+    per_key = first.join(matches(valid, fact), ROW_KEY, "left")
     status = F.when(
         F.col("duplicate_of").isNotNull() | (F.col("first_order") < F.col(order)), DUPLICATE
     ).otherwise(ACCEPTED)

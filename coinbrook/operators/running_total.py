@@ -19,6 +19,7 @@ def running_total(
     amount: str,
     out: str,
     rows_per_split: int = ROWS_PER_SPLIT,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out``, the sum of all amounts up to and with the row, in date order.
 
@@ -31,20 +32,12 @@ def running_total(
 
     The rows are shuffled once, by range of (day, split); this also leaves them sorted. A row
     without an amount gets NULL and does not interrupt the sum.
+
+    ``starts`` are stored totals as ``starts_of_days`` gives them; with these, steps 1 and 2 fall
+    away, and ``df`` may be some days of the table only.
     """
-    keyed = df.withColumns(
-        {
-            "_units": units(F.col(amount)).cast("decimal(18,0)"),
-            "_beyond": beyond_units(F.col(amount)),
-            # Rows without an id are spread by their amount.
-            "_tie": F.md5(
-                F.coalesce(
-                    F.col(id_col).cast("string"), F.col(amount).cast("string"), F.lit("")
-                ).cast("binary")
-            ),
-        }
-    )
-    before = F.broadcast(_totals_before(keyed, date, rows_per_split))
+    keyed = _keyed(df, id_col, amount)
+    before = F.broadcast(_totals_before(keyed, date, rows_per_split) if starts is None else starts)
     placed = (
         keyed.join(before, F.col(date).eqNullSafe(F.col("_day")), "left")
         .withColumn("_split", _split_of("_tie", F.size("_before")))
@@ -66,6 +59,23 @@ def running_total(
     )
 
 
+def _keyed(df: DataFrame, id_col: str, amount: str) -> DataFrame:
+    # Rows without an id are spread by their amount.
+    tie = F.coalesce(F.col(id_col).cast("string"), F.col(amount).cast("string"), F.lit(""))
+    return df.withColumns(
+        {
+            "_units": units(F.col(amount)).cast("decimal(18,0)"),
+            "_beyond": beyond_units(F.col(amount)),
+            "_tie": F.md5(tie.cast("binary")),
+        }
+    )
+
+
+def sums_of_splits(df: DataFrame, date: str, id_col: str, amount: str, busy: DataFrame) -> DataFrame:
+    """``units`` and ``beyond`` of each split of the busy days (``_day``, ``_splits``)."""
+    return _sums_of_splits(_keyed(df, id_col, amount), date, busy)
+
+
 def _split_of(tie: str, splits: Column) -> Column:
     """Split number of a row; a larger md5 never gives a smaller number."""
     prefix = F.conv(F.substring(tie, 1, 8), 16, 10).cast("bigint")
@@ -78,29 +88,38 @@ def _totals_before(keyed: DataFrame, date: str, rows_per_split: int) -> DataFram
     There are at most 3.7 million days in the calendar and about ``MAX_SPLITS`` splits beyond
     one per day, however many rows the table has: small enough for one sort and a broadcast.
     """
-    by_day = Window.orderBy(F.col("_day").asc_nulls_last())
-    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
-    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = keyed.groupBy(F.col(date).alias("_day")).agg(F.count("*").alias("_rows"), *_part_sums())
     limit = F.greatest(F.lit(rows_per_split), F.ceil(F.sum("_rows").over(whole) / MAX_SPLITS))
-    days = (
-        keyed.groupBy(F.col(date).alias("_day"))
-        .agg(F.count("*").alias("_rows"), *_part_sums())
-        .select(
-            "_day",
-            F.ceil(F.col("_rows") / limit).cast("int").alias("_splits"),
-            F.struct(
-                F.coalesce(F.sum("units").over(earlier), F.lit(0)).cast("decimal(31,0)").alias("units"),
-                F.coalesce(F.sum("beyond").over(earlier), F.lit(0.0)).alias("beyond"),
-            ).alias("_start"),
-        )
-    )
-    busy = days.filter("_splits > 1")
-    splits = (
+    days = days.withColumn("_splits", F.ceil(F.col("_rows") / limit).cast("int")).drop("_rows")
+    busy = days.filter("_splits > 1").select("_day", "_splits")
+    return starts_of_days(days, _sums_of_splits(keyed, date, busy))
+
+
+def _sums_of_splits(keyed: DataFrame, date: str, busy: DataFrame) -> DataFrame:
+    return (
         keyed.join(F.broadcast(busy), F.col(date).eqNullSafe(F.col("_day")))
         .withColumn("_split", _split_of("_tie", F.col("_splits")))
         .groupBy("_day", "_split")
         .agg(*_part_sums())
     )
+
+
+def starts_of_days(sums: DataFrame, splits: DataFrame) -> DataFrame:
+    """``_day`` and ``_before``, the totals before each of its splits, from the sums of the days
+    (``_day``, ``_splits``, ``units``, ``beyond``) and of the splits (``_split``) of those that have
+    several. One sort of a row for each day."""
+    by_day = Window.orderBy(F.col("_day").asc_nulls_last())
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    days = sums.select(
+        "_day",
+        "_splits",
+        F.struct(
+            F.coalesce(F.sum("units").over(earlier), F.lit(0)).cast("decimal(31,0)").alias("units"),
+            F.coalesce(F.sum("beyond").over(earlier), F.lit(0.0)).alias("beyond"),
+        ).alias("_start"),
+    )
+    busy = days.filter("_splits > 1")
     earlier_splits = (
         Window.partitionBy("_day").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -15,16 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinbrook.operators.duplicates import key_violations
-from coinbrook.operators.gates import ACCEPTED, gate_files, judge_rows, prepare_rows
-from coinbrook.operators.lookup import seen_before
+from coinbrook.operators.gates import ACCEPTED, LOG_ORDER, gate_files, judge_rows, prepare_rows
+from coinbrook.operators.key_history import keys_of, matching_keys
+from coinbrook.operators.lookup import attach, seen_before
+from coinbrook.operators.name_index import postings
 from coinbrook.operators.normalize import normalize_header, rename_form_labels, to_expenses_line
+from coinbrook.operators.quarantine import ERROR_COLUMNS, quarantined
+from coinbrook.operators.running_total import ROWS_PER_SPLIT, running_total, sums_of_splits
 from coinbrook.operators.validation import missing_columns
+from coinbrook.plans import cells
 from coinbrook.plans.accounts import accounts_to_add, seed_rows
 from coinbrook.plans.fact import build_fact, new_facts
+from coinbrook.plans.kpis import AMOUNT, filter_expenses
 from coinbrook.plans.mart import stored_mart
-from coinbrook.schemas import DEFAULT_CATEGORY, DIM_ACCOUNT, FRAME_NAME
+from coinbrook.schemas import DEFAULT_CATEGORY, DIM_ACCOUNT, EXPENSES_LINE, FRAME_NAME
 from coinbrook.sinks.export import export_tables
-from coinbrook.sinks.tables import FORM_FIELDS, LedgerTables
+from coinbrook.sinks.scratch import materialize
+from coinbrook.sinks.tables import FORM_FIELDS, KEY_BUCKETS, LedgerTables
 from coinbrook.sources.csv_files import CsvFile, file_frame, find_files, read_csv, read_files
 from coinbrook.sources.local import local_frame
 
@@ -34,7 +41,11 @@ def _new_batch() -> str:
 
 
 class Ledger:
-    """``location`` is the shared folder of the tables; without it the warehouse is used."""
+    """``location`` is the shared folder of the tables; without it the warehouse is used. With
+    ``keep_mart`` every import brings the KPI mart up to date from its own rows; batches that came
+    in without are caught up with when such a ledger is opened. The same goes for ``keep_indexes``:
+    the history by duplicate key, in ``key_buckets`` buckets, and the logged names by runs of
+    characters, which the checks of new rows and files then use."""
 
     def __init__(
         self,
@@ -42,13 +53,26 @@ class Ledger:
         database: str = "ledger",
         location: str | None = None,
         as_of: dt.datetime | None = None,
+        keep_mart: bool = False,
+        rows_per_split: int = ROWS_PER_SPLIT,
+        keep_indexes: bool = False,
+        key_buckets: int = KEY_BUCKETS,
     ):
         self.spark = spark
+        self.keep_indexes = keep_indexes
         self.as_of = as_of
+        self.keep_mart = keep_mart
+        self.rows_per_split = rows_per_split
         # Batches landed here that the fact table cannot have seen yet.
         self._fresh: set[str] = set()
         self.tables = LedgerTables(spark, database, location).open()
         self.add_accounts(seed_rows(spark))
+        if keep_mart:
+            self.tables.open_mart()
+            self._count_batches()
+        if keep_indexes:
+            self.tables.open_indexes(key_buckets)
+            self._index_batches()
 
     # -- reading ---------------------------------------------------------------------------
 
@@ -132,13 +156,147 @@ class Ledger:
             lines = self.tables.read_batch("expenses_line", batch_id)
             self._fresh.discard(batch_id)
             self.tables.add_facts(build_fact(lines, self.as_of))
-            return
-        if batch_id is None:
+        elif batch_id is None:
             missing = new_facts(self.expenses(), self.fact(), self.as_of, small_batch=False)
+            self.tables.add_facts(missing)
         else:
             lines = self.tables.read_batch("expenses_line", batch_id)
             missing = new_facts(lines, self.fact(), self.as_of)
-        self.tables.add_facts(missing)
+            self.tables.add_facts(missing)
+        if self.keep_mart:
+            if batch_id is None:
+                self._count_batches()
+            else:
+                self._count_batch(batch_id)
+        if self.keep_indexes:
+            if batch_id is None:
+                self._index_batches()
+            else:
+                self._index_keys(batch_id)
+
+    # -- indexes for the checks against history ----------------------------------------------
+
+    def _index_keys(self, batch_id: str) -> None:
+        if not self.tables.has_batch("fact_key", batch_id):
+            keys = keys_of(self._batch_facts(batch_id), self.tables.buckets("fact_key"))
+            self.tables.write_batch("fact_key", keys, batch_id)
+
+    def _index_names(self, batch_id: str) -> None:
+        if not self.tables.has_batch("log_gram", batch_id):
+            log = self.tables.read_batch("integrity_file_imported", batch_id)
+            self.tables.write_batch("log_gram", postings(log, LOG_ORDER), batch_id)
+
+    def _index_batches(self) -> None:
+        """Index the batches that came in without."""
+        for batch_id in sorted(self.tables.batches("expenses_line") - self.tables.batches("fact_key")):
+            self._index_keys(batch_id)
+        for batch_id in sorted(self.tables.batches("integrity_file_imported") - self.tables.batches("log_gram")):
+            self._index_names(batch_id)
+
+    def _name_index(self) -> DataFrame | None:
+        return self.tables.read("log_gram") if self.keep_indexes else None
+
+    # -- the maintained mart -----------------------------------------------------------------
+
+    def _count_batch(self, batch_id: str) -> None:
+        """Store the cells of a batch whose facts are in, from its own rows. Its marker comes last;
+        until then no reader sees the cells, and a repeat starts over."""
+        if self.tables.has_batch("mart_batch", batch_id):
+            return
+        fact = self._batch_facts(batch_id)
+        self.tables.write_batch("mart_cell", cells.mart_cells(fact), batch_id)
+        self.tables.write_batch("mart_top", cells.top_of_years(fact), batch_id)
+        own = self.tables.read_batch("mart_cell", batch_id).filter("kpi = 'day'")
+        self._split_busy_days(own, batch_id)
+        counted = own.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("counted_rows"))
+        self.tables.write_batch("mart_batch", counted, batch_id)
+
+    def _batch_facts(self, batch_id: str) -> DataFrame:
+        return build_fact(self.tables.read_batch("expenses_line", batch_id), self.as_of)
+
+    def _split_busy_days(self, own: DataFrame, batch_id: str) -> None:
+        """Sums of the splits of the busy days that a batch touches: the only case in which facts of
+        other batches are read, those of these days."""
+        touched = own.select(F.col("expense_date").alias("touched")).distinct()
+        columns = ["kpi", "expense_date", "rows"]
+        days = self._cells().select(*columns).unionByName(own.select(*columns))
+        busy = cells.busy_days(days, self.rows_per_split)
+        busy = busy.join(touched, F.col("day").eqNullSafe(F.col("touched")), "left_semi").collect()
+        if not busy:
+            return
+        named = [(r["day"], r["day_rows"], r["splits"]) for r in busy]
+        days = local_frame(self.spark, named, "day date, day_rows bigint, splits int")
+        dated = [r["day"] for r in busy if r["day"] is not None]
+        facts = self.fact().select("expense_date", "year", "id", AMOUNT)
+        here = F.col("expense_date").isin(dated) & F.col("year").isin(sorted({d.year for d in dated}))
+        if len(dated) < len(busy):
+            here = here | F.col("expense_date").isNull()
+        split_days = days.select(F.col("day").alias("_day"), F.col("splits").alias("_splits"))
+        sums = sums_of_splits(facts.filter(here), "expense_date", "id", AMOUNT, split_days)
+        rows = sums.join(days, F.col("_day").eqNullSafe(F.col("day"))).select(
+            "day",
+            "day_rows",
+            "splits",
+            F.col("_split").alias("split"),
+            F.col("units").cast("decimal(38,0)").alias("units"),
+            "beyond",
+        )
+        self.tables.write_batch("day_split", rows, batch_id)
+
+    def _count_batches(self) -> None:
+        """Count the landed batches that are not in the mart yet, one after the other."""
+        for batch_id in sorted(self.tables.batches("expenses_line") - self.tables.batches("mart_batch")):
+            self._count_batch(batch_id)
+
+    def _active(self) -> DataFrame:
+        """Batches whose cells count: the counted ones, merged ones in place of their members."""
+        merges = self.tables.read("mart_merge")
+        every = self.tables.read("mart_batch").select("batch_id").unionByName(merges.select("batch_id").distinct())
+        return every.join(merges.select(F.col("member").alias("batch_id")), "batch_id", "left_anti")
+
+    def _cells(self) -> DataFrame:
+        return self.tables.read("mart_cell").join(F.broadcast(self._active()), "batch_id", "left_semi")
+
+    def _top(self) -> DataFrame:
+        return self.tables.read("mart_top").join(F.broadcast(self._active()), "batch_id", "left_semi")
+
+    def merge_mart(self) -> str:
+        """Put one merged batch of cells in place of all that there are, for fewer files to read.
+        Readers change over when the list of its members is written, which comes last. Cells that an
+        earlier merge replaced are dropped. Returns the id of the merged batch."""
+        replaced = [r["member"] for r in self.tables.read("mart_merge").select("member").collect()]
+        members = self._active().select(F.col("batch_id").alias("member")).collect()
+        merged = f"merged-{_new_batch()}"
+        # A table is not written from what is read of it.
+        sums = materialize(cells.merged_cells(self._cells()), "merged-cells")
+        top = materialize(cells.top_of_years(self._top()), "merged-top")
+        self.tables.write_batch("mart_cell", sums, merged)
+        self.tables.write_batch("mart_top", top, merged)
+        names = local_frame(self.spark, [(r["member"],) for r in members], "member string")
+        self.tables.write_batch("mart_merge", names, merged)
+        for batch_id in replaced:
+            self.tables.drop_batch("mart_cell", batch_id)
+            self.tables.drop_batch("mart_top", batch_id)
+        return merged
+
+    def kept_mart(self, years: Sequence[int] | None = None) -> DataFrame:
+        """The KPIs as ``plans.mart.read_kpi`` reads them, merged from the cells that the imports
+        stored; the fact table is not read. With ``years``, over the expenses of these years, and no
+        other year's cells are read."""
+        own, top = self._cells(), self._top()
+        if years is not None:
+            own, top = own.filter(F.col("year").isin(list(years))), top.filter(F.col("year").isin(list(years)))
+        return cells.mart_of(own, top, self.accounts())
+
+    def cumulative(self, start: str | dt.date | None = None, end: str | dt.date | None = None) -> DataFrame:
+        """KPI 10, one row per expense in date order, from stored totals of the days: only the facts
+        from ``start`` to ``end`` are read, and their total still counts all that came before."""
+        rows = filter_expenses(self.fact(), filter_start_date=start, filter_end_date=end)
+        starts = cells.running_starts(self._cells(), self.tables.read("day_split"))
+        total = running_total(
+            rows.select("expense_date", "id", AMOUNT), "expense_date", "id", AMOUNT, "cumulative_amount", starts=starts
+        )
+        return total.select("expense_date", "cumulative_amount")
 
     def import_files(
         self,
@@ -157,21 +315,42 @@ class Ledger:
         batch_id = batch_id or _new_batch()
         found = find_files(self.spark, paths, check_line_breaks=check_line_breaks)
         self._hold_files(found, batch_id)
+        done = all(self.tables.has_batch(t, batch_id) for t in ("file_report", "expenses_line", "quarantine"))
+        # Parsed once, for the checks, the rows that land and those that are turned away.
+        rows = None if done else materialize(read_files(self.spark, found), "parsed")
         if not self.tables.has_batch("file_report", batch_id):
-            files, rows = file_frame(self.spark, found), read_files(self.spark, found)
+            files = file_frame(self.spark, found)
             history = self.expenses() if any("id" in f.columns for f in found) else None
-            verdict = gate_files(files, rows, self.import_log(), match, strict, history)
+            verdict = gate_files(
+                files, rows, self.import_log(), match, strict, history, self._name_index()
+            )
             report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
             self.tables.write_batch("file_report", report, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
         accepted = report.filter(F.col("status") == ACCEPTED)
-        passed = {row["file"] for row in accepted.select("file").toLocalIterator()}
-        self._land_files([f for f in found if f.file in passed], batch_id)
+        if rows is not None:
+            self._hold_back(rows, report, batch_id, strict)
+            self._land_files(rows, accepted, batch_id)
         if not self.tables.has_batch("integrity_file_imported", batch_id):
             self._log_files(accepted, batch_id)
         self.sync_fact(batch_id)
         return report
 
+    def quarantine(self) -> DataFrame:
+        """Rows of rejected files as text, with ``error_field``, ``error_reason``, ``error_value``."""
+        return self.tables.read("quarantine")
+
+    def _hold_back(self, rows: DataFrame, report: DataFrame, batch_id: str, strict: bool) -> None:
+        """Keep the rows of rejected files, with what is wrong with them."""
+        if self.tables.has_batch("quarantine", batch_id):
+            return
+        columns = [f.name for f in EXPENSES_LINE]
+        lacking = {c: F.lit(None).cast("string") for c in [*columns, "extra_fields"] if c not in rows.columns}
+        held = quarantined(rows.withColumns(lacking), report, ACCEPTED, strict)
+        text = [F.col(c).cast("string").alias(c) for c in columns]
+        kept = held.select("file", *text, "extra_fields", "status", *ERROR_COLUMNS)
+        self.tables.write_batch("quarantine", kept, batch_id)
+
     def _hold_files(self, found: Sequence[CsvFile], batch_id: str) -> None:
         """Store the files of a new batch; of a known one, compare them with those stored."""
         own = local_frame(
@@ -214,11 +393,14 @@ class Ledger:
                 "file string, filename string, arrival int, missing_columns array<string>",
             )
             history = self.expenses() if has_id else None
-            verdict = gate_files(files, rows, self.import_log(), match, strict, history)
+            verdict = gate_files(
+                files, rows, self.import_log(), match, strict, history, self._name_index()
+            )
             report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
             self.tables.write_batch("file_report", report, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
         accepted = report.filter(F.col("status") == ACCEPTED)
+        self._hold_back(rows, report, batch_id, strict)
         if not accepted.isEmpty():
             lines = to_expenses_line(rows).withColumn("source_file", F.lit(filename))
             self._land(lines, batch_id)
@@ -227,8 +409,9 @@ class Ledger:
             self.sync_fact(batch_id)
         return report
 
-    def _land_files(self, files: Sequence[CsvFile], batch_id: str) -> None:
-        rows = read_files(self.spark, files).withColumns(
+    def _land_files(self, rows: DataFrame, accepted: DataFrame, batch_id: str) -> None:
+        passed = accepted.select("file", F.lit(True).alias("_passed"))
+        own = attach(rows, passed, ["file"]).filter("_passed").withColumns(
             {
                 "id": F.when(F.col("has_id"), F.col("id")).otherwise(F.expr("uuid()")),
                 "category": F.when(F.col("has_category"), F.col("category")).otherwise(
@@ -236,7 +419,7 @@ class Ledger:
                 ),
             }
         )
-        lines = to_expenses_line(rows, keep=["file"]).withColumnRenamed("file", "source_file")
+        lines = to_expenses_line(own, keep=["file"]).withColumnRenamed("file", "source_file")
         self._land(lines, batch_id)
 
     def _log_files(self, accepted: DataFrame, batch_id: str) -> None:
@@ -250,6 +433,8 @@ class Ledger:
             F.least(F.col("row_count"), F.lit(2**31 - 1)).cast("int").alias("no_of_rows_imported"),
         )
         self.tables.write_batch("integrity_file_imported", log, batch_id)
+        if self.keep_indexes:
+            self._index_names(batch_id)
 
     def submit_rows(self, submissions: DataFrame, batch_id: str | None = None) -> DataFrame:
         """Enter rows from the form; returns the report, one row per submission.
@@ -275,7 +460,10 @@ class Ledger:
         if not self.tables.has_batch("submission_report", batch_id):
             staged = self.tables.read_batch("submission", batch_id)
             staged = staged.withColumn("_order", F.struct("entry", "submission_id"))
-            verdict = judge_rows(staged, self.fact(), "_order")
+            if self.keep_indexes:
+                verdict = judge_rows(staged, self.tables.read("fact_key"), "_order", matching_keys)
+            else:
+                verdict = judge_rows(staged, self.fact(), "_order")
             report = verdict.withColumn("duplicate_of", F.col("duplicate_of.id"))
             self.tables.write_batch("submission_report", report, batch_id)
         report = self.tables.read_batch("submission_report", batch_id)

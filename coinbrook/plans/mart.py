@@ -77,5 +77,7 @@ def read_kpi(mart: DataFrame, kpi: str) -> DataFrame:
     columns = {
         "headline": ["total", "transactions", "parent_category"],
         "top": ["expense_date", "description", "parent_category", "total"],
+        "daily": ["expense_date", "total", "transactions"],
+        "balances": ["name", "type", "current_balance", "currency"],
     }.get(kpi) or [*KPI_KEYS[kpi], "total", "mean", "transactions"]
     return mart.filter(F.col("kpi") == kpi).select(*columns)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coinbrook.operators.duplicates import ROW_KEY
+from coinbrook.operators.quarantine import ERROR_COLUMNS
 from coinbrook.schemas import (
     DIM_ACCOUNT,
     EXPENSES_LINE,
@@ -49,6 +50,17 @@ STORED = {
         T.StructType([*_ENTRY, *_FORM, *_CHECKED, *_VERDICT, _BATCH]),
         "batch_id",
     ),
+    # Rows of rejected files as they were read, with what is wrong with them.
+    "quarantine": (
+        T.StructType(
+            [T.StructField("file", T.StringType())]
+            + [T.StructField(f.name, T.StringType()) for f in EXPENSES_LINE]
+            + [T.StructField("extra_fields", T.StringType()), T.StructField("status", T.StringType())]
+            + [T.StructField(c, T.StringType()) for c in ERROR_COLUMNS]
+            + [_BATCH]
+        ),
+        "batch_id",
+    ),
     "batch_file": (
         T.StructType(
             [T.StructField("file", T.StringType()), T.StructField("arrival", T.LongType()), _BATCH]
@@ -73,6 +85,110 @@ STORED = {
     ),
 }
 
+# The maintained mart: partial sums by batch and year, see ``plans.cells``, and which batches are in.
+_TEXT, _INT, _LONG, _DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+
+
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+MART_STORED = {
+    "mart_cell": (
+        _struct(
+            ("kpi", _TEXT),
+            ("month", _INT),
+            ("month_year_marker", _TEXT),
+            ("parent_category", _TEXT),
+            ("num_day_of_week", _INT),
+            ("day_of_week", _TEXT),
+            ("season", _TEXT),
+            ("from_account_marker", _TEXT),
+            ("category_tag", _TEXT),
+            ("towards_category", _TEXT),
+            ("expense_date", T.DateType()),
+            ("high", _LONG),
+            ("low", _LONG),
+            ("beyond", _DOUBLE),
+            ("present", _LONG),
+            ("rows", _LONG),
+            ("batch_id", _TEXT),
+            ("year", _INT),
+        ),
+        "batch_id, year",
+    ),
+    "mart_top": (
+        _struct(
+            ("year", _INT),
+            ("id", _TEXT),
+            ("expense_date", T.DateType()),
+            ("description", _TEXT),
+            ("parent_category", _TEXT),
+            ("expend_amount", _DOUBLE),
+            ("batch_id", _TEXT),
+        ),
+        "batch_id",
+    ),
+    "day_split": (
+        _struct(
+            ("day", T.DateType()),
+            ("day_rows", _LONG),
+            ("splits", _INT),
+            ("split", _INT),
+            ("units", T.DecimalType(38, 0)),
+            ("beyond", _DOUBLE),
+            ("batch_id", _TEXT),
+        ),
+        "batch_id",
+    ),
+    "mart_batch": (_struct(("counted_rows", _LONG), ("batch_id", _TEXT)), "batch_id"),
+    # ``batch_id`` is the merged batch, ``member`` one of those that it stands for.
+    "mart_merge": (_struct(("member", _TEXT), ("batch_id", _TEXT)), "batch_id"),
+}
+
+_RECORD = T.StructType(
+    [
+        T.StructField("id", _TEXT),
+        T.StructField("expense_date", T.DateType()),
+        T.StructField("description", _TEXT),
+        T.StructField("expend_amount", _DOUBLE),
+        T.StructField("parent_category", _TEXT),
+        T.StructField("from_account_marker", _TEXT),
+        T.StructField("towards_category", _TEXT),
+    ]
+)
+_LOGGED = T.StructType(
+    [
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("id", _TEXT),
+        T.StructField("filename", _TEXT),
+        T.StructField("date_imported", _TEXT),
+        T.StructField("no_of_rows_imported", _INT),
+    ]
+)
+
+# Indexes for the checks against history, see ``operators.key_history`` and ``operators.name_index``.
+INDEX_STORED = {
+    "fact_key": (
+        T.StructType([T.StructField("key_text", _TEXT), T.StructField("record", _RECORD), _BATCH]),
+        "batch_id",
+    ),
+    "log_gram": (
+        T.StructType(
+            [
+                T.StructField("gram", _TEXT),
+                T.StructField("filename", _TEXT),
+                T.StructField("record", _LOGGED),
+                _BATCH,
+                T.StructField("part", _INT),
+            ]
+        ),
+        "batch_id, part",
+    ),
+}
+#: Buckets of a new ``fact_key`` table: about one for each 200 MB that it is to hold.
+KEY_BUCKETS = 16
+
 # What a user sees; the rest is bookkeeping.
 USER_TABLES = {
     "expenses_line": [f.name for f in EXPENSES_LINE],
@@ -106,14 +222,31 @@ class LedgerTables:
             self.swap_fact(self.spark.createDataFrame([], FCT_EXPENSE))
         return self
 
+    def open_mart(self) -> None:
+        """Create the tables of the maintained mart where they do not exist."""
+        for name, (schema, partition) in MART_STORED.items():
+            self._create(name, schema, partition)
+
+    def open_indexes(self, key_buckets: int = KEY_BUCKETS) -> None:
+        """Create the index tables where they do not exist."""
+        for name, (schema, partition) in INDEX_STORED.items():
+            buckets = f" CLUSTERED BY (key_text) INTO {key_buckets} BUCKETS" if name == "fact_key" else ""
+            self._create(name, schema, partition, buckets)
+
+    def buckets(self, table: str) -> int:
+        rows = self.spark.sql(f"DESCRIBE EXTENDED {self._name(table)}").collect()
+        return next(int(r["data_type"]) for r in rows if r["col_name"] == "Num Buckets")
+
     def _name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
-    def _create(self, table: str, schema: T.StructType, partition: str | None) -> None:
+    def _create(
+        self, table: str, schema: T.StructType, partition: str | None, buckets: str = ""
+    ) -> None:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         by = f" PARTITIONED BY ({partition})" if partition else ""
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({columns}) USING parquet{by}"
+            f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({columns}) USING parquet{by}{buckets}"
         )
 
     def names(self) -> list[str]:
@@ -140,12 +273,33 @@ class LedgerTables:
         """Write the rows of one batch in place of any earlier ones of that batch. The catalog
         gets the partition when all of it is written, so it shows up complete or not at all."""
         columns = [c for c in self.spark.table(self._name(table)).columns if c != "batch_id"]
+        # Any further partition column is the last of the columns.
+        _, partition = (STORED | MART_STORED | INDEX_STORED)[table]
+        further = partition.removeprefix("batch_id")
         self.spark.sql(
-            f"INSERT OVERWRITE TABLE {self._name(table)} PARTITION (batch_id = '{_checked(batch_id)}') "
-            "SELECT * FROM {rows}",
+            f"INSERT OVERWRITE TABLE {self._name(table)} "
+            f"PARTITION (batch_id = '{_checked(batch_id)}'{further}) SELECT * FROM {{rows}}",
             rows=frame.select(*columns),
         )
 
+    def drop_batch(self, table: str, batch_id: str) -> None:
+        """Drop the partitions of a batch."""
+        for values in self.partitions(table):
+            if values["batch_id"] == batch_id:
+                spec = ", ".join(f"{n} = null" if v is None else f"{n} = '{v}'" for n, v in values.items())
+                self.spark.sql(f"ALTER TABLE {self._name(table)} DROP IF EXISTS PARTITION ({spec})")
+
+    def partitions(self, table: str) -> list[dict[str, str | None]]:
+        """The values of the partition columns of each partition."""
+        found = []
+        for row in self.spark.sql(f"SHOW PARTITIONS {self._name(table)}").collect():
+            values = dict(part.split("=", 1) for part in row["partition"].split("/"))
+            found.append({n: None if v == "__HIVE_DEFAULT_PARTITION__" else v for n, v in values.items()})
+        return found
+
+    def batches(self, table: str) -> set[str]:
+        return {values["batch_id"] for values in self.partitions(table)}
+
     def append(self, table: str, frame: DataFrame, columns: Sequence[str]) -> None:
         frame.select(*columns).write.mode("append").insertInto(self._name(table))
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coinbrook.sinks.scratch import materialize
+
 # A closed field, a quoted field still open where the line ends, and the rest of a cell that a
 # line before has opened.
 _CLOSED_FIELD = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+)?+'
@@ -76,7 +78,9 @@ def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     state = state.withColumn(
         "_open_before", F.coalesce(F.lag("_open_after").over(within), F.col("_start_open"))
     )
-    return _assemble(state, within, along)
+    # Used in several places below. Stored, so that the text is scanned twice in all.
+    columns = ["file", "block", "line", "value", "_open_before", "_open_after"]
+    return _assemble(materialize(state.select(*columns), "lines"), within, along)
 
 
 def _settle(rows: DataFrame, if_closed: Column, if_open: Column, order: Window) -> DataFrame:

@@ -138,7 +138,7 @@ def test_duplicate_groups(frame):
         ("2025-01-02", "a", "1", "n26", "home"),
     ]
     got = [tuple(r) for r in duplicate_groups(frame(rows, FILE)).collect()]
-    assert got == [("2025-01-01", "1", "n26", "home", 2)]
+    assert got == [("2025-01-01", 1.0, "n26", "home", 2)]
 
 
 def test_amounts_of_equal_value_are_duplicates_in_a_file(frame):
