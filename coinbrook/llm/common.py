@@ -57,6 +57,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of the frame, whatever the case of the letters."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_arrow(frame: DataFrame, step: Callable[[Batches], Batches], schema: str, **carried: DataType) -> DataFrame:
     """``mapInArrow`` with a schema text, before it the columns that are only carried along."""
     kept = StructType([StructField(name, kind) for name, kind in carried.items()])

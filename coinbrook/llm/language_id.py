@@ -248,8 +248,8 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model(languages, idf, weights, fitted[0]["temperature"])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``docs`` with ``lang_pred`` and ``score``, as ``row``, ``lang_pred``, ``score``.
+def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` as ``row`` (its columns in ``carry``, by default all), ``lang_pred``, ``score``.
 
     ``row`` is a struct of all columns. A text that is null or has no letter is ``und`` with score 0,
     and so is every text if no language was learned.
@@ -269,15 +269,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=["row", "lang_pred", "score"],
             )
 
-    carried = [c for c in docs.columns if c != "_text"]
-    rows = docs.select(F.struct(*carried).alias("row"), text_column(docs))
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     return by_arrow(rows, label, "lang_pred string, score double", row=rows.schema["row"].dataType)
 
 
-def text_column(docs: DataFrame) -> Column:
-    return F.col("_text" if "_text" in docs.columns else "text").cast("string").alias("text")
-
-
 def fold(of: int, column: str = "doc_id") -> Column:
     """crc32 of the decimal text of the id, modulo ``of``; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(of)), F.lit(-1))
@@ -291,7 +286,8 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     doc_id are no inputs of a prediction.
     """
     model = train(docs.filter(fold(5) != 0), sample_rows)
-    found = predict(docs.select("doc_id", (fold(5) == 0).alias("held_out"), F.col("text").alias("_text")), model)
+    rows = docs.select("doc_id", "text", (fold(5) == 0).alias("held_out"))
+    found = predict(rows, model, carry=["doc_id", "held_out"])
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinbrook.llm.common import sent_if_small, text_of
+from coinbrook.llm.common import sent_if_small, text_of, unused
 from coinbrook.sinks.scratch import materialize
 
 #: Similarity as a fraction of whole numbers.
@@ -261,8 +261,10 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     marks = mark_lines(docs).filter("doc_id is not null").groupBy("doc_id")
     marks = marks.agg(F.count("*").alias("_rows"), F.first("removed").alias("_removed"))
-    marks = marks.filter("_rows = 1 and size(_removed) > 0").select(F.col("doc_id").alias("_id"), "_removed")
-    joined = docs.join(marks, F.col("doc_id") == F.col("_id"), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_removed", k))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    key, gone = unused(docs, "_id"), unused(docs, "_removed")
+    marks = marks.filter("_rows = 1 and size(_removed) > 0")
+    marks = marks.select(F.col("doc_id").alias(key), F.col("_removed").alias(gone))
+    joined = docs.join(marks, F.col("doc_id") == F.col(key), "left")
+    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(gone, k))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.withColumn("text", text).select(docs.columns)

@@ -198,5 +198,7 @@ def mix(
 
 
 def sample_mix(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows, with all columns of ``docs`` and the probability of each as ``mix_probability``."""
-    return mix(docs, **options).filter("sampled").select("row.*", F.col("probability").alias("mix_probability"))
+    """The sampled rows, with all columns of ``docs`` and the probability of each as ``mix_probability``,
+    in place of a column of that name."""
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "mix_probability"]
+    return mix(docs, **options).filter("sampled").select(*own, F.col("probability").alias("mix_probability"))

@@ -46,7 +46,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _NO_ID = -(1 << 63) - 1
 
-MANIFEST = "shard int, first_key string, first_id long, archive string, index string, directory long, captures long"
+#: Bytes of an archive that a task reads where a whole one is looked up.
+BYTES_PER_LOOKUP = 4 << 20
+MANIFEST = "shard int, first_key string, first_id long, archive string, index string, directory long, captures long, bytes long"
 MANIFEST_TYPES = {
     "shard": pa.int32(),
     "first_key": pa.string(),
@@ -55,6 +57,7 @@ MANIFEST_TYPES = {
     "index": pa.string(),
     "directory": pa.int64(),
     "captures": pa.int64(),
+    "bytes": pa.int64(),
 }
 CAPTURE_TYPES = {
     "page_id": pa.int64(),
@@ -231,6 +234,7 @@ class _Shard:
             "index": [self.index],
             "directory": [directory],
             "captures": [self.captures],
+            "bytes": [self.at],
         }
 
 
@@ -255,7 +259,10 @@ def write_archive(pages: DataFrame, path: str) -> DataFrame:
 
     ordered = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     manifest = by_arrow(ordered, write, MANIFEST)
-    manifest.coalesce(8).write.parquet(f"{path}/manifest")
+    # One row a shard, first as the tasks leave them; then few files, since every reader opens them.
+    manifest.write.parquet(f"{path}/shards")
+    written = pages.sparkSession.read.schema(MANIFEST).parquet(f"{path}/shards")
+    written.coalesce(8).write.parquet(f"{path}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -336,14 +343,15 @@ class CaptureIndex:
         return self.find(self._order(key, None), (key.encode("utf-8", "surrogatepass"), 1 << 63))
 
 
-def lookup(keys: DataFrame, path: str, payloads: bool = True) -> DataFrame:
+def lookup(keys: DataFrame, path: str, payloads: bool = True, tasks: int | None = None) -> DataFrame:
     """The captures of an archive for every row of ``keys``.
 
     ``keys`` has a URL ``key`` and may have a ``page_id``; without that column all captures of the
     URL are returned. Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to and
     payload (null unless asked for). Size and digest are taken from the payload that was read; a
     revisit has the digest of its header, no size and no payload. A key without captures gives no
-    row, a repeated key repeats them.
+    row, a repeated key repeats them. ``tasks`` is the number of tasks that read; without it Spark
+    goes by the size of the keys, which suits a few of them.
     """
     single = "page_id" in keys.columns
     names = ["key", "page_id"] if single else ["key"]
@@ -379,8 +387,9 @@ def lookup(keys: DataFrame, path: str, payloads: bool = True) -> DataFrame:
                         out, size = [], 0
             yield _captures(out)
 
-    ordered = keys.select(*names).repartitionByRange(*names).sortWithinPartitions(*names)
-    return by_arrow(ordered, fetch, CAPTURE)
+    dealt = keys.select(*names)
+    dealt = dealt.repartitionByRange(tasks, *names) if tasks else dealt.repartitionByRange(*names)
+    return by_arrow(dealt.sortWithinPartitions(*names), fetch, CAPTURE)
 
 
 def _captures(rows: list[tuple]) -> pa.RecordBatch:
@@ -395,9 +404,10 @@ def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
     of a revisit are the size and digest of the record that it refers to.
     """
     path = scratch_path(spark, "warc")
-    write_archive(pages, path)
+    written = write_archive(pages, path).agg(F.sum("bytes")).first()[0] or 0
     keys = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long")).distinct()
-    found = materialize(lookup(keys, path, payloads=False).drop("payload", "url"), "captures")
+    tasks = max(1, -(-written // BYTES_PER_LOOKUP))
+    found = materialize(lookup(keys, path, payloads=False, tasks=tasks).drop("payload", "url"), "captures")
     full = found.filter("record_type = 'response'").select(
         F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("full_bytes")
     )
