@@ -120,6 +120,26 @@ def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of one file per user, some files with the day first, some with the month first,
+    some with both, and some odd cells."""
+    n, user = F.col("event_id"), F.col("user_id")
+    day = F.col("ts").cast("date")
+    month_first, day_first = F.date_format(day, "M/d/yyyy"), F.date_format(day, "dd/MM/yyyy")
+    return table(spark, sf_dir, "events").select(
+        _file_name(user).alias("file"),
+        n.alias("entry"),
+        F.when(n % 37 == 0, F.lit(None))
+        .when(n % 41 == 0, "soon")
+        .when(user % 5 == 0, day.cast("string"))
+        .when(user % 5 == 1, month_first)
+        .when(user % 5 == 2, day_first)
+        .when(user % 5 == 3, F.when(n % 2 == 0, month_first).otherwise(day_first))
+        .otherwise(F.when(F.dayofmonth(day) <= 12, day_first))
+        .alias("date"),
+    )
+
+
 def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files behind ``file_rows``, in order of their user."""
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("_n"))

@@ -116,6 +116,29 @@ IMPORT_LOG = """import_log AS (
          'menu_' || CAST(c_custkey * 7 AS VARCHAR) || '.csv' AS filename
   FROM customer)"""
 
+DATED_ROWS = """dated_rows AS (
+  SELECT 'u_' || CAST(user_id AS VARCHAR) || '.csv' AS file, event_id AS entry,
+         CASE WHEN event_id % 37 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'soon'
+              WHEN user_id % 5 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR)
+              WHEN user_id % 5 = 1 OR user_id % 5 = 3 AND event_id % 2 = 0 THEN strftime(ts, '%-m/%-d/%Y')
+              WHEN user_id % 5 IN (2, 3) OR day(ts) <= 12 THEN strftime(ts, '%d/%m/%Y') END AS date
+  FROM events),
+readings AS (
+  SELECT *, CAST(try_strptime(date, '%m/%d/%Y') AS DATE) AS month_first,
+         CAST(try_strptime(date, '%d/%m/%Y') AS DATE) AS day_first
+  FROM dated_rows),
+orders AS (
+  SELECT file, count(*) FILTER (month_first IS NOT NULL OR day_first IS NOT NULL) AS slash_dates,
+         count(*) FILTER (month_first <> day_first) AS open_dates,
+         count(*) FILTER (month_first IS NOT NULL AND day_first IS NULL) AS only_month,
+         count(*) FILTER (day_first IS NOT NULL AND month_first IS NULL) AS only_day
+  FROM readings GROUP BY file),
+named AS (
+  SELECT *, CASE WHEN slash_dates = 0 THEN NULL WHEN only_month > 0 AND only_day > 0 THEN 'mixed'
+                 WHEN only_day > 0 THEN 'day first' WHEN only_month > 0 OR open_dates = 0 THEN 'month first'
+                 ELSE 'ambiguous' END AS date_order
+  FROM orders)"""
+
 # ``accounts_to_add`` also gets the fixed seed accounts of ``schemas.py``; see seed_accounts below.
 ACCOUNTS = """accounts AS (
   SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(NULL AS VARCHAR) AS tag,
@@ -358,6 +381,12 @@ SELECT file, date, description, amount, from_account, towards, status,
          'Invalid date format', 'File rejected: ' || status ][fault] AS error_reason,
        [ NULL, amount, CAST(copies AS VARCHAR), date, imported_as ][fault] AS error_value
 FROM judged""",
+    "date_order": f"WITH {DATED_ROWS}\nSELECT file, date_order, slash_dates, open_dates FROM named",
+    "dates_in_order": f"""WITH {DATED_ROWS}
+SELECT file, entry, date AS written,
+       coalesce(CASE WHEN date_order = 'day first' THEN day_first ELSE month_first END,
+                CAST(try_strptime(date, '%Y-%m-%d') AS DATE)) AS date
+FROM readings JOIN named USING (file)""",
     "import_log": f"""WITH {FILE_GATE}
 SELECT file AS filename, '2026-01-01' AS date_imported,
        CAST(row_count AS INTEGER) AS no_of_rows_imported
@@ -470,6 +499,13 @@ FROM fact ORDER BY expend_amount DESC NULLS LAST, id LIMIT 10""",
     "mart_of_years": f"""{RAW_FACT}
 SELECT parent_category, {TOTAL} AS total, count(*) AS transactions
 FROM fact WHERE parent_category IS NOT NULL AND year IN (1996, 1999, 2024) GROUP BY parent_category""",
+    "kpi_stream": f"""{RAW_FACT}
+SELECT 'category' AS kpi, parent_category, NULL AS year, NULL AS month, NULL AS month_year_marker,
+       {TOTAL} AS total, count(*) AS transactions
+FROM fact WHERE parent_category IS NOT NULL GROUP BY parent_category
+UNION ALL
+SELECT 'monthly', NULL, year, month, month_year_marker, {TOTAL}, count(*)
+FROM fact WHERE year IS NOT NULL GROUP BY year, month, month_year_marker""",
     "cumulative_after_late_batch": _running_total(RAW_FACT),
 }
 

@@ -12,6 +12,7 @@ from coinbrook.checks import adapters as a
 from coinbrook.functions.amounts import coerce_amount
 from coinbrook.functions.dates import calendar_columns, parse_date, parse_iso_date, season
 from coinbrook.operators import normalize
+from coinbrook.operators.date_order import date_orders, with_month_first
 from coinbrook.operators.duplicates import (
     ROW_KEY,
     duplicate_groups,
@@ -33,6 +34,7 @@ from coinbrook.plans.ledger import Ledger
 from coinbrook.plans.mart import KPI_KEYS, kpi_mart, read_kpi
 from coinbrook.session import tune
 from coinbrook.sinks.scratch import materialize, scratch_path
+from coinbrook.streaming import live_kpis
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,6 +192,19 @@ def file_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return quarantined(a.file_rows(spark, sf), verdicts, ACCEPTED)
 
 
+def date_order(spark: SparkSession, sf: str) -> DataFrame:
+    """For each file, whether the day or the month comes first in its dates."""
+    return date_orders(a.dated_rows(spark, sf))
+
+
+def dates_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Every date as its file has it, and as it is read."""
+    rows = a.dated_rows(spark, sf)
+    orders = materialize(date_orders(rows), "orders")
+    turned = with_month_first(rows.withColumn("written", F.col("date")), orders)
+    return turned.select("file", "entry", "written", parse_date(F.col("date")).alias("date"))
+
+
 def import_log(spark: SparkSession, sf: str) -> DataFrame:
     accepted = _file_verdicts(spark, sf).filter(F.col("status") == ACCEPTED)
     return accepted.select(
@@ -316,6 +331,17 @@ def cumulative_after_late_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _three_imports(spark, sf).cumulative()
 
 
+def kpi_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Live KPIs of a stream that ran over what had landed, stopped, and went on after more landed."""
+    ledger = _new_ledger(spark)
+    checkpoint = scratch_path(spark, "stream")
+    for lines, name in ((a.order_expenses(spark, sf), "orders"), (a.event_expenses(spark, sf), "events")):
+        ledger.insert(lines, name)
+        live_kpis.kpi_stream(ledger, checkpoint, files_per_batch=2).awaitTermination()
+    live = spark.table(f"{ledger.tables.database}.live_kpi")
+    return live.select("kpi", *live_kpis.LIVE_KEYS, "total", "transactions")
+
+
 def dup_vs_fact_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     """The duplicate lookup of ``dup_vs_fact`` in the bucketed history of a ledger."""
     ledger = _kept(spark, keep_indexes=True)
@@ -403,6 +429,8 @@ QUERIES: dict[str, Query] = {
     "pk_violations": pk_violations,
     "file_gate": file_gate,
     "file_quarantine": file_quarantine,
+    "date_order": date_order,
+    "dates_in_order": dates_in_order,
     "import_log": import_log,
     "row_gate": row_gate,
     "form_labels": form_labels,
@@ -416,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "mart_kept_others": mart_kept_others,
     "mart_of_years": mart_of_years,
     "cumulative_after_late_batch": cumulative_after_late_batch,
+    "kpi_stream": kpi_stream,
     "dup_vs_fact_bucketed": dup_vs_fact_bucketed,
     "file_imported_indexed": file_imported_indexed,
     "seed_accounts": seed_accounts,

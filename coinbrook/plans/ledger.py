@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinbrook.operators.duplicates import key_violations
+from coinbrook.operators.date_order import DAY_FIRST, date_orders, with_month_first
 from coinbrook.operators.gates import ACCEPTED, LOG_ORDER, gate_files, judge_rows, prepare_rows
+from coinbrook.operators.id_filter import filter_of, may_be_known
 from coinbrook.operators.key_history import keys_of, matching_keys
 from coinbrook.operators.lookup import attach, seen_before
 from coinbrook.operators.name_index import postings
@@ -26,7 +30,7 @@ from coinbrook.operators.validation import missing_columns
 from coinbrook.plans import cells
 from coinbrook.plans.accounts import accounts_to_add, seed_rows
 from coinbrook.plans.fact import build_fact, new_facts
-from coinbrook.plans.kpis import AMOUNT, filter_expenses
+from coinbrook.plans.kpis import AMOUNT, cumulative_trend, filter_expenses
 from coinbrook.plans.mart import stored_mart
 from coinbrook.schemas import DEFAULT_CATEGORY, DIM_ACCOUNT, EXPENSES_LINE, FRAME_NAME
 from coinbrook.sinks.export import export_tables
@@ -76,18 +80,50 @@ class Ledger:
 
     # -- reading ---------------------------------------------------------------------------
 
+    # A batch that a job has begun and not ended is seen by no reader: neither its raw rows nor its
+    # facts nor its log entries, until a repeat has written all of them.
+
     def expenses(self) -> DataFrame:
-        return self.tables.read("expenses_line")
+        return self.tables.read("expenses_line", self._open())
 
     def fact(self) -> DataFrame:
-        return self.tables.read("fct_expense")
+        fact, begun = self.tables.read("fct_expense"), self._open()
+        if not begun:
+            return fact
+        # Only after a failure; facts are known by the ids of the raw rows of the batch.
+        lines = [self.tables.read_batch("expenses_line", b).select("id") for b in begun]
+        return fact.join(reduce(DataFrame.unionByName, lines).distinct(), "id", "left_anti")
 
     def accounts(self) -> DataFrame:
         return self.tables.read("dim_account")
 
     def import_log(self) -> DataFrame:
+        return self.tables.read("integrity_file_imported", self._open())
+
+    def _open(self) -> list[str]:
+        """Batches that have not ended, from the catalog alone; none unless a job runs or has failed."""
+        return sorted(self.tables.batches("open_batch"))
+
+    def _lines(self) -> DataFrame:
+        return self.tables.read("expenses_line")
+
+    def _facts(self) -> DataFrame:
+        return self.tables.read("fct_expense")
+
+    def _log(self) -> DataFrame:
         return self.tables.read("integrity_file_imported")
 
+    @contextmanager
+    def _batch(self, batch_id: str) -> Iterator[None]:
+        """Writes in here show up together: readers see them when the mark is taken away, which comes
+        last. After a failure the mark stays until a repeat of the batch has ended. The jobs
+        themselves check against all rows that are stored, those of open batches included."""
+        if not self.tables.has_batch("open_batch", batch_id):
+            begun = self.spark.range(1).select(F.current_timestamp().alias("begun"))
+            self.tables.write_batch("open_batch", begun, batch_id)
+        yield
+        self.tables.drop_batch("open_batch", batch_id)
+
     # -- writing ---------------------------------------------------------------------------
 
     def add_accounts(self, candidates: DataFrame) -> None:
@@ -101,13 +137,22 @@ class Ledger:
         batch_id = batch_id or _new_batch()
         if "id" in rows.columns and not self.tables.has_batch("expenses_line", batch_id):
             self._check_ids(rows)
-        self._land(to_expenses_line(rows), batch_id)
-        self.sync_fact(batch_id)
+        with self._batch(batch_id):
+            self._land(to_expenses_line(rows), batch_id)
+            self.sync_fact(batch_id)
         return batch_id
 
     def _check_ids(self, rows: DataFrame) -> None:
         ids = rows.select("id")
-        known = seen_before(self.expenses().select("id"), ids, ["id"])
+        if self.keep_indexes:
+            # Only the batches that may hold one of the ids are read, one partition each.
+            hits = materialize(may_be_known(ids, self.tables.read("id_word")), "id-hits")
+            batches = [r["batch_id"] for r in hits.select("batch_id").distinct().collect()]
+            stored = self.spark.table(f"{self.tables.database}.expenses_line")
+            own = stored.filter(F.col("batch_id").isin(batches)).select("id", "batch_id")
+            known = own.join(hits, ["id", "batch_id"], "left_semi")
+        else:
+            known = seen_before(self._lines().select("id"), ids, ["id"])
         if not key_violations(ids, ["id"]).isEmpty() or not known.isEmpty():
             raise ValueError("the rows bring ids that are missing, repeated or known already")
 
@@ -125,9 +170,10 @@ class Ledger:
 
         A repeat after an interruption adds the facts that are missing."""
         if self.tables.has_batch("expenses_line", "seed"):
-            self.sync_fact("seed")
+            with self._batch("seed"):
+                self.sync_fact("seed")
             return False
-        if not self.expenses().isEmpty():
+        if not self._lines().isEmpty():
             return False
         self.insert(read_csv(self.spark, path), "seed")
         return True
@@ -135,7 +181,7 @@ class Ledger:
     def refresh_fact(self) -> None:
         """Rebuild the whole fact table; all clock columns are stamped anew."""
         self._fresh.clear()
-        self.tables.swap_fact(build_fact(self.expenses(), self.as_of))
+        self.tables.swap_fact(build_fact(self._lines(), self.as_of))
 
     def refresh_mart(self) -> DataFrame:
         """Compute all KPIs from the fact table and store them; readers see the old ones until the
@@ -157,11 +203,11 @@ class Ledger:
             self._fresh.discard(batch_id)
             self.tables.add_facts(build_fact(lines, self.as_of))
         elif batch_id is None:
-            missing = new_facts(self.expenses(), self.fact(), self.as_of, small_batch=False)
+            missing = new_facts(self._lines(), self._facts(), self.as_of, small_batch=False)
             self.tables.add_facts(missing)
         else:
             lines = self.tables.read_batch("expenses_line", batch_id)
-            missing = new_facts(lines, self.fact(), self.as_of)
+            missing = new_facts(lines, self._facts(), self.as_of)
             self.tables.add_facts(missing)
         if self.keep_mart:
             if batch_id is None:
@@ -178,6 +224,8 @@ class Ledger:
 
     def _index_keys(self, batch_id: str) -> None:
         if not self.tables.has_batch("fact_key", batch_id):
+            lines = self.tables.read_batch("expenses_line", batch_id)
+            self.tables.write_batch("id_word", filter_of(lines), batch_id)
             keys = keys_of(self._batch_facts(batch_id), self.tables.buckets("fact_key"))
             self.tables.write_batch("fact_key", keys, batch_id)
 
@@ -227,7 +275,7 @@ class Ledger:
         named = [(r["day"], r["day_rows"], r["splits"]) for r in busy]
         days = local_frame(self.spark, named, "day date, day_rows bigint, splits int")
         dated = [r["day"] for r in busy if r["day"] is not None]
-        facts = self.fact().select("expense_date", "year", "id", AMOUNT)
+        facts = self._facts().select("expense_date", "year", "id", AMOUNT)
         here = F.col("expense_date").isin(dated) & F.col("year").isin(sorted({d.year for d in dated}))
         if len(dated) < len(busy):
             here = here | F.col("expense_date").isNull()
@@ -283,14 +331,18 @@ class Ledger:
         """The KPIs as ``plans.mart.read_kpi`` reads them, merged from the cells that the imports
         stored; the fact table is not read. With ``years``, over the expenses of these years, and no
         other year's cells are read."""
-        own, top = self._cells(), self._top()
+        seen = ~F.col("batch_id").isin(self._open())
+        own, top = self._cells().filter(seen), self._top().filter(seen)
         if years is not None:
             own, top = own.filter(F.col("year").isin(list(years))), top.filter(F.col("year").isin(list(years)))
         return cells.mart_of(own, top, self.accounts())
 
     def cumulative(self, start: str | dt.date | None = None, end: str | dt.date | None = None) -> DataFrame:
         """KPI 10, one row per expense in date order, from stored totals of the days: only the facts
-        from ``start`` to ``end`` are read, and their total still counts all that came before."""
+        from ``start`` to ``end`` are read, and their total still counts all that came before. While
+        a batch is open, its part in the stored totals is not told apart, and all facts are read."""
+        if self._open():
+            return filter_expenses(cumulative_trend(self.fact()), filter_start_date=start, filter_end_date=end)
         rows = filter_expenses(self.fact(), filter_start_date=start, filter_end_date=end)
         starts = cells.running_starts(self._cells(), self.tables.read("day_split"))
         total = running_total(
@@ -308,24 +360,30 @@ class Ledger:
     ) -> DataFrame:
         """Import CSV files or directories of them; returns the report, one row per file.
 
-        A file is imported as a whole or not at all, see ``gate_files``. The files are stored with
-        the batch, and a repeat under its id must find the same ones: with others, or with some that
-        are missing or changed since, it raises ValueError.
+        A file is imported as a whole or not at all, see ``gate_files``. Whether its dates have the
+        day or the month first is told from all of them, see ``operators.date_order``. The files are
+        stored with the batch, and a repeat under its id must find the same ones: with others, or with
+        some that are missing or changed since, it raises ValueError.
         """
         batch_id = batch_id or _new_batch()
         found = find_files(self.spark, paths, check_line_breaks=check_line_breaks)
+        with self._batch(batch_id):
+            return self._import(found, batch_id, match, strict)
+
+    def _import(self, found: Sequence[CsvFile], batch_id: str, match: str, strict: bool) -> DataFrame:
         self._hold_files(found, batch_id)
         done = all(self.tables.has_batch(t, batch_id) for t in ("file_report", "expenses_line", "quarantine"))
         # Parsed once, for the checks, the rows that land and those that are turned away.
-        rows = None if done else materialize(read_files(self.spark, found), "parsed")
+        rows = orders = None
+        if not done:
+            rows, orders = self._in_order(materialize(read_files(self.spark, found), "parsed"))
         if not self.tables.has_batch("file_report", batch_id):
             files = file_frame(self.spark, found)
-            history = self.expenses() if any("id" in f.columns for f in found) else None
+            history = self._lines() if any("id" in f.columns for f in found) else None
             verdict = gate_files(
-                files, rows, self.import_log(), match, strict, history, self._name_index()
+                files, rows, self._log(), match, strict, history, self._name_index()
             )
-            report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
-            self.tables.write_batch("file_report", report, batch_id)
+            self._report_files(verdict, orders, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
         accepted = report.filter(F.col("status") == ACCEPTED)
         if rows is not None:
@@ -336,6 +394,23 @@ class Ledger:
         self.sync_fact(batch_id)
         return report
 
+    def _in_order(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows with dates that all steps read alike, and the order of day and month by file."""
+        if "date" not in rows.columns:
+            return rows, None
+        orders = materialize(date_orders(rows), "date-orders")
+        if orders.filter(F.col("date_order") == DAY_FIRST).isEmpty():
+            return rows, orders
+        return materialize(with_month_first(rows, orders), "dated"), orders
+
+    def _report_files(self, verdict: DataFrame, orders: DataFrame | None, batch_id: str) -> None:
+        report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
+        if orders is None:
+            report = report.withColumn("date_order", F.lit(None).cast("string"))
+        else:
+            report = report.join(orders.select("file", "date_order"), "file", "left")
+        self.tables.write_batch("file_report", report, batch_id)
+
     def quarantine(self) -> DataFrame:
         """Rows of rejected files as text, with ``error_field``, ``error_reason``, ``error_value``."""
         return self.tables.read("quarantine")
@@ -377,10 +452,17 @@ class Ledger:
 
         A repeat under the id of a batch with another name raises ValueError."""
         batch_id = batch_id or _new_batch()
+        with self._batch(batch_id):
+            return self._import_frame(rows, filename, batch_id, match, strict)
+
+    def _import_frame(
+        self, rows: DataFrame, filename: str, batch_id: str, match: str, strict: bool
+    ) -> DataFrame:
         rows = normalize_header(rename_form_labels(rows))
         missing = missing_columns(rows.columns)
         has_id = "id" in rows.columns
         rows = rows.withColumns({"file": F.lit(filename), "has_id": F.lit(has_id)})
+        rows, orders = self._in_order(rows)
         held = local_frame(self.spark, [(filename, None)], "file string, arrival bigint")
         if not self.tables.has_batch("batch_file", batch_id):
             self.tables.write_batch("batch_file", held, batch_id)
@@ -392,12 +474,11 @@ class Ledger:
                 [(filename, filename, 0, missing)],
                 "file string, filename string, arrival int, missing_columns array<string>",
             )
-            history = self.expenses() if has_id else None
+            history = self._lines() if has_id else None
             verdict = gate_files(
-                files, rows, self.import_log(), match, strict, history, self._name_index()
+                files, rows, self._log(), match, strict, history, self._name_index()
             )
-            report = verdict.withColumn("imported_as", F.col("imported_as.filename"))
-            self.tables.write_batch("file_report", report, batch_id)
+            self._report_files(verdict, orders, batch_id)
         report = self.tables.read_batch("file_report", batch_id)
         accepted = report.filter(F.col("status") == ACCEPTED)
         self._hold_back(rows, report, batch_id, strict)
@@ -463,15 +544,16 @@ class Ledger:
             if self.keep_indexes:
                 verdict = judge_rows(staged, self.tables.read("fact_key"), "_order", matching_keys)
             else:
-                verdict = judge_rows(staged, self.fact(), "_order")
+                verdict = judge_rows(staged, self._facts(), "_order")
             report = verdict.withColumn("duplicate_of", F.col("duplicate_of.id"))
             self.tables.write_batch("submission_report", report, batch_id)
         report = self.tables.read_batch("submission_report", batch_id)
         passed = report.filter(F.col("status") == ACCEPTED)
         rows = passed.withColumnsRenamed({s: f for f, s in stored.items()})
         rows = rows.select(F.col("submission_id").alias("id"), *FORM_FIELDS)
-        self._land(to_expenses_line(rows), batch_id)
-        self.sync_fact(batch_id)
+        with self._batch(batch_id):
+            self._land(to_expenses_line(rows), batch_id)
+            self.sync_fact(batch_id)
         return report
 
     def export(self, directory: str, format: str = "csv") -> dict[str, str]:

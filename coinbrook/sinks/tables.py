@@ -61,6 +61,11 @@ STORED = {
         ),
         "batch_id",
     ),
+    # Batches that have begun and not ended; readers pass over their rows.
+    "open_batch": (
+        T.StructType([T.StructField("begun", T.TimestampType()), _BATCH]),
+        "batch_id",
+    ),
     "batch_file": (
         T.StructType(
             [T.StructField("file", T.StringType()), T.StructField("arrival", T.LongType()), _BATCH]
@@ -78,6 +83,7 @@ STORED = {
                 T.StructField("bad_dates", T.LongType()),
                 T.StructField("errors", T.ArrayType(T.StringType())),
                 T.StructField("imported_as", T.StringType()),
+                T.StructField("date_order", T.StringType()),
                 _BATCH,
             ]
         ),
@@ -173,6 +179,10 @@ INDEX_STORED = {
         T.StructType([T.StructField("key_text", _TEXT), T.StructField("record", _RECORD), _BATCH]),
         "batch_id",
     ),
+    "id_word": (
+        _struct(("words", _LONG), ("word", _LONG), ("bits", _LONG), ("batch_id", _TEXT)),
+        "batch_id",
+    ),
     "log_gram": (
         T.StructType(
             [
@@ -254,9 +264,12 @@ class LedgerTables:
         listed = {t.name for t in self.spark.catalog.listTables(self.database)}
         return [t for t in USER_TABLES if t in listed]
 
-    def read(self, table: str) -> DataFrame:
-        """A whole table: the documented columns of a user table, all columns of the others."""
+    def read(self, table: str, without: Sequence[str] = ()) -> DataFrame:
+        """A whole table, but for the partitions of the batches ``without``: the documented columns of
+        a user table, all columns of the others."""
         frame = self.spark.table(self._name(table))
+        if without:
+            frame = frame.filter(~F.col("batch_id").isin(list(without)))
         return frame.select(*USER_TABLES[table]) if table in USER_TABLES else frame
 
     def read_batch(self, table: str, batch_id: str) -> DataFrame:
@@ -327,6 +340,37 @@ class LedgerTables:
         if old > 1:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(f'kpi_mart_v{old - 1}')}")
 
+    def path(self, table: str) -> str:
+        """The folder of a table."""
+        rows = self.spark.sql(f"DESCRIBE EXTENDED {self._name(table)}").collect()
+        return next(r["data_type"] for r in rows if r["col_name"] == "Location")
+
+    def read_live(self, epoch: int) -> DataFrame | None:
+        """The live KPIs before a micro-batch; None before the first."""
+        # The micro-batch is repeated if its version is there already; it starts from the one before.
+        version = min(self.version("live_kpi"), epoch)
+        return self.spark.table(self._name(f"live_kpi_v{version}")) if version else None
+
+    def swap_live(self, kpis: DataFrame, epoch: int) -> None:
+        """Write the live KPIs after a micro-batch, then let the view ``live_kpi`` point to them."""
+        version = epoch + 1
+        table = self._name(f"live_kpi_v{version}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        kpis.coalesce(1).write.format("parquet").saveAsTable(table)
+        self.spark.sql(
+            f"CREATE OR REPLACE VIEW {self._name('live_kpi')} "
+            f"TBLPROPERTIES ('version' = '{version}') AS SELECT * FROM {table}"
+        )
+        if version > 2:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(f'live_kpi_v{version - 2}')}")
+
+    def drop_live(self) -> None:
+        """Forget the live KPIs, for a stream that starts anew."""
+        version = self.version("live_kpi")
+        self.spark.sql(f"DROP VIEW IF EXISTS {self._name('live_kpi')}")
+        for old in range(max(1, version - 1), version + 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(f'live_kpi_v{old}')}")
+
     def swap_fact(self, fact: DataFrame) -> None:
         """Write a whole new fact table, then let the view ``fct_expense`` point to it.
 
