@@ -43,6 +43,31 @@ FROM d
 WINDOW g AS (PARTITION BY text)
 """
 
+#: All pairs that share a run of four words are compared, and links are followed to their ends.
+OP6 = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+    SELECT x, y FROM pairs JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+    WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach AS r JOIN edges AS e ON r.y = e.x),
+least_of AS (SELECT x, least(x, min(y)) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON x = d.doc_id
+"""
+
 #: Of equal payloads of at least 100 bytes, the smallest page_id is the response.
 OP9 = """
 WITH p AS (
@@ -146,6 +171,7 @@ FROM d LEFT JOIN by_text USING (r)
 ORACLE_SQL = {
     "op1_decontamination": OP1,
     "op2_exact_dedup": OP2,
+    "op6_near_dedup": OP6,
     "op9_warc": OP9,
     "op11_vector_codes": OP11,
     "op12_licenses": OP12,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coinbrook.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup
+from coinbrook.llm import line_dedup
 
 NAMES = (
     "_text _dropped __dropped _id _removed _rows _stays _key _repeated _hash _size _payload row key label payload "
@@ -16,24 +16,14 @@ NAMES = (
 @pytest.fixture(scope="module")
 def both(spark, sf):
     """A part of the documents, alone and with all these columns."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 40")
     # Both come from files, so that nothing is told by the way the table was made.
     extra = docs.withColumns({name: F.concat(F.lit(f"{name} "), F.col("doc_id")) for name in NAMES})
     return docs, extra
 
 
-def benchmark(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet")
-
-
-STEPS = {
-    "keep_identified": lambda spark, docs, sf: language_id.keep_identified(docs),
-    "drop_copies": lambda spark, docs, sf: exact_dedup.drop_copies(docs),
-    "drop_near_copies": lambda spark, docs, sf: near_dedup.drop_near_copies(docs),
-    "drop_contaminated": lambda spark, docs, sf: decontaminate.drop_contaminated(docs, benchmark(spark, sf)),
-    "drop_repeated_lines": lambda spark, docs, sf: line_dedup.drop_repeated_lines(docs),
-    "sample_mix": lambda spark, docs, sf: mixing.sample_mix(docs),
-} | {f"stage {name}": stage for name, stage in corpus_pipeline.STAGES}
+#: Each stage of the pipeline is one of the keep, drop and sample functions.
+STEPS = dict(corpus_pipeline.STAGES) | {"lines": lambda spark, docs, sf: line_dedup.drop_repeated_lines(docs)}
 
 
 @pytest.mark.parametrize("name", list(STEPS))

@@ -42,4 +42,4 @@ def test_stages_accept_no_documents(spark, sf):
 
 def test_every_operator_is_registered():
     names = list(entry_points.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names

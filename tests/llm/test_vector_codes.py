@@ -7,12 +7,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from oracle_compare import duck, duck_rows, spark_rows
 
 from coinbrook.llm import cover_tree as ct
 from coinbrook.llm import vector_codes as vc
-from coinbrook.llm.oracle import ORACLE_SQL
-from coinbrook.llm.queries import registered
 
 
 def plain(rows, parts, entries, rounds, scale):
@@ -75,11 +72,6 @@ def test_equals_plain_rounds(spark, name):
     assert books == want_books
 
 
-def test_sql(spark, sf):
-    name = "op11_vector_codes"
-    assert spark_rows(registered()[name](spark, sf)) == duck_rows(duck(sf), ORACLE_SQL[name])
-
-
 def test_label_errors_and_clashing_names(spark):
     rows = [(i, v, None if i % 3 else i % 2, 1, 2, 3) for i, v in vectors(40, 8, 7)]
     names = "vec_id int, embedding array<float>, label int, error int, row int, of_label int"
