@@ -452,6 +452,20 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS date,
        'Uncategorized' AS category, o_totalprice AS amount, o_orderstatus AS from_account,
        'c' || CAST(o_custkey AS VARCHAR) AS towards
 FROM orders""",
+    "ledger_submitted": f"""WITH {SUBMISSIONS},
+ranked AS (
+  SELECT *, row_number() OVER (
+           PARTITION BY day, lower(description), number, category, from_account, towards
+           ORDER BY entry) AS place
+  FROM verdicts WHERE reason IS NULL)
+SELECT day AS date, description, category, number AS amount, from_account, towards
+FROM ranked WHERE place = 1""",
+    "ledger_export": """
+SELECT 'export_' || name || '_2026_01_01.' || kind AS export, rows AS row_count, rows AS ids
+FROM (SELECT unnest(['csv', 'parquet']) AS kind),
+     (SELECT 'expenses_line' AS name, count(*) AS rows FROM orders
+      UNION ALL SELECT 'fct_expense', count(*) FROM orders
+      UNION ALL SELECT 'dim_account', 4 UNION ALL SELECT 'integrity_file_imported', 0)""",
     "ledger_log": f"""WITH {FILE_GATE}
 SELECT file AS filename, '2026-01-01' AS date_imported,
        CAST(row_count AS INTEGER) AS no_of_rows_imported
@@ -511,3 +525,6 @@ FROM fact WHERE year IS NOT NULL GROUP BY year, month, month_year_marker""",
 
 ORACLE_SQL["dup_vs_fact_bucketed"] = ORACLE_SQL["dup_vs_fact"]
 ORACLE_SQL["file_imported_indexed"] = ORACLE_SQL["file_already_imported"]
+for _name in ("ledger_frame", "ledger_seed", "ledger_stream"):
+    ORACLE_SQL[_name] = ORACLE_SQL["ledger_import"]
+ORACLE_SQL["ledger_submit"] = ORACLE_SQL["row_gate"]

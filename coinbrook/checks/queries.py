@@ -35,6 +35,7 @@ from coinbrook.plans.mart import KPI_KEYS, kpi_mart, read_kpi
 from coinbrook.session import tune
 from coinbrook.sinks.scratch import materialize, scratch_path
 from coinbrook.streaming import live_kpis
+from coinbrook.streaming.continuous import import_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,9 +264,9 @@ def ledger_fact(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.fact().drop("last_modified_at")
 
 
-def ledger_import(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders written as CSV files and imported as such: the raw rows that arrive."""
-    orders = a.table(spark, sf, "orders").select(
+def _order_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders under the labels of a file, with quotes and line breaks in a cell."""
+    return a.table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_orderdate").cast("date").alias("Date"),
         F.concat(F.lit('say "'), "o_orderpriority", F.lit('", or\nnot')).alias("Description"),
@@ -273,13 +274,80 @@ def ledger_import(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("From Account"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("To Account"),
     )
+
+
+def _order_files(spark: SparkSession, sf: str) -> str:
+    """The same, written as CSV files."""
     path = scratch_path(spark, "landing")
-    orders.write.option("header", True).option("escape", '"').csv(path)
+    _order_entries(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def ledger_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as CSV files and imported as such: the raw rows that arrive."""
+    ledger = _new_ledger(spark)
+    ledger.import_files([_order_files(spark, sf)], "orders")
+    return ledger.expenses()
+
+
+def ledger_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders imported as a frame under the checks for a file."""
+    ledger = _new_ledger(spark)
+    ledger.import_frame(_order_entries(spark, sf).withColumn("Date", F.col("Date").cast("string")), "orders.csv")
+    return ledger.expenses()
+
+
+def ledger_seed(spark: SparkSession, sf: str) -> DataFrame:
+    """An empty ledger filled from CSV files; a second seed adds nothing."""
     ledger = _new_ledger(spark)
-    ledger.import_files([path], "orders")
+    path = _order_files(spark, sf)
+    ledger.seed(path)
+    ledger.seed(path)
+    return ledger.expenses()
+
+
+def ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The CSV files imported by a stream over their folder, which is run twice."""
+    ledger, path, checkpoint = _new_ledger(spark), _order_files(spark, sf), scratch_path(spark, "stream")
+    for _ in range(2):
+        import_stream(ledger, path, checkpoint, files_per_batch=4).awaitTermination()
     return ledger.expenses()
 
 
+def ledger_submit(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of the form submitted to a ledger that holds the events: the report."""
+    ledger = _new_ledger(spark)
+    ledger.insert(a.event_expenses(spark, sf), "events")
+    report = ledger.submit_rows(a.submissions(spark, sf), "entries")
+    return report.select("entry", "status", "error_field", "duplicate_of")
+
+
+def ledger_submitted(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw rows that come of the accepted entries; each has an id of its own."""
+    ledger = _new_ledger(spark)
+    ledger.submit_rows(a.submissions(spark, sf), "entries")
+    rows = ledger.expenses()
+    ids = rows.groupBy("id").count().filter("count > 1 or id is null")
+    return rows.join(ids.select("id"), "id", "left_anti").drop("id")
+
+
+def ledger_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and sums of the exported tables, read back from both formats, by the name of the export."""
+    ledger = _new_ledger(spark)
+    ledger.insert(a.order_expenses(spark, sf), "orders")
+    found = None
+    for kind in ("csv", "parquet"):
+        for path in ledger.export(scratch_path(spark, "export"), kind).values():
+            read = spark.read.option("header", True).csv(path) if kind == "csv" else spark.read.parquet(path)
+            rows = read.agg(
+                F.lit(path.rsplit("/", 1)[-1]).alias("export"),
+                F.count("*").alias("row_count"),
+                F.count_if(F.col(read.columns[0]).isNotNull()).alias("ids"),
+            )
+            found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def ledger_log(spark: SparkSession, sf: str) -> DataFrame:
     """The stored import log of the accepted files."""
     ledger = _new_ledger(spark)
@@ -439,6 +507,12 @@ QUERIES: dict[str, Query] = {
     "ledger_raw": ledger_raw,
     "ledger_fact": ledger_fact,
     "ledger_import": ledger_import,
+    "ledger_frame": ledger_frame,
+    "ledger_seed": ledger_seed,
+    "ledger_stream": ledger_stream,
+    "ledger_submit": ledger_submit,
+    "ledger_submitted": ledger_submitted,
+    "ledger_export": ledger_export,
     "ledger_log": ledger_log,
     "mart_incremental": mart_incremental,
     "mart_kept_others": mart_kept_others,

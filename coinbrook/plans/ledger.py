@@ -558,5 +558,10 @@ class Ledger:
 
     def export(self, directory: str, format: str = "csv") -> dict[str, str]:
         """Write the user tables to CSV or Parquet; returns the path of each."""
-        tables = {name: self.tables.read(name) for name in self.tables.names()}
+        shown = {
+            "expenses_line": self.expenses,
+            "fct_expense": self.fact,
+            "integrity_file_imported": self.import_log,
+        }
+        tables = {n: shown[n]() if n in shown else self.tables.read(n) for n in self.tables.names()}
         return export_tables(tables, directory, format, self.as_of)

@@ -7,6 +7,7 @@ import pytest
 
 from coinbrook.operators.id_filter import filter_of, may_be_known
 from coinbrook.plans.ledger import Ledger
+from coinbrook.plans.mart import read_kpi
 from coinbrook.sinks.tables import LedgerTables
 
 AS_OF = dt.datetime(2026, 1, 2)
@@ -26,19 +27,15 @@ def line(id_, day=1):
 
 
 def seen(ledger):
-    mart = sorted(map(repr, ledger.kept_mart().collect()))
-    rows = [sorted(map(repr, f.collect())) for f in (ledger.expenses(), ledger.fact(), ledger.import_log(), ledger.cumulative())]
-    return [*rows, mart]
+    frames = (ledger.expenses(), ledger.fact(), ledger.import_log())
+    return [*(f.count() for f in frames), read_kpi(ledger.kept_mart(), "headline").collect()]
 
 
+#: The writes that readers could see a part of, in order, and the mark at the end.
 STEPS = [
-    ("write_batch", "file_report"),
-    ("write_batch", "quarantine"),
     ("write_batch", "expenses_line"),
     ("write_batch", "integrity_file_imported"),
-    ("write_batch", "log_gram"),
     ("add_facts", None),
-    ("write_batch", "mart_cell"),
     ("write_batch", "mart_batch"),
     ("write_batch", "fact_key"),
     ("drop_batch", "open_batch"),
@@ -68,12 +65,14 @@ def stopped(spark, tmp_path_factory):
             with pytest.raises(RuntimeError, match="stopped"):
                 ledger.import_files([str(folder / "second.csv")], "second")
         states[step, table] = seen(ledger) == before
+    # The last of these has written all but the end, so the period's total reads the facts.
+    states["cumulative"] = [r.cumulative_amount for r in ledger.cumulative().collect()] == [1.0]
     ledger.import_files([str(folder / "second.csv")], "second")
     return ledger, states
 
 
 def test_a_reader_sees_none_of_a_batch_that_has_not_ended(stopped):
-    assert stopped[1] == dict.fromkeys(STEPS, True)
+    assert stopped[1] == dict.fromkeys([*STEPS, "cumulative"], True)
 
 
 def test_all_of_it_is_there_at_the_end(stopped):
