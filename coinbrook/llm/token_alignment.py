@@ -70,6 +70,9 @@ class Units:
         self.tokenizers = tokenizer(first), tokenizer(second)
         self.codes = ["H" if len(t.bytes) <= 1 << 16 else "I" for t in self.tokenizers]
         self.sizes = [np.array([len(b) for b in t.bytes], np.int64) for t in self.tokenizers]
+        #: The bytes of all ids one after the other, and where each begins.
+        self.tables = [np.frombuffer(b"".join(t.bytes), np.uint8) for t in self.tokenizers]
+        self.begins = [np.cumsum(s) - s for s in self.sizes]
         self._known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self._odd: set[str] = set()
         self._chars = 0
@@ -87,21 +90,37 @@ class Units:
             return
         spaced = [" " + u for u in new]
         self._chars += sum(map(len, spaced))
-        found = [t.encode(spaced) for t in self.tokenizers]
-        for own, code, ids in zip(self._known, self.codes, found):
-            own.update(zip(new, [array(code, one).tobytes() for one in ids]))
-        # One look at all of them; only if that fails, one at each.
-        if not all(self._given_back(spaced, k, ids) for k, ids in enumerate(found)):
-            same = [[self._given_back([t], k, [one]) for t, one in zip(spaced, ids)] for k, ids in enumerate(found)]
-            self._odd.update(u for u, a, b in zip(new, *same) if not (a and b))
-
-    def _given_back(self, texts: list[str], which: int, ids: list[list[int]]) -> bool:
-        own = [t.encode() for t in texts]
-        flat = list(chain.from_iterable(ids))
-        if b"".join(map(self.tokenizers[which].bytes.__getitem__, flat)) != b"".join(own):
+        same = True
+        for which, (known, code) in enumerate(zip(self._known, self.codes)):
+            ids = self.tokenizers[which].encode(spaced)
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+            same = same and self._given_back(spaced, which, counts, flat)
+            packed, width = flat.astype(code).tobytes(), np.dtype(code).itemsize
+            ends = (width * np.cumsum(counts)).tolist()
+            known.update(zip(new, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        if not same:
+            self._odd.update(u for u, text in zip(new, spaced) if not self._is_given_back(u, text))
+
+    def _given_back(self, texts: list[str], which: int, counts: np.ndarray, flat: np.ndarray) -> bool:
+        """Do the tokens of all texts have their bytes, and do they end where the texts end?"""
+        sizes, begins, table = self.sizes[which], self.begins[which], self.tables[which]
+        ends = np.cumsum(sizes[flat])
+        wanted = np.frombuffer("".join(texts).encode(), np.uint8)
+        if len(wanted) != (ends[-1] if len(ends) else 0):
             return False
-        ends = np.concatenate([[0], np.cumsum(self.sizes[which][flat])])
-        return bool((ends[np.cumsum([len(one) for one in ids])] == np.cumsum([len(b) for b in own])).all())
+        own = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+        if not np.array_equal(np.concatenate([[0], ends])[np.cumsum(counts)], np.cumsum(own)):
+            return False
+        places = np.repeat(begins[flat] - ends + sizes[flat], sizes[flat]) + np.arange(len(wanted))
+        return np.array_equal(table[places], wanted)
+
+    def _is_given_back(self, unit: str, text: str) -> bool:
+        own = text.encode()
+        return all(
+            b"".join([t.bytes[k] for k in np.frombuffer(known[unit], code)]) == own
+            for t, known, code in zip(self.tokenizers, self._known, self.codes)
+        )
 
     def ids(self, units: list[str]) -> tuple[bytes, bytes] | None:
         """The ids of neighbouring units, which must be known; None if one of them is odd."""

@@ -180,6 +180,13 @@ def test_wide_groups(placed, monkeypatch):
     assert (own.links_of_group > 1).any()
 
 
+def test_odd_units_leave_the_others_alone():
+    store = ta.Units(ta.FIRST, ta.SECOND)
+    store.learn({"fine", "od▁d", "größe", "日本"})
+    assert store.ids(["fine", "größe", "日本"]) is not None and store.ids(["fine", "od▁d"]) is None
+    assert store._odd == {"od▁d"}
+
+
 def test_long_text_is_spread_over_tasks(spark, placed):
     text = " ".join(f"word{k} of" for k in range(400))
     frame = placed([text])
