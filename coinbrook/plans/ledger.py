@@ -118,7 +118,8 @@ class Ledger:
         """Writes in here show up together: readers see them when the mark is taken away, which comes
         last. After a failure the mark stays until a repeat of the batch has ended. The jobs
         themselves check against all rows that are stored, those of open batches included."""
-        if not self.tables.has_batch("open_batch", batch_id):
+        # One that has ended stays in sight, whatever comes of its repeat.
+        if not self.tables.has_batch("expenses_line", batch_id):
             begun = self.spark.range(1).select(F.current_timestamp().alias("begun"))
             self.tables.write_batch("open_batch", begun, batch_id)
         yield
@@ -367,11 +368,11 @@ class Ledger:
         """
         batch_id = batch_id or _new_batch()
         found = find_files(self.spark, paths, check_line_breaks=check_line_breaks)
+        self._hold_files(found, batch_id)
         with self._batch(batch_id):
             return self._import(found, batch_id, match, strict)
 
     def _import(self, found: Sequence[CsvFile], batch_id: str, match: str, strict: bool) -> DataFrame:
-        self._hold_files(found, batch_id)
         done = all(self.tables.has_batch(t, batch_id) for t in ("file_report", "expenses_line", "quarantine"))
         # Parsed once, for the checks, the rows that land and those that are turned away.
         rows = orders = None
