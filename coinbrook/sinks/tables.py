@@ -356,7 +356,8 @@ class LedgerTables:
         version = epoch + 1
         table = self._name(f"live_kpi_v{version}")
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        kpis.coalesce(1).write.format("parquet").saveAsTable(table)
+        # A shuffle: with coalesce, all tasks before it would run as one.
+        kpis.repartition(1).write.format("parquet").saveAsTable(table)
         self.spark.sql(
             f"CREATE OR REPLACE VIEW {self._name('live_kpi')} "
             f"TBLPROPERTIES ('version' = '{version}') AS SELECT * FROM {table}"

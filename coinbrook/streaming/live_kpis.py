@@ -17,6 +17,7 @@ from coinbrook.plans.kpis import AMOUNT
 from coinbrook.plans.ledger import Ledger
 from coinbrook.plans.mart import KPI_KEYS
 from coinbrook.schemas import EXPENSES_LINE
+from coinbrook.sinks.scratch import materialize
 
 #: KPIs that the stream keeps, with their group keys.
 LIVE_KPIS = {name: KPI_KEYS[name] for name in ("category", "monthly")}
@@ -63,7 +64,8 @@ def kpi_stream(
         changed = changed.select(
             "kpi", *LIVE_KEYS, money_total(*[F.col(p) for p in _PARTS]).alias("total"), "transactions"
         )
-        changed = changed.withColumn("_group", F.struct("kpi", *LIVE_KEYS))
+        # Stored, so that the state is read and written once, each of its partitions in a task of its own.
+        changed = materialize(changed, "changed").withColumn("_group", F.struct("kpi", *LIVE_KEYS))
         before = ledger.tables.read_live(epoch)
         if before is not None:
             older = before.withColumn("_group", F.struct("kpi", *LIVE_KEYS))

@@ -72,3 +72,18 @@ def test_starting_anew(ledger, frame, tmp_path):
     ledger.tables.drop_live()
     kpi_stream(ledger, f"{tmp_path}/two").awaitTermination()
     agrees(ledger)
+
+
+def test_state_is_not_gathered_in_one_task(ledger, frame, tmp_path, monkeypatch):
+    """What is stored for readers comes from the stored result of a micro-batch, not from the state."""
+    plans, swap = [], ledger.tables.swap_live
+
+    def noted(kpis, epoch):
+        plans.append(kpis._jdf.queryExecution().executedPlan().toString())
+        swap(kpis, epoch)
+
+    monkeypatch.setattr(ledger.tables, "swap_live", noted)
+    ledger.insert(frame(rows(1), LINES))
+    kpi_stream(ledger, f"{tmp_path}/check").awaitTermination()
+    assert plans and not any("StateStore" in plan for plan in plans)
+    agrees(ledger)
