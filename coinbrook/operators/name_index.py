@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coinbrook.operators.file_names import ESCAPE, longest_part
+from coinbrook.operators.file_names import find_logged, longest_part
+from coinbrook.sinks.scratch import materialize
 
 GRAM = 3
 PARTS = 64
@@ -43,7 +44,8 @@ def postings(log: DataFrame, info: list[str]) -> DataFrame:
 def find_indexed(names: DataFrame, index: DataFrame) -> DataFrame:
     """As ``file_names.find_logged`` with ``match="contains"``, from stored postings.
 
-    Runs a job that finds the partitions of the names' runs, at most ``PARTS`` numbers.
+    Runs a job that finds the partitions of the names' runs, at most ``PARTS`` numbers, and one that
+    stores the run of each name.
     """
     parts = names.select("filename").distinct().withColumn("_longest", longest_part(F.split("filename", "[_%]")))
     # A part that is too short for a run is looked for in all names.
@@ -58,10 +60,13 @@ def find_indexed(names: DataFrame, index: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("names"), "gram", "part")).alias("_run")
     )
     # A name that has a run which no logged name holds is in none of them.
-    chosen = rarest.filter("_run.names > 0").select("filename", "_run.gram", "_run.part")
-    whole_rule = F.expr(f"_logged LIKE concat('%', filename, '%') ESCAPE '{ESCAPE}'")
-    pairs = chosen.join(own, ["part", "gram"]).filter(whole_rule)
-    first = pairs.groupBy("filename").agg(F.min("record").alias("hit"))
+    chosen = materialize(rarest.filter("_run.names > 0").select("filename", "_run.gram", "_run.part"), "runs")
+    # Names that share a run meet its logged names once, not each of them; of these, the lookup by whole
+    # parts finds the pairs.
+    meeting = own.join(chosen.select("part", "gram").distinct(), ["part", "gram"], "left_semi")
+    logged = meeting.groupBy("_logged").agg(F.min("record").alias("record"))
+    first = find_logged(chosen.select("filename"), logged.withColumnRenamed("_logged", "filename"), ["record"])
+    first = first.filter("hit is not null").select("filename", F.col("hit.record").alias("hit"))
     keyed = first.withColumn("_hash", F.xxhash64("filename"))
     rows = names.withColumn("_hash", F.xxhash64("filename"))
     return rows.join(keyed, ["filename", "_hash"], "left").drop("_hash")

@@ -137,3 +137,17 @@ def test_copies_collapse_in_the_history(frame):
         AS_OF,
     )
     assert [r.record.id for r in keys_of(fact, 3).collect()] == ["i0"]
+
+
+def test_names_with_a_common_run_meet_its_logged_names_once(frame):
+    """No join of each name with all logged names of its run."""
+    logged = [(f"l{n}", None, f"menu_{n}.csv", None, 1) for n in range(40)]
+    index = postings(frame(logged, LOG), LOG_ORDER)
+    names = frame([(f"u_{n}.csv",) for n in range(30, 50)], "filename string")
+    found = find_indexed(names, index)
+    plain_hits = find_logged(names, frame(logged, LOG), LOG_ORDER)
+    got = {r.filename: r.hit and r.hit.id for r in found.collect()}
+    assert got == {r.filename: r.hit and r.hit.id for r in plain_hits.collect()}
+    assert got["u_31.csv"] == "l31" and got["u_45.csv"] is None
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if "Join Inner" in line and "gram#" in line]
