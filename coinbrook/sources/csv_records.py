@@ -58,8 +58,15 @@ def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
     # A line either settles the state (same result in both cases), or keeps or flips it.
     lines = _settle(lines, F.col("_if_closed"), F.col("_if_open"), within)
-    blocks = lines.groupBy("file", "block").agg(
-        F.max_by("_settled", "line").alias("_settled"), F.max_by("_flips", "line").alias("_flips")
+    # How many records begin in the block, in both cases.
+    begins = {
+        name: ~F.coalesce(F.lag(_resolve(F.lit(start))).over(within), F.lit(start))
+        for name, start in (("_if_closed_begin", False), ("_if_open_begin", True))
+    }
+    blocks = lines.withColumns(begins).groupBy("file", "block").agg(
+        F.max_by("_settled", "line").alias("_settled"),
+        F.max_by("_flips", "line").alias("_flips"),
+        *[F.count_if(F.col(name)).alias(name) for name in begins],
     )
     along = Window.partitionBy("file").orderBy("block")
     cases = blocks.select(
@@ -67,20 +74,48 @@ def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         "block",
         _resolve(F.lit(False)).alias("_if_closed"),
         _resolve(F.lit(True)).alias("_if_open"),
+        *begins,
     )
     chain = _settle(cases, F.col("_if_closed"), F.col("_if_open"), along)
-    opening = chain.withColumn("_open", _resolve(F.lit(False))).select(
-        "file", "block", F.coalesce(F.lag("_open").over(along), F.lit(False)).alias("_start_open")
+    chain = chain.withColumn("_ends_open", _resolve(F.lit(False))).withColumn(
+        "_start_open", F.coalesce(F.lag("_ends_open").over(along), F.lit(False))
     )
+    begun = F.when(F.col("_start_open"), F.col("_if_open_begin")).otherwise(F.col("_if_closed_begin"))
+    opening = chain.select("file", "block", "_start_open", "_ends_open", begun.alias("_begun"))
     state = lines.join(opening, ["file", "block"]).withColumn(
         "_open_after", _resolve(F.col("_start_open"))
     )
     state = state.withColumn(
         "_open_before", F.coalesce(F.lag("_open_after").over(within), F.col("_start_open"))
     )
-    # Used in several places below. Stored, so that the text is scanned twice in all.
-    columns = ["file", "block", "line", "value", "_open_before", "_open_after"]
-    return _assemble(materialize(state.select(*columns), "lines"), within, along)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = state.withColumn("_nth", F.count_if(~F.col("_open_before")).over(upto))
+    # Stored, so that the text is scanned twice in all.
+    return _assemble(materialize(_pieces(state), "pieces"), along)
+
+
+def _pieces(state: DataFrame) -> DataFrame:
+    """Records that lie in one block, put together where the lines of the block are, so that no text is
+    shuffled for it; of those that run over an end of the block (``over``), each line by itself.
+
+    ``line`` is the place of the first line. A line that goes on with a record of an earlier block
+    has no ``begins_at``.
+    """
+    over = (F.col("_nth") == 0) | (F.col("_ends_open") & (F.col("_nth") == F.col("_begun")))
+    alone = F.when(over, F.col("line"))
+    pieces = state.groupBy("file", "block", "_nth", alone.alias("_alone")).agg(
+        F.array_sort(F.collect_list(F.struct("line", "value"))).alias("_lines"),
+        F.max("_open_after").alias("_open_after"),
+    )
+    return pieces.select(
+        "file",
+        "block",
+        F.col("_lines")[0]["line"].alias("line"),
+        F.when(F.col("_nth") > 0, F.col("_nth")).alias("nth"),
+        F.col("_alone").isNotNull().alias("over"),
+        F.col("_open_after").alias("open_after"),
+        F.concat_ws("\n", "_lines.value").alias("record"),
+    )
 
 
 def _settle(rows: DataFrame, if_closed: Column, if_open: Column, order: Window) -> DataFrame:
@@ -99,19 +134,18 @@ def _resolve(start: Column) -> Column:
     return base != (changes % 2 == 1)
 
 
-def _assemble(state: DataFrame, within: Window, along: Window) -> DataFrame:
-    """Put the lines of each record together; a record is known by the place of its first line."""
-    place = F.struct("block", "line")
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = state.withColumn(
-        "_begin", F.last(F.when(~F.col("_open_before"), place), ignorenulls=True).over(upto)
-    )
-    # A cell may run over the end of a block: its record began in an earlier one.
+def _assemble(pieces: DataFrame, along: Window) -> DataFrame:
+    """Put the lines together of the records that run over the end of a block; a record is known by
+    its block and its number there."""
+    lines = pieces.filter("over")
+    begin = F.when(F.col("nth").isNotNull(), F.struct("block", "nth"))
     begins = lines.groupBy("file", "block").agg(
-        F.max("_begin").alias("_last"), F.max_by("_open_after", "line").alias("_ends_open")
+        F.max(begin).alias("_last"), F.max_by("open_after", "line").alias("_ends_open")
     )
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
+    # A block that ends open is followed by one that starts within a record, so that the last one here
+    # tells how the file ends.
     ends_open = F.max_by("_ends_open", "block").over(whole)
     carried = begins.select(
         "file",
@@ -119,30 +153,38 @@ def _assemble(state: DataFrame, within: Window, along: Window) -> DataFrame:
         F.last("_last", ignorenulls=True).over(before).alias("_carried"),
         F.when(ends_open, F.max("_last").over(whole)).alias("_tail"),
     )
-    lines = lines.join(carried, ["file", "block"]).withColumn(
-        "_begin", F.coalesce("_begin", "_carried")
-    )
+    lines = lines.join(carried, ["file", "block"]).withColumn("_begin", F.coalesce(begin, "_carried"))
     # From ``_tail`` to the end of the file, one cell is open. ``unclosed`` is no literal: an error
     # that a caller raises by it would be moved below the filter and hit every row.
     in_tail = F.col("_begin").eqNullSafe(F.col("_tail"))
-    tails = lines.filter(in_tail & (place == F.col("_tail"))).select(
-        "file", F.col("value").alias("record"), F.col("_tail").isNotNull().alias("unclosed")
+    tails = (
+        lines.filter(in_tail)
+        .groupBy("file")
+        .agg(
+            F.min_by("record", F.struct("block", "line")).alias("record"),
+            F.max(F.col("_tail").isNotNull()).alias("unclosed"),
+        )
     )
-    alone = ~F.col("_open_before") & ~F.col("_open_after")
-    single = lines.filter(alone).select("file", "_begin", F.col("value").alias("record"))
     joined = (
-        lines.filter(~alone & ~in_tail)
+        lines.filter(~in_tail)
         .groupBy("file", "_begin")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("_lines"))
-        .select("file", "_begin", F.concat_ws("\n", "_lines.value").alias("record"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "record"))).alias("_lines"))
+        .select(
+            "file",
+            F.col("_lines")[0]["block"].alias("block"),
+            F.col("_lines")[0]["line"].alias("line"),
+            F.concat_ws("\n", "_lines.record").alias("record"),
+        )
     )
+    single = pieces.filter("not over").select("file", "block", "line", "record")
     records = single.unionByName(joined).filter(F.col("record").rlike(r"\S"))
+    # One row per file, as many as the listing of the files has.
     header = (
-        lines.filter((F.col("block") == 0) & F.col("value").rlike(r"\S"))
-        .groupBy("file")
-        .agg(F.min(place).alias("_begin"))
+        pieces.filter((F.col("block") == 0) & F.col("record").rlike(r"\S"))
+        .groupBy("file", "block")
+        .agg(F.min("line").alias("line"))
     )
-    closed = records.join(header, ["file", "_begin"], "left_anti").select(
+    closed = records.join(F.broadcast(header), ["file", "block", "line"], "left_anti").select(
         "file", "record", F.lit(False).alias("unclosed")
     )
     return closed.unionByName(tails).withColumn("record", F.rtrim("record", F.lit("\r")))

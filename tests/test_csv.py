@@ -8,6 +8,7 @@ from coinbrook.functions.text import NA_TOKENS
 from coinbrook.operators.validation import check_file_rows
 from coinbrook.sources.csv_files import file_frame, find_files, read_csv, read_files
 from coinbrook.sources.csv_records import read_records
+from coinbrook.sources.csv_records import read_records
 
 HEADER = "Date,Description,Amount,From Account,To Account\n"
 
@@ -182,3 +183,12 @@ def test_read_csv_keeps_the_header(spark, tmp_path):
 def test_missing_file(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_csv(spark, str(tmp_path / "none.csv"))
+
+
+def test_text_of_whole_records_is_shuffled_once(spark, tmp_path):
+    """Records within one block are put together where they were read; no window over lines follows."""
+    write(tmp_path, "a.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    plan = read_records(spark, [str(tmp_path / "a.csv")])
+    assert sorted(r.record for r in plan.collect()) == ['1,"x\ny"', "2,z"]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in text.splitlines() if "Window [" in line and "line#" in line]
