@@ -176,7 +176,11 @@ class Ledger:
             return False
         if not self._lines().isEmpty():
             return False
-        self.insert(read_csv(self.spark, path), "seed")
+        rows = read_csv(self.spark, path)
+        if "id" in rows.columns:
+            # Parsed once, for the check of the ids and the rows that land.
+            rows = materialize(to_expenses_line(rows), "seed")
+        self.insert(rows, "seed")
         return True
 
     def refresh_fact(self) -> None:

@@ -371,3 +371,15 @@ def test_the_mart_is_swapped(ledger, frame):
     assert read_kpi(mart, "headline").collect()[0].total == 6.0
     assert [r.total for r in read_kpi(mart, "top").collect()] == [3.0, 2.0, 1.0]
     assert read_kpi(mart, "category").collect()[0].total == 6.0
+
+
+def test_a_seed_parses_its_file_once(ledger, tmp_path, monkeypatch):
+    folder = tmp_path / "once"
+    folder.mkdir()
+    header = "id,Date,Description,Amount,From Account,To Account"
+    (folder / "seed.csv").write_text(f"{header}\n7,2025-01-01,tea,1,n26,home\n")
+    taken, insert = [], Ledger.insert
+    monkeypatch.setattr(Ledger, "insert", lambda self, rows, batch: (taken.extend(rows.inputFiles()), insert(self, rows, batch)))
+    assert ledger.seed(str(folder / "seed.csv")) is True
+    assert taken and all(file.endswith(".parquet") for file in taken)
+    assert [(r.id, r.amount) for r in ledger.expenses().collect()] == [("7", 1.0)]
