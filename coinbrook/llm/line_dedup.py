@@ -13,8 +13,9 @@ A line is the set of its words. Two lines match when the Jaccard similarity of t
    rare, e + 2 otherwise: every match shares a key.
 4. *Length filter*, *positional filter* and a bound from parities are applied where lines meet under a
    key: the sizes must allow the similarity; so must the words that come after the shared one; and
-   the parities of the words' hashes over 64 bits can differ in no more places than the sets differ in
-   words.
+   the parities of the words' hashes can differ in no more places than the sets differ in words. They
+   have 64 places, and 128 where both lines have more than ``WIDE`` words, since 64 places of such
+   lines tell little.
 5. Under keys of up to ``GROUP`` lines all of them meet. Under a larger key, lines are compared with its
    earliest line first, which settles most; lines that have found no earlier match then are compared
    with all earlier lines of the key.
@@ -38,6 +39,8 @@ GROUP = 128
 #: Places of the table of levels, four bits each.
 PLACES = 1 << 18
 SETTLING_ROUNDS = 3
+#: Lines of more words have parities of 128 places.
+WIDE = 64
 #: Bits of a word's hash that stay beside its level.
 _HASH_BITS = 59
 
@@ -92,7 +95,9 @@ def level_table(lines: DataFrame) -> list[int]:
 
 
 def keys_of(lines: DataFrame, table: list[int]) -> DataFrame:
-    """``key``, ``at`` (place of the key's last word), ``set``, ``n`` and ``parity`` of the lines.
+    """``key``, ``at`` (place of the key's last word), ``set``, ``n``, ``parity`` and ``half`` of the lines.
+
+    ``half`` is the parity of the words in the second half of the 128 places, 0 for lines that are not wide.
 
     Lines of under four words match equal sets only, so their key is the whole set.
     """
@@ -106,15 +111,16 @@ def keys_of(lines: DataFrame, table: list[int]) -> DataFrame:
     # once, while Spark would put the text of a column wherever the column is used.
     steps = (
         f"""named_struct('w', w, 'n', size(w), 'a', size(filter(w, x -> x < {1 << _HASH_BITS}L)),
-            'parity', aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, int(x & 63L))))""",
-        "named_struct('w', w.w, 'n', w.n, 'a', w.a, 'parity', w.parity, 'e', w.n - (4 * w.n + 4) div 5)",
+            'parity', aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, int(x & 63L))),
+            'half', if(size(w) > {WIDE}, aggregate(w, 0L, (p, x) -> p ^ shiftleft(shiftright(x, 6) & 1L, int(x & 63L))), 0L))""",
+        "named_struct('w', w.w, 'n', w.n, 'a', w.a, 'parity', w.parity, 'half', w.half, 'e', w.n - (4 * w.n + 4) div 5)",
         # Places count from 1. Frequent words follow the rare ones.
-        """named_struct('w', w.w, 'n', w.n, 'parity', w.parity,
+        """named_struct('w', w.w, 'n', w.n, 'parity', w.parity, 'half', w.half,
             's', transform(slice(w.w, 1, least(w.a, w.e + 1)),
                 (x, i) -> named_struct('key', xxhash64(1, x), 'at', i + 1)),
             'f', if(w.a > w.e, array(), transform(slice(w.w, w.a + 1, w.e + 2 - w.a),
                 (x, i) -> named_struct('h', x, 'at', w.a + i + 1))))""",
-        """named_struct('n', w.n, 'parity', w.parity, 'keys', if(w.n < 4,
+        """named_struct('n', w.n, 'parity', w.parity, 'half', w.half, 'keys', if(w.n < 4,
             array(named_struct('key', xxhash64(3, w.w), 'at', w.n)),
             concat(w.s, flatten(transform(w.f, (x, i) -> transform(slice(w.f, i + 2, size(w.f)),
                 y -> named_struct('key', xxhash64(2, x.h, y.h), 'at', y.at)))))))""",
@@ -123,15 +129,21 @@ def keys_of(lines: DataFrame, table: list[int]) -> DataFrame:
     for step in steps:
         sql = f"transform({sql}, w -> {step})"
     found = lines.select("set", F.expr(sql.replace("transform(words,", f"transform({_WORDS},"))[0].alias("found"))
-    return found.select(F.inline("found.keys"), "set", "found.n", "found.parity")
+    return found.select(F.inline("found.keys"), "set", "found.n", "found.parity", "found.half")
+
+
+#: What a line brings to a key, besides the key.
+_OF_LINE = ("at", "set", "n", "parity", "half")
 
 
-def may_match(n1: str, at1: str, parity1: str, n2: str, at2: str, parity2: str) -> str:
-    """SQL: length filter, positional filter and the bound from parities."""
-    overlap = f"((4 * ({n1} + {n2}) + 8) div 9)"
-    return f"""5 * least({n1}, {n2}) >= 4 * greatest({n1}, {n2})
-        AND least({at1}, {at2}) + least({n1} - {at1}, {n2} - {at2}) >= {overlap}
-        AND bit_count({parity1} ^ {parity2}) <= {n1} + {n2} - 2 * {overlap}"""
+def may_match() -> str:
+    """SQL: length filter, positional filter and the bounds from parities, for a line and one with names in 2."""
+    overlap = "((4 * (n + n2) + 8) div 9)"
+    return f"""5 * least(n, n2) >= 4 * greatest(n, n2)
+        AND least(at, at2) + least(n - at, n2 - at2) >= {overlap}
+        AND bit_count(parity ^ parity2) <= n + n2 - 2 * {overlap}
+        AND (least(n, n2) <= {WIDE}
+            OR bit_count(half ^ half2) + bit_count(parity ^ half ^ parity2 ^ half2) <= n + n2 - 2 * {overlap})"""
 
 
 def _meetings(keys: DataFrame) -> DataFrame:
@@ -141,9 +153,8 @@ def _meetings(keys: DataFrame) -> DataFrame:
     """
     counted = keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
     small = counted.filter(F.col("c") <= GROUP).drop("c")
-    other = small.select("key", *[F.col(c).alias(f"{c}2") for c in ("at", "set", "n", "parity")])
-    fits = may_match("n", "at", "parity", "n2", "at2", "parity2")
-    pairs = small.join(other, "key").filter(F.expr(f"set < set2 AND {fits}"))
+    other = small.select("key", *[F.col(c).alias(f"{c}2") for c in _OF_LINE])
+    pairs = small.join(other, "key").filter(F.expr(f"set < set2 AND {may_match()}"))
     pairs = pairs.select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
     large = counted.filter(F.col("c") > GROUP).drop("c")
     return pairs.unionByName(large, allowMissingColumns=True)
@@ -153,7 +164,12 @@ def _meetings(keys: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The later set of each pair ``a``, ``b`` whose similarity is high enough."""
+    """The later set of each stored pair ``a``, ``b`` whose similarity is high enough.
+
+    Only the words of sets in the pairs are shuffled.
+    """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    held = held.join(sent_if_small(materialize(needed, "needed-sets")), "set", "left_semi")
     first = held.select(F.col("set").alias("a"), F.col("words").alias("wa"), F.col("place").alias("pa"))
     second = held.select(F.col("set").alias("b"), F.col("words").alias("wb"), F.col("place").alias("pb"))
     both = pairs.join(first, "a").join(second, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
@@ -163,11 +179,10 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _open_pairs(lines: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs of lines with earlier ones under the same key that pass the filters."""
-    other = earlier.select("key", *[F.col(c).alias(f"{c}2") for c in ("set", "n", "at", "parity", "place")])
-    fits = may_match("n", "at", "parity", "n2", "at2", "parity2")
-    met = lines.join(other, "key").filter(F.expr(f"place2 < place AND set != set2 AND {fits}"))
-    return met.select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
+    """Stored pairs of lines with earlier ones under the same key that pass the filters."""
+    other = earlier.select("key", *[F.col(c).alias(f"{c}2") for c in (*_OF_LINE, "place")])
+    met = lines.join(other, "key").filter(F.expr(f"place2 < place AND set != set2 AND {may_match()}"))
+    return materialize(met.select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct(), "open-pairs")
 
 
 def _settled_in_large(large: DataFrame, held: DataFrame, settled: DataFrame) -> DataFrame:
@@ -177,7 +192,7 @@ def _settled_in_large(large: DataFrame, held: DataFrame, settled: DataFrame) ->
     for _ in range(SETTLING_ROUNDS):
         still = lines.join(settled, "set", "left_anti")
         waiting = still if used is None else still.join(used, ["key", "set"], "left_anti")
-        first = F.min(F.struct("place", "set", "n", "at", "parity")).alias("first")
+        first = F.min(F.struct("place", *_OF_LINE)).alias("first")
         leaders = materialize(waiting.groupBy("key").agg(first).select("key", "first.*"), "leaders")
         found = _verified(_open_pairs(still, leaders), held)
         settled = materialize(settled.unionByName(found).distinct(), "settled")

@@ -55,6 +55,23 @@ def test_many_variants_of_a_line(docs, monkeypatch, rare, group):
     assert got(docs(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("group", [128, 4])
+def test_wide_lines_lose_no_match(docs, monkeypatch, group):
+    """Parities of 128 places apply where both lines are wide; here some are and some are not."""
+    monkeypatch.setattr(line_dedup, "WIDE", 12)
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    rows = variants(8, 60)
+    assert got(docs(rows)) == brute(rows)
+
+
+def test_wide_lines_that_share_few_words_are_no_candidates(docs):
+    shared = " ".join(f"s{j}" for j in range(40))
+    rows = [(k, shared + "".join(f" u{k}_{j}" for j in range(110))) for k in range(40)]
+    lines = line_dedup.lines_of(docs(rows))
+    met = line_dedup._meetings(line_dedup.keys_of(lines, [0] * (line_dedup.PLACES // 16)))
+    assert met.count() <= 8, "of 780 pairs; 64 places let hundreds through"
+
+
 def test_nulls_short_lines_and_ties(docs):
     rows = [(1, None), (2, ""), (3, "a b\nb a\nA  B\t\r\n\n\nc"), (4, "c\nb b a"), (None, "c\nnew line of words"), (5, "a b c d e\na b c d\na b c"), (6, "new line of words")]
     assert got(docs(rows)) == brute(rows)
