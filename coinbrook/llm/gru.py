@@ -21,6 +21,8 @@ WINDOW = 16
 BUCKETS = 256
 RATE, CLIP = 0.08, 1.0
 LANES = 256
+#: Documents read side by side in scoring, and words whose outputs are worked out together. They decide no score.
+SCORED_LANES, SCORED_WORDS = 512, 8192
 
 
 def classes_of(counts: np.ndarray, wanted: int) -> np.ndarray:
@@ -85,7 +87,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 class _Window:
     """The steps of a window: inputs and targets of the lanes in use, and what the way back needs."""
 
-    def __init__(self, model: Model, inputs: list[np.ndarray], h: np.ndarray, keep: bool) -> None:
+    def __init__(self, model: Model, inputs: list[np.ndarray], h: np.ndarray) -> None:
         self.ids = np.concatenate(inputs)
         self.X = model.E[self.ids]
         gates = self.X @ model.Wx + model.b
@@ -94,7 +96,7 @@ class _Window:
         at = 0
         for ids in inputs:
             n = len(ids)
-            before = h[:n].copy() if keep else h[:n]
+            before = h[:n].copy()
             g = gates[at : at + n]
             rz = _sigmoid(g[:, : 2 * HIDDEN] + before @ model.U)
             r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
@@ -102,8 +104,7 @@ class _Window:
             c = np.tanh(g[:, 2 * HIDDEN :] + reset @ model.V)
             now = c + z * (before - c)
             self.states[at : at + n] = now
-            if keep:
-                self.saved.append((at, n, before, rz, reset, c))
+            self.saved.append((at, n, before, rz, reset, c))
             h[:n] = now
             at += n
 
@@ -134,7 +135,7 @@ class Trainer:
     def window(self, inputs: list[np.ndarray], targets: np.ndarray, h: np.ndarray) -> float:
         """One step of descent; returns the sum of the natural log-probabilities."""
         m = self.model
-        w = _Window(m, inputs, h, keep=True)
+        w = _Window(m, inputs, h)
         grads = {n: np.zeros_like(getattr(m, n)) for n in Model.NAMES}
         d_states = np.zeros_like(w.states)
         total = 0.0
@@ -223,14 +224,94 @@ def train(trainer: Trainer, docs: list[np.ndarray], end: int, lanes: int = LANES
     return total, n
 
 
+class _Reader:
+    """Reads words without keeping a way back; the weights of each gate lie by themselves."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        gates = [slice(k * HIDDEN, (k + 1) * HIDDEN) for k in range(3)]
+        # What a word adds to each gate, worked out once for all words.
+        self.given = [model.E @ np.ascontiguousarray(model.Wx[:, k]) + model.b[k] for k in gates]
+        self.U = [np.ascontiguousarray(model.U[:, k]) for k in gates[:2]]
+
+    def states(self, inputs: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+        """The states after the inputs, step by step. ``h`` holds those before and is moved on."""
+        ids = np.concatenate(inputs)
+        gates = [given[ids] for given in self.given]
+        out = np.empty((len(ids), HIDDEN), np.float32)
+        at = 0
+        for some in inputs:
+            n = len(some)
+            before = h[:n]
+            r, z, c = (g[at : at + n] for g in gates)
+            for gate, weights in ((r, self.U[0]), (z, self.U[1])):
+                gate += before @ weights
+                np.negative(gate, out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+            r *= before
+            c += r @ self.model.V
+            np.tanh(c, out=c)
+            now = np.subtract(before, c, out=out[at : at + n])
+            now *= z
+            now += c
+            before[:] = now
+            at += n
+        return out
+
+    def logs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each target, words outside the vocabulary as one class."""
+        m = self.model
+        last = len(m.edges) - 1
+        classes = np.full(len(targets), last, np.int16)
+        inside = targets < m.words
+        classes[inside] = m.class_of[targets[inside]]
+        order = np.argsort(classes, kind="stable")
+        states, targets, classes = states[order], targets[order], classes[order]
+        borders = np.searchsorted(classes, np.arange(last + 1))
+        found = _picked(m.Wc.T, m.bc, states, classes)
+        for k in range(last):
+            rows, words = slice(borders[k], borders[k + 1]), slice(m.edges[k], m.edges[k + 1])
+            if rows.start < rows.stop and words.stop - words.start > 1:
+                found[rows] += _picked(m.Ww[words], m.bw[words], states[rows], targets[rows] - words.start)
+        out = np.empty(len(targets))
+        out[order] = found
+        return out
+
+
+def _picked(weights: np.ndarray, bias: np.ndarray, states: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Log-softmax of the wanted one of the outputs. A state is a column here, so sums run along memory."""
+    x = weights @ states.T
+    x += bias[:, None]
+    x -= np.maximum.reduce(x, 0)
+    logs = x[wanted, np.arange(len(wanted))].astype(np.float64)
+    np.exp(x, out=x)
+    logs -= np.log(np.add.reduce(x, 0))
+    return logs
+
+
 def log_likelihoods(model: Model, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-probability of each document, words outside the vocabulary as one class."""
     out = np.zeros(len(docs))
-    h = np.zeros((len(docs), HIDDEN), np.float32)
-    for inputs, targets, lanes in _windows(model, docs, end):
-        w = _Window(model, inputs, h, keep=False)
-        found = np.zeros(len(targets))
-        for rows, _, logs, wanted in _outputs(model, w.states, targets):
-            found[rows] += logs[np.arange(len(logs)), wanted]
-        out += np.bincount(lanes, found, len(docs))
+    reader = _Reader(model)
+    by_length = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
+    waiting, words = [], 0
+
+    def settle() -> None:
+        states, targets, lanes = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        out[:] += np.bincount(lanes, reader.logs(states, targets), len(docs))
+        waiting.clear()
+
+    for i in range(0, len(docs), SCORED_LANES):
+        group = np.array(by_length[i : i + SCORED_LANES])
+        h = np.zeros((len(group), HIDDEN), np.float32)
+        for inputs, targets, lanes in _windows(model, [docs[k] for k in group], end):
+            waiting.append((reader.states(inputs, h), targets, group[lanes]))
+            words += len(targets)
+            if words >= SCORED_WORDS:
+                settle()
+                words = 0
+    if waiting:
+        settle()
     return out

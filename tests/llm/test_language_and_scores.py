@@ -157,6 +157,25 @@ def test_state_is_carried_over_windows(monkeypatch):
     assert np.allclose(one, gru.log_likelihoods(model, docs, 0), atol=1e-3)
 
 
+def test_scores_are_those_of_training_with_fewer_outputs(monkeypatch):
+    """Outputs are worked out for many windows together; lanes and blocks do not change a score."""
+    draw = random.Random(4)
+    docs = [np.array([draw.randrange(20) for _ in range(n)]) for n in (1, 90, 200, 3, 41, 41, 7)]
+    model = gru.Model(12, np.array([0, 1, 5, 12]))
+    model.load(np.random.default_rng(0).standard_normal(model.vector().size).astype(np.float32) * 0.3)
+    trained = [gru.train(gru.Trainer(model, 0.0), [d], 0)[0] for d in docs]
+    calls = []
+    outputs = gru._Reader.logs
+    monkeypatch.setattr(gru._Reader, "logs", lambda self, *a: calls.append(len(a[1])) or outputs(self, *a))
+    one = gru.log_likelihoods(model, docs, 0)
+    assert np.allclose(one, trained, atol=1e-3)
+    assert calls == [sum(len(d) for d in docs)], "13 windows, one call"
+    monkeypatch.setattr(gru, "SCORED_LANES", 2)
+    monkeypatch.setattr(gru, "SCORED_WORDS", 10)
+    assert np.allclose(gru.log_likelihoods(model, docs, 0), one, atol=1e-4)
+    assert gru.log_likelihoods(model, [], 0).size == 0
+
+
 def test_gradients_by_finite_differences(monkeypatch):
     docs = [np.array([1, 4, 2, 0]), np.array([3, 0])]
     model = gru.Model(5, np.array([0, 2, 5]))
