@@ -4,18 +4,20 @@ A line is the set of its words. Two lines match when the Jaccard similarity of t
 0.8; a line that matches an earlier one (by doc_id, then by line) is removed.
 
 1. Lines of equal text (in lower case) match. Only the first of them goes on.
-2. Words are ordered by rarity: first those that occur up to ``RARE`` times, then by level, a level
-   being four times as frequent as the one before. A table of fixed size tells the level of a word by
-   its hash; a rare word that shares its place with a frequent one counts as frequent.
-3. *Prefix filter.* A line of n words can miss at most e = n - ceil(0.8 n) words of a match. Rare words
-   are keys by themselves, frequent ones in pairs. To leave no key intact, a match would have to miss
-   all rare words of the prefix and all frequent ones but one. So e + 1 words are enough if all are
-   rare, e + 2 otherwise: every match shares a key.
-4. *Length filter*, *positional filter* and a bound from parities are applied where lines meet under a
-   key: the sizes must allow the similarity; so must the words that come after the shared one; and
-   the parities of the words' hashes can differ in no more places than the sets differ in words. They
-   have 64 places, and 128 where both lines have more than ``WIDE`` words, since 64 places of such
-   lines tell little.
+2. *Parts.* Sets of n and m words that match differ in (n + m) div 9 words at most, so in n div 4 words,
+   m being at most 1.25 n. The words are dealt into parts by their hash. A part is broken where the sets
+   differ in it; so of 2^c parts, 2^c - d are the same in both if they differ in d words.
+   There are 2^c parts for sets of fewer than 3 * 2^c words, which makes about two to three words a part.
+   A set that may match smaller ones with half as many parts is dealt into these as well.
+3. *Prefix filter* over the parts. They are ordered by weight, the heaviest first: long words weigh more, since
+   they are rarer, and a part weighs as much as its words together. Of d + 2 parts at the head of this
+   order, two are common to both sets, or the first common one is among the first d + 1. So heavy parts
+   (``RARE``) are keys by themselves and light ones in pairs: every match shares a key. The weights decide
+   how many lines meet under a key, never which lines match.
+4. *Length filter* and a bound from parities are applied where lines meet under a key: the sizes must
+   allow the similarity, and the parities of the words' hashes can differ in no more places than the
+   sets differ in words. They have 64 places, and 128 where both lines have more than ``WIDE`` words,
+   since 64 places of such lines tell little.
 5. Under keys of up to ``GROUP`` lines all of them meet. Under a larger key, lines are compared with its
    earliest line first, which settles most; lines that have found no earlier match then are compared
    with all earlier lines of the key.
@@ -24,7 +26,10 @@ A line is the set of its words. Two lines match when the Jaccard similarity of t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coinbrook.llm.common import sent_if_small, text_of, unused
@@ -32,17 +37,19 @@ from coinbrook.sinks.scratch import materialize
 
 #: Similarity as a fraction of whole numbers.
 SHARED, OF = 4, 5
-#: Words up to this number of occurrences are keys of their own.
-RARE = 128
+#: Parts of this weight are keys of their own.
+RARE = 9
 #: Lines that are compared with each other under one key.
-GROUP = 128
-#: Places of the table of levels, four bits each.
-PLACES = 1 << 18
+GROUP = 64
+#: Places of the table of weights, four bits each.
+PLACES = 16
+#: Weight of words by length: bytes beyond the first, 8 at most.
+WEIGHTS = [sum(min(max(n - 1, 0), 8) << 4 * n for n in range(PLACES - 1)) - (8 << 60)]
 SETTLING_ROUNDS = 3
 #: Lines of more words have parities of 128 places.
-WIDE = 64
-#: Bits of a word's hash that stay beside its level.
-_HASH_BITS = 59
+WIDE = 112
+#: Bits of a part's hash that stay beside its weight.
+_HASH_BITS = 57
 
 
 def lines_of(docs: DataFrame, *more: Column) -> DataFrame:
@@ -68,79 +75,93 @@ def _place(*more: str) -> Column:
     )
 
 
-# -- rarity --------------------------------------------------------------------------------
+# -- keys ----------------------------------------------------------------------------------
 
 
-def level_table(lines: DataFrame) -> list[int]:
-    """Levels of the words by hash, 16 places in a number: 0 up to ``RARE`` occurrences, at most 15.
+def _parts(shift: str) -> str:
+    """SQL: the parts, other than empty ones, of the words ``w`` dealt into 2^(64 - shift), as numbers that sort the heaviest first.
 
-    Words are counted exactly; only the table, whose size is fixed, leaves Spark.
+    Words are sorted by hash, so those of a part lie side by side. The first three tell parts apart well enough.
     """
-    word = lines.select(F.explode(F.expr(_WORDS)).alias("word")).select(F.xxhash64("word").alias("word"))
-    counts = word.groupBy("word").count().filter(F.col("count") > RARE)
-    level = F.least(F.lit(15), 1 + F.floor(F.log2(F.col("count") / RARE) / 2)).cast("long")
-    placed = counts.select(F.pmod("word", F.lit(PLACES)).alias("at"), level.alias("level"))
-    placed = placed.groupBy("at").agg(F.max("level").alias("level"))
-    shift = (4 * F.pmod("at", F.lit(16))).cast("int")
-    packed = placed.groupBy(F.shiftright("at", 4).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", "level", shift)).alias("levels")
-    )
-    out = [0] * (PLACES // 16)
-    for r in packed.collect():
-        out[r["at"]] = r["levels"]
-    return out
+    apart = f"shiftrightunsigned(x ^ coalesce(get(w, i + {{}}), ~x), {shift}) != 0"
+    second, third = "get(w, i + 1)", "get(w, i + 2)"
 
+    def number(content: str, *words: str) -> str:
+        weight = " - ".join(f"({x} & 15L)" for x in words)
+        return f"shiftleft(62L - {weight}, {_HASH_BITS}) | ({content} & {(1 << _HASH_BITS) - 1}L)"
 
-# -- keys ----------------------------------------------------------------------------------
+    return f"""sort_array(filter(transform(w, (x, i) -> if({apart.format(-1)},
+        if({apart.format(1)}, {number("shiftright(x, 4)", "x")},
+        if({apart.format(2)}, {number(f"xxhash64(x, {second})", "x", second)},
+        {number(f"xxhash64(x, {second}, {third})", "x", second, third)})), -1L)), x -> x >= 0))"""
+
+
+def _filled(parts: str, c: str, d: str) -> str:
+    """SQL: the parts, followed by empty ones where there are fewer than d + 2."""
+    empty = f"array_except(sequence(0L, shiftleft(1L, {c}) - 1), transform(w, x -> shiftrightunsigned(x, 64 - {c})))"
+    number = f"shiftleft(63L, {_HASH_BITS}) | (xxhash64({c}, p) & {(1 << _HASH_BITS) - 1}L)"
+    return f"""if(size({parts}) >= {d} + 2, {parts},
+        concat({parts}, transform(slice({empty}, 1, {d} + 2 - size({parts})), p -> {number})))"""
+
+
+def _prefix_keys(parts: str, d: str, heavy: str) -> str:
+    """SQL: keys from the first parts, the first ``heavy`` of which are heavy; where that is more than d, these are enough."""
+    return f"""if({heavy} > {d}, slice({parts}, 1, {d} + 1),
+        concat(slice({parts}, 1, {heavy}), flatten(transform(slice({parts}, {heavy} + 1, {d} + 2 - {heavy}), (x, i) ->
+            transform(slice({parts}, {heavy} + i + 2, {d} + 1 - {heavy} - i), y -> xxhash64(x, y))))))"""
 
 
-def keys_of(lines: DataFrame, table: list[int]) -> DataFrame:
-    """``key``, ``at`` (place of the key's last word), ``set``, ``n``, ``parity`` and ``half`` of the lines.
+def keys_of(lines: DataFrame, table: list[int] = WEIGHTS) -> DataFrame:
+    """``key``, ``set``, ``n``, ``parity`` and ``half`` of the lines; ``table`` has the weights of words by length.
 
     ``half`` is the parity of the words in the second half of the 128 places, 0 for lines that are not wide.
 
     Lines of under four words match equal sets only, so their key is the whole set.
     """
-    # One literal, folded once.
-    levels = f"from_json('{table}', 'array<bigint>')"
-    at = f"pmod(h, {PLACES}L)"
-    level = f"shiftright(coalesce({levels}[int({at} div 16)], 0L), int({at} % 16) * 4) & 15L"
-    # Level and hash as one number, which sorts by level first.
-    ranked = f"transform(transform(words, w -> xxhash64(w)), h -> shiftleft({level}, {_HASH_BITS}) | (h & {(1 << _HASH_BITS) - 1}L))"
-    # Each step of the list is a ``transform`` of one element, since a name in a lambda is worked out
-    # once, while Spark would put the text of a column wherever the column is used.
-    steps = (
-        f"""named_struct('w', w, 'n', size(w), 'a', size(filter(w, x -> x < {1 << _HASH_BITS}L)),
-            'parity', aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, int(x & 63L))),
-            'half', if(size(w) > {WIDE}, aggregate(w, 0L, (p, x) -> p ^ shiftleft(shiftright(x, 6) & 1L, int(x & 63L))), 0L))""",
-        "named_struct('w', w.w, 'n', w.n, 'a', w.a, 'parity', w.parity, 'half', w.half, 'e', w.n - (4 * w.n + 4) div 5)",
-        # Places count from 1. Frequent words follow the rare ones.
-        """named_struct('w', w.w, 'n', w.n, 'parity', w.parity, 'half', w.half,
-            's', transform(slice(w.w, 1, least(w.a, w.e + 1)),
-                (x, i) -> named_struct('key', xxhash64(1, x), 'at', i + 1)),
-            'f', if(w.a > w.e, array(), transform(slice(w.w, w.a + 1, w.e + 2 - w.a),
-                (x, i) -> named_struct('h', x, 'at', w.a + i + 1))))""",
-        """named_struct('n', w.n, 'parity', w.parity, 'half', w.half, 'keys', if(w.n < 4,
-            array(named_struct('key', xxhash64(3, w.w), 'at', w.n)),
-            concat(w.s, flatten(transform(w.f, (x, i) -> transform(slice(w.f, i + 2, size(w.f)),
-                y -> named_struct('key', xxhash64(2, x.h, y.h), 'at', y.at)))))))""",
+    weight = f"(shiftrightunsigned({table[0]}L, 4 * least(octet_length(w), {PLACES - 1})) & 15L)"
+    words = f"sort_array(array_distinct(transform({_WORDS}, w -> (xxhash64(w) & ~15L) | {weight})))"
+    place = "int(shiftright(x, 4) & 63L)"
+    flip = f"shiftleft(shiftright(x, 10) & 1L, {place})"
+    sets = lines.select("set", F.expr(words).alias("w")).select(
+        "set",
+        "w",
+        F.size("w").alias("n"),
+        # The least c of at least 2 with n < 3 * 2^c.
+        F.expr("greatest(2, length(bin(size(w) div 3)))").alias("c"),
     )
-    sql = f"array(sort_array(array_distinct({ranked})))"
-    for step in steps:
-        sql = f"transform({sql}, w -> {step})"
-    found = lines.select("set", F.expr(sql.replace("transform(words,", f"transform({_WORDS},"))[0].alias("found"))
-    return found.select(F.inline("found.keys"), "set", "found.n", "found.parity", "found.half")
+    sets = sets.select("*", F.expr("64 - c").alias("shift"), F.expr("65 - c").alias("shift2"))
+    sets = sets.select(
+        "*",
+        F.expr(f"aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, {place}))").alias("parity"),
+        F.expr(f"if(n > {WIDE}, aggregate(w, 0L, (p, x) -> p ^ {flip}), 0L)").alias("half"),
+        F.expr("n div 4").alias("d"),
+        F.expr(_parts("shift")).alias("parts"),
+        # Words at most in smaller sets with half as many parts.
+        F.expr("if(c > 2, shiftleft(3, c - 1) - 1, 0)").alias("below"),
+    )
+    sets = sets.select("*", F.expr("if(4 * n <= 5 * below, (n + below) div 9, null)").alias("d2"))
+    sets = sets.select("*", F.expr(f"if(d2 is null, null, {_parts('shift2')})").alias("parts2"))
+    sets = sets.withColumn("parts", F.expr(_filled("parts", "c", "d")))
+    sets = sets.withColumn("parts2", F.expr(f"if(d2 is null, null, {_filled('parts2', '(c - 1)', 'd2')})"))
+    heavy = f"size(filter(slice({{}}, 1, {{}} + 2), x -> x < {max(63 - RARE, 0) << _HASH_BITS}L))"
+    sets = sets.select(
+        "*",
+        F.expr(heavy.format("parts", "d")).alias("heavy"),
+        F.expr(f"if(d2 is null, 0, {heavy.format('parts2', 'd2')})").alias("heavy2"),
+    )
+    keys = f"""if(n < 4, array(xxhash64(3, w)), if(d2 is null, {_prefix_keys("parts", "d", "heavy")},
+        array_distinct(concat({_prefix_keys("parts", "d", "heavy")}, {_prefix_keys("parts2", "d2", "heavy2")}))))"""
+    return sets.select(F.explode(F.expr(keys)).alias("key"), "set", "n", "parity", "half")
 
 
 #: What a line brings to a key, besides the key.
-_OF_LINE = ("at", "set", "n", "parity", "half")
+_OF_LINE = ("set", "n", "parity", "half")
 
 
 def may_match() -> str:
-    """SQL: length filter, positional filter and the bounds from parities, for a line and one with names in 2."""
+    """SQL: length filter and the bounds from parities, for a line and one with names in 2."""
     overlap = "((4 * (n + n2) + 8) div 9)"
     return f"""5 * least(n, n2) >= 4 * greatest(n, n2)
-        AND least(at, at2) + least(n - at, n2 - at2) >= {overlap}
         AND bit_count(parity ^ parity2) <= n + n2 - 2 * {overlap}
         AND (least(n, n2) <= {WIDE}
             OR bit_count(half ^ half2) + bit_count(parity ^ half ^ parity2 ^ half2) <= n + n2 - 2 * {overlap})"""
@@ -149,17 +170,36 @@ def may_match() -> str:
 def _meetings(keys: DataFrame) -> DataFrame:
     """Pairs of lines ``a``, ``b`` that meet under a key; and the lines of large keys, whose ``a`` is null.
 
-    One job: the keys are shuffled once and read three times.
+    The keys are shuffled once. Lines that share one are put together where they are, those of large keys one by one.
     """
     counted = keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
-    small = counted.filter(F.col("c") <= GROUP).drop("c")
-    other = small.select("key", *[F.col(c).alias(f"{c}2") for c in _OF_LINE])
-    pairs = small.join(other, "key").filter(F.expr(f"set < set2 AND {may_match()}"))
+    large = F.col("c") > GROUP
+    alone = F.when(large, F.col("set")).alias("alone")
+    groups = counted.groupBy("key", alone).agg(F.collect_list(F.struct(*_OF_LINE)).alias("lines"), F.any_value(large).alias("large"))
+    groups = materialize(groups, "groups")
+    small = groups.filter("not large").select("lines", F.inline("lines"))
+    pairs = small.select(*_OF_LINE, F.inline("lines").alias(*[f"{c}2" for c in _OF_LINE]))
+    pairs = pairs.filter(F.expr(f"set < set2 AND {may_match()}"))
     pairs = pairs.select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
-    large = counted.filter(F.col("c") > GROUP).drop("c")
+    large = groups.filter("large").select("key", F.inline("lines"))
     return pairs.unionByName(large, allowMissingColumns=True)
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files when they end; their results are stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 # -- matches -------------------------------------------------------------------------------
 
 
@@ -170,10 +210,14 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     held = held.join(sent_if_small(materialize(needed, "needed-sets")), "set", "left_semi")
-    first = held.select(F.col("set").alias("a"), F.col("words").alias("wa"), F.col("place").alias("pa"))
-    second = held.select(F.col("set").alias("b"), F.col("words").alias("wb"), F.col("place").alias("pb"))
-    both = pairs.join(first, "a").join(second, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
-    similar = OF * F.col("shared") >= SHARED * (F.size("wa") + F.size("wb") - F.col("shared"))
+    # Words travel as text, which is a fraction of the size of an array. Their array stands in one place, since
+    # Spark works it out wherever it stands.
+    columns = ("set", "words", "n", "place")
+    first = held.select(*[F.col(c).alias(x) for c, x in zip(columns, ("a", "wa", "na", "pa"), strict=True)])
+    second = held.select(*[F.col(c).alias(x) for c, x in zip(columns, ("b", "wb", "nb", "pb"), strict=True)])
+    both = pairs.join(first, "a").join(second, "b")
+    shared = F.size(F.array_intersect(*[F.expr(_WORDS.replace("words", c)) for c in ("wa", "wb")]))
+    similar = (SHARED + OF) * shared >= SHARED * (F.col("na") + F.col("nb"))
     later = F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b"))
     return both.filter(similar).select(later.alias("set")).distinct()
 
@@ -207,27 +251,17 @@ def later_matches(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     ``repeated`` has the first place of every set that several lines have.
     """
-    every = lines_of(docs).filter("set is not null")
-    lines = every.withColumn("place", _place())
+    lines = lines_of(docs).filter("set is not null").withColumn("place", _place())
     known = sent_if_small(repeated.select("set", F.col("first").alias("_first")))
     # Of equal lines, only the first goes on.
     lines = lines.join(known, "set", "left").filter("_first is null or place = _first").drop("_first")
-    keys = keys_of(lines, level_table(every))
-    # The table of levels is part of this plan, whose text need not be kept.
-    conf = docs.sparkSession.conf
-    whole = conf.get("spark.sql.maxPlanStringLength")
-    conf.set("spark.sql.maxPlanStringLength", "100000")
-    try:
-        met = materialize(_meetings(keys), "meetings")
-    finally:
-        conf.set("spark.sql.maxPlanStringLength", whole)
+    met = materialize(_meetings(keys_of(lines)), "meetings")
     pairs = met.filter("a is not null").select("a", "b")
     large = met.filter("a is null").drop("a", "b")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(large.select("set")).distinct()
     wanted = sent_if_small(materialize(wanted, "wanted-sets"))
     held = lines.join(wanted, "set", "left_semi").dropDuplicates(["set"])
-    held = held.select("set", "place", F.array_distinct(F.expr(_WORDS)).alias("words"))
-    held = materialize(held, "words")
+    held = materialize(held.select("set", "place", "words", F.expr(f"size(array_distinct({_WORDS}))").alias("n")), "words")
     settled = materialize(_verified(pairs, held), "settled")
     return settled if large.isEmpty() else materialize(_settled_in_large(large, held, settled), "settled")
 
@@ -251,7 +285,8 @@ def mark_lines(docs: DataFrame) -> DataFrame:
     )
     first = F.struct("first_row.last", "first_row.doc", "first_row.line").alias("first")
     repeated = materialize(repeated.select("set", "first_row", first), "repeated-sets")
-    later = later_matches(numbered, repeated).withColumn("matched", F.lit(True))
+    with _shuffles_freed(docs.sparkSession):
+        later = later_matches(numbered, repeated).withColumn("matched", F.lit(True))
     marked = every.join(sent_if_small(repeated.select("set", "first_row")), "set", "left")
     marked = marked.join(sent_if_small(later), "set", "left")
     gone = F.coalesce(F.col("matched"), F.lit(False)) | F.coalesce(_place("row") != F.col("first_row"), F.lit(False))

@@ -72,6 +72,32 @@ def test_wide_lines_that_share_few_words_are_no_candidates(docs):
     assert met.count() <= 8, "of 780 pairs; 64 places let hundreds through"
 
 
+def test_keys_grow_in_proportion_to_the_words(docs):
+    """Pairs of the words of a prefix, the keys before, would be 861 a line here."""
+    words = [f"word{k}" for k in range(400)]
+    draw = random.Random(4)
+    rows = [(k, " ".join(draw.sample(words, 200))) for k in range(150)]
+    assert line_dedup.keys_of(line_dedup.lines_of(docs(rows))).count() <= 150 * 100
+
+
+@pytest.mark.parametrize("rare", [0, 9, 128])
+def test_matches_of_other_sizes(docs, monkeypatch, rare):
+    """Sets on both sides of the sizes where the number of parts changes, and of 4 to 6 words."""
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    draw, rows = random.Random(6), []
+    for base, n in enumerate([4, 5, 9, 11, 12, 14, 21, 23, 24, 28, 46, 47, 48, 55]):
+        words = [f"{'long' * (j % 3)}{base}{chr(97 + j % 26)}{j}" for j in range(n)]
+        for _ in range(12):
+            gone = set(draw.sample(words, draw.randint(0, n // 5 + 1)))
+            more = [f"m{draw.randint(0, 99)}" for _ in range(draw.choice([0, 0, n // 9, n // 4]))]
+            line = [w for w in words if w not in gone] + more
+            draw.shuffle(line)
+            rows.append((len(rows), " ".join(line)))
+    found = got(docs(rows))
+    assert found == brute(rows)
+    assert sum(map(len, found.values())) > 40
+
+
 def test_nulls_short_lines_and_ties(docs):
     rows = [(1, None), (2, ""), (3, "a b\nb a\nA  B\t\r\n\n\nc"), (4, "c\nb b a"), (None, "c\nnew line of words"), (5, "a b c d e\na b c d\na b c"), (6, "new line of words")]
     assert got(docs(rows)) == brute(rows)
