@@ -151,11 +151,11 @@ def keys_of(lines: DataFrame, table: list[int] = WEIGHTS) -> DataFrame:
     )
     keys = f"""if(n < 4, array(xxhash64(3, w)), if(d2 is null, {_prefix_keys("parts", "d", "heavy")},
         array_distinct(concat({_prefix_keys("parts", "d", "heavy")}, {_prefix_keys("parts2", "d2", "heavy2")}))))"""
-    return sets.select(F.explode(F.expr(keys)).alias("key"), "set", "n", "parity", "half")
+    return sets.select(F.explode(F.expr(keys)).alias("key"), *_OF_LINE)
 
 
 #: What a line brings to a key, besides the key.
-_OF_LINE = ("set", "n", "parity", "half")
+_OF_LINE = ("set", "parity", "n", "half")
 
 
 def may_match() -> str:
@@ -232,17 +232,22 @@ def _open_pairs(lines: DataFrame, earlier: DataFrame) -> DataFrame:
 def _settled_in_large(large: DataFrame, held: DataFrame, settled: DataFrame) -> DataFrame:
     """Sets with an earlier match under a large key. ``settled`` are known to have one."""
     lines = materialize(large.join(held.select("set", "place"), "set"), "large-keys")
+    still = materialize(lines.join(sent_if_small(settled), "set", "left_anti"), "open-lines")
     used = None
-    for _ in range(SETTLING_ROUNDS):
-        still = lines.join(settled, "set", "left_anti")
-        waiting = still if used is None else still.join(used, ["key", "set"], "left_anti")
+    for turn in range(SETTLING_ROUNDS + 1):
+        waiting = still if used is None else still.join(sent_if_small(used), ["key", "set"], "left_anti")
         first = F.min(F.struct("place", *_OF_LINE)).alias("first")
         leaders = materialize(waiting.groupBy("key").agg(first).select("key", "first.*"), "leaders")
-        found = _verified(_open_pairs(still, leaders), held)
-        settled = materialize(settled.unionByName(found).distinct(), "settled")
-        own = leaders.select("key", "set")
-        used = own if used is None else materialize(used.unionByName(own), "leaders")
-    still = lines.join(settled, "set", "left_anti")
+        if turn:
+            meeting, own = still, leaders.select("key", "set")
+            used = own if used is None else materialize(used.unionByName(own), "used-leaders")
+        else:
+            # Each line meets the leader of one key, the least, which similar lines tend to share.
+            least = F.min(F.struct("key", "place", *_OF_LINE)).alias("least")
+            meeting = still.groupBy(F.col("set").alias("_set")).agg(least).select("least.*")
+        found = materialize(_verified(_open_pairs(meeting, leaders), held), "settled")
+        settled = settled.unionByName(found)
+        still = materialize(still.join(sent_if_small(found), "set", "left_anti"), "open-lines")
     return settled.unionByName(_verified(_open_pairs(still, lines), held)).distinct()
 
 
